@@ -10,32 +10,50 @@ def q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+_WHITE = (
+    r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+)
+
+
+def re2(pattern: str) -> str:
+    """The pattern as this engine's regular expressions say it: no Unicode switch, no look-ahead, no anchor to the last match."""
+    for java, plain in (
+        (r"(?U:[\s\x{1C}-\x{1F}])", f"[{_WHITE}]"),
+        (r"(?U:[^\s\x{1C}-\x{1F}])", f"[^{_WHITE}]"),
+        (r"""(?U:[^\s\x{1C}-\x{1F}<>"])""", f'[^{_WHITE}<>"]'),
+        (r"(?=[\x{A9}\x{AE}\x{203C}-\x{1FAFF}])", ""),
+        (r"\G", ""),
+    ):
+        pattern = pattern.replace(java, plain)
+    return q(pattern)
+
+
 def strip(x: str) -> str:
     return f"trim({x}, {q(P.WHITE_CHARS)})"
 
 
 def words(x: str) -> str:
-    return f"list_filter(regexp_split_to_array({x}, {q(P.WS + '+')}), lambda w: w <> '')"
+    return f"list_filter(regexp_split_to_array({x}, {re2(P.WS + '+')}), lambda w: w <> '')"
 
 
 def tokens(x: str) -> str:
-    reduced = f"list_transform({words(f'lower({x})')}, lambda t: regexp_replace(t, {q(P.NOT_TOKEN)}, '', 'g'))"
+    reduced = f"list_transform({words(f'lower({x})')}, lambda t: regexp_replace(t, {re2(P.NOT_TOKEN)}, '', 'g'))"
     return f"list_filter({reduced}, lambda t: t <> '')"
 
 
 def clean(x: str) -> str:
-    return f"regexp_replace(regexp_replace({x}, {q(P.MEDIA)}, '', 'g'), {q(P.LINKS)}, '', 'g')"
+    return f"regexp_replace(regexp_replace({x}, {re2(P.MEDIA)}, '', 'g'), {re2(P.LINKS)}, '', 'g')"
 
 
 def urls(x: str) -> str:
-    found = f"regexp_extract_all({x}, {q(P.URL_CANDIDATE)})"
+    found = f"regexp_extract_all({x}, {re2(P.URL_CANDIDATE)})"
     return (
-        f"list_filter({found}, lambda u: regexp_matches(u, {q(P.URL_SCHEME)}) OR regexp_matches(u, {q(P.URL_DOMAIN)}))"
+        f"list_filter({found}, lambda u: regexp_matches(u, {re2(P.URL_SCHEME)}) OR regexp_matches(u, {re2(P.URL_DOMAIN)}))"
     )
 
 
 def emojis(x: str) -> str:
-    return f"regexp_extract_all({x}, {q(P.EMOJI)})"
+    return f"regexp_extract_all({x}, {re2(P.EMOJI)})"
 
 
 def sql_list(values) -> str:
@@ -64,10 +82,10 @@ VIEWS = {
       day(date) AS day, dayname(date) AS day_name, hour(date) AS hour, minute(date) AS minute,
       CASE WHEN hour(date) = 23 THEN '23-00' WHEN hour(date) = 0 THEN '00-1'
         ELSE hour(date) || '-' || (hour(date) + 1) END AS period,
-      CASE WHEN regexp_matches(message, {q(P.BENGALI)})
-          THEN CASE WHEN regexp_matches(message, {q(P.LATIN)}) THEN 'benglish' ELSE 'bengali' END
-        WHEN regexp_matches(message, {q(P.DEVANAGARI)})
-          THEN CASE WHEN regexp_matches(message, {q(P.LATIN)}) THEN 'hinglish' ELSE 'hindi' END
+      CASE WHEN regexp_matches(message, {re2(P.BENGALI)})
+          THEN CASE WHEN regexp_matches(message, {re2(P.LATIN)}) THEN 'benglish' ELSE 'bengali' END
+        WHEN regexp_matches(message, {re2(P.DEVANAGARI)})
+          THEN CASE WHEN regexp_matches(message, {re2(P.LATIN)}) THEN 'hinglish' ELSE 'hindi' END
         ELSE 'english' END AS language,
       length(message) AS message_length
     FROM chat""",

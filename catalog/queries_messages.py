@@ -17,7 +17,7 @@ KEY = ["chat_id", "seq"]
 # Sources and sinks
 
 _PART = "chat_id || '/' || (seq // 1000)"
-_Q3 = D.strip(f"regexp_replace(message, {D.q(D.P.LATER_SENDER)}, ' \\1 ', 'g')")
+_Q3 = D.strip(f"regexp_replace(message, {D.re2(D.P.LATER_SENDER)}, ' \\1 ', 'g')")
 
 
 @query(
@@ -176,7 +176,7 @@ def normalized_text(spark, sf):
 @query(
     "cleaned_text",
     f"""SELECT chat_id, seq, {D.clean('message')} AS cleaned,
-      regexp_replace({D.clean('message')}, {D.q(D.P.WS + '+')}, ' ', 'g') AS collapsed FROM chat""",
+      regexp_replace({D.clean('message')}, {D.re2(D.P.WS + '+')}, ' ', 'g') AS collapsed FROM chat""",
 )
 def cleaned_text(spark, sf):
     message = F.col("message")

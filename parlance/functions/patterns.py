@@ -1,8 +1,7 @@
-"""Regular expressions shared by the text functions.
+"""Regular expressions used by the text functions.
 
-All classes are spelled out as code points so that they mean the same in every engine: white space is the
-Unicode set plus the four separators U+001C..U+001F, digits are category Nd, word characters are letters,
-numbers and the underscore.
+White space is the Unicode set plus the four separators U+001C..U+001F, digits are category Nd, word characters are
+letters, numbers and the underscore.
 """
 
 from __future__ import annotations
@@ -12,11 +11,8 @@ WHITE_CHARS = "".join(
     for c in [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
     + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
-_WHITE = (
-    r"\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
-WS = f"[{_WHITE}]"
-NOT_WS = f"[^{_WHITE}]"
+WS = r"(?U:[\s\x{1C}-\x{1F}])"
+NOT_WS = r"(?U:[^\s\x{1C}-\x{1F}])"
 WORD = r"[\p{L}\p{N}_]"
 
 # Fixed format: day/month/year, hour:minute am|pm - , each blank being exactly one white-space character.
@@ -25,7 +21,8 @@ HEADER = (
 )
 
 SENDER = rf"(?s)\A(.+?):{WS}"
-LATER_SENDER = rf"(?s)(.+?):{WS}"
+# Anchored to the end of the match before, which keeps the search linear.
+LATER_SENDER = rf"(?s)\G(.+?):{WS}"
 
 MEDIA = rf"(?i)<media{WS}+omitted>"
 LINKS = f"http{NOT_WS}+|www{NOT_WS}+"
@@ -36,7 +33,7 @@ LATIN = "[a-zA-Z0-9]"
 
 # Candidate links: anything with a scheme or www, or a dotted name with an optional path. A dotted name only
 # counts when its last label is one of the listed top-level domains.
-_URL_TAIL = f'[^{_WHITE}<>"]'
+_URL_TAIL = r'(?U:[^\s\x{1C}-\x{1F}<>"])'
 URL_CANDIDATE = (
     rf"(?i)(?:https?://|ftp://|www\.){_URL_TAIL}+"
     rf"|[\p{{L}}\p{{N}}@_-]+(?:\.[\p{{L}}\p{{N}}@_-]+)+(?:[/?#:]{_URL_TAIL}*)?"
@@ -65,12 +62,15 @@ A9 AE 203C 2049 2122 2139 2194-2199 21A9-21AA 231A-231B 2328 23CF 23E9-23F3 23F8
 1F6CB-1F6D2 1F6D5-1F6D7 1F6DC-1F6E5 1F6E9 1F6EB-1F6EC 1F6F0 1F6F3-1F6FC 1F7E0-1F7EB 1F7F0 1F90C-1F93A 1F93C-1F945
 1F947-1F9FF 1FA70-1FA7C 1FA80-1FA88 1FA90-1FABD 1FABF-1FAC5 1FACE-1FADB 1FAE0-1FAE8 1FAF0-1FAF8
 """
-EMOJI = (
+_SINGLE_EMOJI = (
     "["
     + "".join("-".join(rf"\x{{{end}}}" for end in span.split("-")) for span in _EMOJI.split())
     + "]"
 )
 
+# The look-ahead spares ordinary letters the long range list.
+EMOJI = r"(?=[\x{A9}\x{AE}\x{203C}-\x{1FAFF}])" + _SINGLE_EMOJI
+
 # Word-cloud terms: at least two characters, apostrophes allowed after the first.
 TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
 # Sentiment tokens: what is left after dropping everything but letters, digits and the apostrophe.

@@ -39,7 +39,8 @@ def normalize(text: Column) -> Column:
     """Fold the listed transliterated words to lower case; leave everything else alone."""
 
     def whole_word(word: str) -> str:
-        return f"(?iu)(?<!{P.WORD})(?:{word})(?!{P.WORD})"
+        initials = "".join(sorted({w[0] for w in word.split("|")}))
+        return f"(?iu)(?<!{P.WORD})(?=[{initials}])(?:{word})(?!{P.WORD})"
 
     folded = reduce(
         lambda column, word: F.regexp_replace(column, whole_word(word), word), S.TRANSLITERATED_WORDS, text
