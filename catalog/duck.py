@@ -23,6 +23,8 @@ def re2(pattern: str) -> str:
         (r"""(?U:[^\s\x{1C}-\x{1F}<>"])""", f'[^{_WHITE}<>"]'),
         (r"(?=[\x{A9}\x{AE}\x{203C}-\x{1FAFF}])", ""),
         (r"\G", ""),
+        (r"(?<![\p{L}\p{N}@_-])", ""),
+        ("++", "+"),
     ):
         pattern = pattern.replace(java, plain)
     return q(pattern)
@@ -37,7 +39,8 @@ def words(x: str) -> str:
 
 
 def tokens(x: str) -> str:
-    reduced = f"list_transform({words(f'lower({x})')}, lambda t: regexp_replace(t, {re2(P.NOT_TOKEN)}, '', 'g'))"
+    letters = q(r"[^\p{L}\p{N}']+")
+    reduced = f"list_transform({words(f'lower({x})')}, lambda t: regexp_replace(t, {letters}, '', 'g'))"
     return f"list_filter({reduced}, lambda t: t <> '')"
 
 

@@ -10,6 +10,8 @@ from parlance.schema import PERIODS
 
 _DAY = "strftime(only_date, '%Y-%m-%d') AS only_date"
 CHAT = ["chat_id"]
+# The oracle drops plain numbers in a second step.
+TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
 
 
 @query(
@@ -251,7 +253,7 @@ def common_words_documents(spark, sf):
 
 
 _CLOUD = f"""SELECT term, count(*) AS frequency FROM (
-      SELECT regexp_replace(unnest(regexp_extract_all(lower({D.clean('message')}), {D.re2(D.P.TERM)})), '''s\\z', '') AS term
+      SELECT regexp_replace(unnest(regexp_extract_all(lower({D.clean('message')}), {D.q(TERM)})), '''s\\z', '') AS term
       FROM people WHERE message <> '<Media omitted>')
     WHERE NOT regexp_full_match(term, '\\p{{Nd}}*') AND term NOT IN (SELECT word FROM stopwords) GROUP BY term"""
 

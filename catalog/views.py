@@ -23,6 +23,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """The table, cut finer when it comes in fewer scan tasks than there are cores.
+
+    Small inputs are one file and would be worked on by one core; large ones are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder below the cluster's shared checkpoint folder; a temporary one only for a local session."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -42,7 +51,7 @@ def chat(spark: SparkSession, sf: str) -> DataFrame:
     turns = conversations.groupBy("conv_id").agg(F.count("*").alias("turns"))
     conv_count = conversations.agg((F.max("conv_id") + 1).alias("n")).scalar()
     placed = (
-        events.select("event_id", "ts", "user_id", "event_type")
+        spread(events.select("event_id", "ts", "user_id", "event_type"), "event_id")
         .withColumn("_n", conv_count)
         .withColumn("conv_id", F.col("event_id") % F.col("_n"))
         .join(turns, "conv_id")
@@ -93,7 +102,7 @@ def order_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def document_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as messages: long texts for word counts."""
-    return table(spark, sf, "documents").select(
+    return spread(table(spark, sf, "documents"), "doc_id").select(
         F.col("source").alias("chat_id"),
         F.col("doc_id").alias("seq"),
         F.col("lang").alias("user"),
@@ -103,7 +112,7 @@ def document_messages(spark: SparkSession, sf: str) -> DataFrame:
 
 def page_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Raw pages as messages: real link text."""
-    return table(spark, sf, "pages").select(
+    return spread(table(spark, sf, "pages"), "page_id").select(
         F.regexp_extract("url", "^([a-z]+)://", 1).alias("chat_id"),
         F.col("page_id").alias("seq"),
         F.col("html").alias("message"),

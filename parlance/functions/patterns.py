@@ -27,6 +27,7 @@ LATER_SENDER = rf"(?s)\G(.+?):{WS}"
 MEDIA = rf"(?i)<media{WS}+omitted>"
 LINKS = f"http{NOT_WS}+|www{NOT_WS}+"
 
+INDIC = r"[\x{0900}-\x{09FF}]"
 BENGALI = r"[\x{0980}-\x{09FF}]"
 DEVANAGARI = r"[\x{0900}-\x{097F}]"
 LATIN = "[a-zA-Z0-9]"
@@ -34,10 +35,14 @@ LATIN = "[a-zA-Z0-9]"
 # Candidate links: anything with a scheme or www, or a dotted name with an optional path. A dotted name only
 # counts when its last label is one of the listed top-level domains.
 _URL_TAIL = r'(?U:[^\s\x{1C}-\x{1F}<>"])'
+_NAME = r"[\p{L}\p{N}@_-]"
+# A name is tried from its first character only, so long words without a dot cost one pass.
 URL_CANDIDATE = (
     rf"(?i)(?:https?://|ftp://|www\.){_URL_TAIL}+"
-    rf"|[\p{{L}}\p{{N}}@_-]+(?:\.[\p{{L}}\p{{N}}@_-]+)+(?:[/?#:]{_URL_TAIL}*)?"
+    rf"|(?<!{_NAME}){_NAME}++(?:\.{_NAME}++)+(?:[/?#:]{_URL_TAIL}*)?"
 )
+# What every link contains.
+URL_HINT = r"\.(?U:[^\s\x{1C}-\x{1F}])|://"
 URL_SCHEME = r"(?i)\A(?:https?://|ftp://|www\.)"
 # The top-level domains recognised without a scheme.
 TOP_LEVEL_DOMAINS = (
@@ -71,7 +76,8 @@ _SINGLE_EMOJI = (
 # The look-ahead spares ordinary letters the long range list.
 EMOJI = r"(?=[\x{A9}\x{AE}\x{203C}-\x{1FAFF}])" + _SINGLE_EMOJI
 
-# Word-cloud terms: at least two characters, apostrophes allowed after the first.
-TERM = r"[\p{L}\p{N}_][\p{L}\p{N}_']+"
-# Sentiment tokens: what is left after dropping everything but letters, digits and the apostrophe.
-NOT_TOKEN = r"[^\p{L}\p{N}']+"
+# Word-cloud terms: at least two characters, apostrophes allowed after the first, no plain number or its possessive.
+_TERM_PART = r"[\p{L}\p{N}_']"
+TERM = rf"(?!\p{{Nd}}+(?:'s)?(?!{_TERM_PART})){WORD}{_TERM_PART}+"
+# Sentiment tokens: what is left after dropping everything but letters, digits, the apostrophe and white space.
+NOT_TOKEN = r"(?U:[^\p{L}\p{N}'\s\x{1C}-\x{1F}]+)"

@@ -29,7 +29,8 @@ def language(text: Column) -> Column:
     """Script-based label; Bengali is looked for first."""
     latin = text.rlike(P.LATIN)
     return (
-        F.when(text.rlike(P.BENGALI), F.when(latin, "benglish").otherwise("bengali"))
+        F.when(~text.rlike(P.INDIC), "english")
+        .when(text.rlike(P.BENGALI), F.when(latin, "benglish").otherwise("bengali"))
         .when(text.rlike(P.DEVANAGARI), F.when(latin, "hinglish").otherwise("hindi"))
         .otherwise("english")
     )
@@ -51,7 +52,9 @@ def normalize(text: Column) -> Column:
 
 def clean(text: Column, collapse: bool = False) -> Column:
     """Remove media markers and links; optionally turn white-space runs into one space."""
-    cleaned = F.regexp_replace(F.regexp_replace(text, P.MEDIA, ""), P.LINKS, "")
+    bare = F.when(text.contains("<"), F.regexp_replace(text, P.MEDIA, "")).otherwise(text)
+    linked = text.contains("http") | text.contains("www") | text.contains("<")
+    cleaned = F.when(linked, F.regexp_replace(bare, P.LINKS, "")).otherwise(bare)
     return F.regexp_replace(cleaned, f"{P.WS}+", " ") if collapse else cleaned
 
 
@@ -62,7 +65,7 @@ def urls(text: Column) -> Column:
 
 
 def url_count(text: Column) -> Column:
-    return F.when(text.contains("."), F.size(urls(text))).otherwise(0).cast("long")
+    return F.when(text.rlike(P.URL_HINT), F.size(urls(text))).otherwise(0).cast("long")
 
 
 def emojis(text: Column) -> Column:
@@ -71,18 +74,18 @@ def emojis(text: Column) -> Column:
 
 
 def terms(text: Column) -> Column:
-    """Word-cloud terms: lower case, without a possessive ending, no plain numbers."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(P.TERM), F.lit(0))
-    return F.filter(
-        F.transform(found, lambda t: F.regexp_replace(t, r"'s\z", "")), lambda t: ~t.rlike(r"\A\p{Nd}*\z")
-    )
+    """Word-cloud terms: lower case, no plain numbers. A possessive ending is still there, see term_of."""
+    return F.regexp_extract_all(F.lower(text), F.lit(P.TERM), F.lit(0))
+
+
+def term_of(found: Column) -> Column:
+    """The term without a possessive ending."""
+    return F.when(found.endswith("'s"), F.substring(found, 1, F.length(found) - 2)).otherwise(found)
 
 
 def sentiment_tokens(text: Column) -> Column:
     """Lower-case white-space tokens reduced to letters, digits and apostrophes."""
-    return F.array_remove(
-        F.transform(words(F.lower(text)), lambda t: F.regexp_replace(t, P.NOT_TOKEN, "")), ""
-    )
+    return words(F.regexp_replace(F.lower(text), P.NOT_TOKEN, ""))
 
 
 def chat_name(file_name: Column, trim_edges: bool = False) -> Column:

@@ -21,11 +21,12 @@ By = Sequence[str]
 _PLACES = 1 << 32
 
 
-def _counts(messages: DataFrame, tokens: Column, name: str, by: By) -> DataFrame:
+def _counts(messages: DataFrame, tokens: Column, name: str, by: By, wanted: Column | None = None) -> DataFrame:
     """Count per token and place of its first occurrence; tokens is an array column."""
     start = F.col("seq").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)")
     places = messages.select(*by, start.alias("_start"), F.posexplode(tokens).alias("_at", name))
-    return places.groupBy(*by, name).agg(
+    kept = places if wanted is None else places.where(wanted)
+    return kept.groupBy(*by, name).agg(
         F.count("*").alias("frequency"), F.min(F.col("_start") + F.col("_at")).alias("first_seen")
     )
 
@@ -59,11 +60,11 @@ def word_counts(
     lowered = F.lower(F.col("message"))
     tokens = text.words(text.clean(lowered) if clean else lowered)
 
-    def wanted(word: Column) -> Column:
-        long_enough = F.length(word) >= min_length
-        return long_enough & ~word.startswith("http") & ~word.startswith("<") if clean else long_enough
-
-    return _without(_counts(chosen, F.filter(tokens, wanted), "word", by), "word", stopwords)
+    word = F.col("word")
+    wanted = F.length(word) >= min_length
+    if clean:
+        wanted = wanted & ~word.startswith("http") & ~word.startswith("<")
+    return _without(_counts(chosen, tokens, "word", by, wanted), "word", stopwords)
 
 
 def common_words(messages: DataFrame, stopwords: DataFrame | None = None, n: int = 20, by: By = (), **options) -> DataFrame:
@@ -82,7 +83,8 @@ def term_weights(messages: DataFrame, stopwords: DataFrame | None = None, user:
         .transform(filters.without_notifications)
         .transform(filters.without_media())
     )
-    found = chosen.select(*by, F.explode(text.terms(text.clean(F.col("message")))).alias("term"))
+    found = chosen.select(*by, F.explode(text.terms(text.clean(F.col("message")))).alias("_found"))
+    found = found.select(*by, text.term_of(F.col("_found")).alias("term"))
     counts = _without(found.groupBy(*by, "term").agg(F.count("*").alias("frequency")), "term", stopwords)
     weighted = with_total(counts, F.max("frequency"), "_largest", by)
     return weighted.select(*by, "term", "frequency", (F.col("frequency") / F.col("_largest")).alias("weight"))
