@@ -49,14 +49,14 @@ def chat(spark: SparkSession, sf: str) -> DataFrame:
     """
     events, conversations = table(spark, sf, "events"), table(spark, sf, "conversations")
     turns = conversations.groupBy("conv_id").agg(F.count("*").alias("turns"))
-    conv_count = conversations.agg((F.max("conv_id") + 1).alias("n")).scalar()
+    # One number, read first: a subquery here would keep Spark from sharing the chat's shuffles within a query.
+    conv_count = (conversations.agg(F.max("conv_id")).first()[0] or 0) + 1
     placed = (
         spread(events.select("event_id", "ts", "user_id", "event_type"), "event_id")
-        .withColumn("_n", conv_count)
-        .withColumn("conv_id", F.col("event_id") % F.col("_n"))
+        .withColumn("conv_id", F.col("event_id") % conv_count)
         .join(turns, "conv_id")
-        .withColumn("turn", F.floor(F.col("event_id") / F.col("_n")) % F.col("turns"))
-        .join(conversations.select("conv_id", "turn", "text"), ["conv_id", "turn"])
+        .withColumn("turn", F.expr(f"event_id div {conv_count}") % F.col("turns"))
+        .join(spread(conversations.select("conv_id", "turn", "text"), "conv_id"), ["conv_id", "turn"])
     )
     e, c = F.col("event_id"), F.col("text")
     message = (
@@ -179,7 +179,7 @@ def replies(spark: SparkSession, sf: str) -> DataFrame:
 
 def stopwords(spark: SparkSession, sf: str) -> DataFrame:
     """Words that occur in more than a tenth of the conversation turns."""
-    conversations = table(spark, sf, "conversations")
+    conversations = spread(table(spark, sf, "conversations"), "conv_id")
     tokens = F.array_distinct(text.words(F.lower("text")))
     counts = conversations.select(F.explode(tokens).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
     limit = conversations.agg((F.count("*") * 0.1).alias("n")).scalar()
@@ -194,7 +194,8 @@ def stopword_lines(spark: SparkSession, sf: str) -> DataFrame:
 def lexicon(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation token, with polarity and emotion by its length."""
     token, length = F.col("token"), F.length("token")
-    tokens = table(spark, sf, "conversations").select(F.explode(text.sentiment_tokens(F.col("text"))).alias("token"))
+    turns = spread(table(spark, sf, "conversations"), "conv_id")
+    tokens = turns.select(F.explode(text.sentiment_tokens(F.col("text"))).alias("token"))
     polarity = F.when(length % 5 == 0, 1).when(length % 5 == 1, -1).otherwise(0)
     emotion = F.element_at(F.array(*[F.lit(e) for e in S.EMOTIONS]), (length % 7 + 1).cast("int"))
     return tokens.distinct().select(token, polarity.alias("polarity"), emotion.alias("emotion"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import text
-from parlance.operators.retrieval import citations, confidence
+from parlance.operators.retrieval import hit_summary
 
 # The replies of the three outcomes without an answer.
 BLANK_QUESTION = "Please ask a valid question."
@@ -28,8 +28,7 @@ def answer_table(questions: DataFrame, hits: DataFrame, answers: DataFrame) -> D
     outcome = F.when(blank, "blank").when(nothing, "nothing_found").when(failed, "error").otherwise("answered")
     joined = (
         questions.select("question_id", "question")
-        .join(confidence(hits), "question_id", "left")
-        .join(citations(hits), "question_id", "left")
+        .join(hit_summary(hits), "question_id", "left")
         .join(answers.select("question_id", "raw"), "question_id", "left")
         .withColumn("outcome", outcome)
     )

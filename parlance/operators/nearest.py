@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -40,7 +41,7 @@ class _Best:
 
     def __init__(self, questions: pa.Table, k: int, filtered: bool):
         self.ids = questions.column("question_id").combine_chunks()
-        self.vectors = _matrix(questions.column("embedding"))
+        self.vectors = _matrix(questions.column("_vector"))
         self.norms = (self.vectors**2).sum(axis=1)
         self.k = k
         self.kth = np.full(len(self.ids), np.inf)
@@ -52,7 +53,7 @@ class _Best:
         self.hits: pa.Table | None = None
 
     def add(self, rows: pa.Table) -> None:
-        usable = rows.filter(pa.compute.is_valid(rows.column("embedding")))
+        usable = rows.filter(pc.is_valid(rows.column("embedding")))
         step = max(64, _CELLS // max(1, len(self.ids)))
         for at in range(0, len(usable), step):
             self._add_block(usable.slice(at, step))
@@ -89,7 +90,7 @@ class _Best:
     def _merge(self, found: pa.Table) -> None:
         merged = found if self.hits is None else pa.concat_tables([self.hits, found])
         keys = [(name, "ascending") for name in ("_question", "distance", "chat_id", "seq")]
-        merged = merged.take(pa.compute.sort_indices(merged, sort_keys=keys))
+        merged = merged.take(pc.sort_indices(merged, sort_keys=keys))
         question = merged.column("_question").to_numpy()
         place = np.arange(len(question)) - np.searchsorted(question, question)
         self.hits = merged.filter(pa.array(place < self.k)).combine_chunks()
@@ -112,6 +113,8 @@ def _scan(questions: pa.Table, index: DataFrame, k: int, filtered: bool, output:
     shared = index.sparkSession.sparkContext.broadcast(questions)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(shared.value):
+            return
         best = _Best(shared.value, k, filtered)
         for batch in batches:
             best.add(pa.Table.from_batches([batch]))
@@ -143,6 +146,8 @@ def _blocks(questions: DataFrame, index: DataFrame, k: int, filtered: bool, outp
     )
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not len(left) or not len(right):
+            return schema.empty_table()
         best = _Best(left, k, filtered)
         best.add(right.drop_columns(["_part", "_block"]))
         return pa.Table.from_batches(list(best.batches(schema)), schema)
@@ -166,7 +171,7 @@ def nearest(
     is. The size of the question set is read first: up to broadcast_bytes it is sent to every task, beyond that
     blocks of questions are matched with blocks of vectors through a shuffle.
     """
-    columns = [F.col("question_id"), F.col("embedding")]
+    columns = [F.col("question_id").alias("question_id"), F.col("embedding").alias("_vector")]
     if within:
         start, end = (F.col(c) for c in within)
         stop = F.date_add(end, 1) if end_inclusive else end
@@ -179,7 +184,7 @@ def nearest(
         + [f for f in index.schema.fields if f.name != "embedding"]
         + [T.StructField("distance", T.DoubleType())]
     )
-    size = asked.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).first()[0] or 0
+    size = asked.agg(F.sum(F.size("_vector").cast("long") * 8 + 64)).first()[0] or 0
     if size <= broadcast_bytes:
         found = _scan(asked.toArrow(), index, k, bool(within), output)
     else:

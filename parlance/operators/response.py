@@ -26,28 +26,24 @@ def with_previous(messages: DataFrame, stripe_rows: int = STRIPE_ROWS) -> DataFr
         [F.date_trunc("hour", F.col("date"))],
         [],
     ]
-    open_rows = messages.select("chat_id", "date", "seq", "user")
+    open_rows = messages.select("chat_id", "date", "seq", "user", F.lit(True).alias("open"))
     linked = []
-    for level, keys in enumerate(slices):
+    for keys in slices:
         window = W.partitionBy("chat_id", *keys).orderBy("date", "seq")
         seen = open_rows.withColumns(
             {
-                "previous": F.lag(F.struct("date", "user", "seq")).over(window),
-                "next_seq": F.lead("seq").over(window),
+                "previous_date": F.lag("date").over(window),
+                "previous_user": F.lag("user").over(window),
+                "next_date": F.lead("date").over(window),
             }
         )
-        # A row whose predecessor in this slice is really the row before it is done. From the second level on a
-        # slice holds only end rows: the last row of an inner slice has met its predecessor already.
-        done = F.col("previous").isNotNull()
-        if level:
-            done = done & F.col("needs_previous")
-        linked.append(seen.where(done).select("chat_id", "date", "seq", "user", "previous"))
-        needs = F.col("previous").isNull() if not level else F.col("needs_previous") & F.col("previous").isNull()
-        last_level = level == len(slices) - 1
-        if last_level:
-            break
-        ends = F.col("previous").isNull() | F.col("next_seq").isNull()
-        open_rows = seen.where(ends).select("chat_id", "date", "seq", "user", needs.alias("needs_previous"))
+        # Open rows have not met the row before them yet. Beyond the first level every row is the first or the last
+        # of a smaller slice, and the last ones are there only to be met.
+        met = F.col("open") & F.col("previous_date").isNotNull()
+        linked.append(seen.where(met).select("chat_id", "date", "seq", "user", "previous_date", "previous_user"))
+        ends = F.col("previous_date").isNull() | F.col("next_date").isNull()
+        still_open = (F.col("open") & F.col("previous_date").isNull()).alias("open")
+        open_rows = seen.where(ends).select("chat_id", "date", "seq", "user", still_open)
     return reduce(DataFrame.unionAll, linked)
 
 
@@ -56,11 +52,11 @@ def response_pairs(messages: DataFrame, stripe_rows: int = STRIPE_ROWS) -> DataF
 
     The row before must not be a notification; the row itself may be one.
     """
-    minutes = F.timestamp_diff("SECOND", F.col("previous.date"), F.col("date")) / 60
+    minutes = F.timestamp_diff("SECOND", F.col("previous_date"), F.col("date")) / 60
     return (
         with_previous(messages, stripe_rows)
-        .where((F.col("user") != F.col("previous.user")) & (F.col("previous.user") != S.NOTIFICATION))
-        .select("chat_id", "seq", "user", F.col("previous.user").alias("previous_user"), minutes.alias("minutes"))
+        .where((F.col("user") != F.col("previous_user")) & (F.col("previous_user") != S.NOTIFICATION))
+        .select("chat_id", "seq", "user", "previous_user", minutes.alias("minutes"))
     )
 
 

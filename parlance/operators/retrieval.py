@@ -21,6 +21,7 @@ ENCODE_BATCH = 32
 OVER_FETCH = 2
 CONTEXT_ROWS = 10
 CITATIONS = 10
+BROADCAST_ROWS = 500_000
 
 
 def index_rows(messages: DataFrame) -> DataFrame:
@@ -125,29 +126,50 @@ def positioned(index: DataFrame, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
     return index if "pos" in index.columns else number_rows(index, stripe_rows=stripe_rows)
 
 
-def context(hits: DataFrame, index: DataFrame, size: int = 3, keys: Sequence[str] = (), stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+def context(
+    hits: DataFrame,
+    index: DataFrame,
+    size: int = 3,
+    keys: Sequence[str] = (),
+    stripe_rows: int = STRIPE_ROWS,
+    max_hits: int | None = None,
+) -> DataFrame:
     """The rows from `size` before to `size` after each hit, in the indexed table.
 
-    hits: message_id and the columns in keys, which are kept. Unknown ids find nothing. Hits are located by id,
-    widened to their neighbouring positions, and met with the index on (chat_id, pos): two equality joins.
+    hits: message_id and the columns in keys, which are kept. Unknown ids find nothing. Hits of a positioned index
+    know their place already; others are located by id. Either way the neighbouring positions meet the index on
+    (chat_id, pos), an equality join. max_hits is an upper bound of the hits, if there is one: a small one lets
+    them be broadcast, so that the index is not shuffled.
     """
     rows = positioned(index.drop("embedding"), stripe_rows)
-    places = rows.select(F.col("message_id").alias("_hit"), "chat_id", F.col("pos").alias("_pos"))
+    kept = [*keys, F.col("message_id").alias("hit_id")]
+    if {"chat_id", "pos"} <= set(hits.columns):
+        placed = hits.select(*kept, "chat_id", F.col("pos").alias("_pos"))
+    else:
+        places = rows.select(F.col("message_id").alias("hit_id"), "chat_id", F.col("pos").alias("_pos"))
+        asked = hits.select(*kept)
+        placed = (F.broadcast(asked) if _is_small(max_hits, 1) else asked).join(places, "hit_id")
     around = F.sequence(F.col("_pos") - size, F.col("_pos") + size)
-    wanted = (
-        hits.select(*keys, F.col("message_id").alias("hit_id"))
-        .join(places, F.col("hit_id") == F.col("_hit"))
-        .select(*keys, "hit_id", "chat_id", F.explode(around).alias("pos"))
-    )
-    return wanted.join(rows, ["chat_id", "pos"])
+    wanted = placed.select(*keys, "hit_id", "chat_id", F.explode(around).alias("pos"))
+    return (F.broadcast(wanted) if _is_small(max_hits, 2 * size + 1) else wanted).join(rows, ["chat_id", "pos"])
+
 
+def _is_small(hits: int | None, rows_each: int) -> bool:
+    return hits is not None and hits * rows_each <= BROADCAST_ROWS
 
-def context_union(hits: DataFrame, index: DataFrame, size: int = CONTEXT_ROWS, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
+
+def context_union(
+    hits: DataFrame,
+    index: DataFrame,
+    size: int = CONTEXT_ROWS,
+    stripe_rows: int = STRIPE_ROWS,
+    max_hits: int | None = None,
+) -> DataFrame:
     """Per question the messages around its hits, each once, in order of first appearance.
 
     Hits come in rank order and bring their window in chat order; a hit without a window stands for itself.
     """
-    rows = context(hits, index, size, ["question_id", "rank"], stripe_rows)
+    rows = context(hits, index, size, ["question_id", "rank"], stripe_rows, max_hits)
     kept = [c for c in ("chat_id", "seq", "message_id", "user", "date", "message")]
     alone = hits.join(rows.select("question_id", F.col("hit_id").alias("message_id")), ["question_id", "message_id"], "left_anti")
     offered = rows.select("question_id", "rank", "pos", *kept).unionByName(
@@ -160,8 +182,7 @@ def context_union(hits: DataFrame, index: DataFrame, size: int = CONTEXT_ROWS, s
     return first.select("question_id", *kept, F.col("place.rank").alias("rank"), F.col("place.pos").alias("pos"))
 
 
-def citations(hits: DataFrame, n: int = CITATIONS) -> DataFrame:
-    """question_id and its first n hits as an ordered array of numbered citations."""
+def _citation_list(n: int) -> Column:
     one = F.struct(
         F.col("rank").alias("id"),
         "user",
@@ -169,15 +190,34 @@ def citations(hits: DataFrame, n: int = CITATIONS) -> DataFrame:
         F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
         F.bround("similarity", 3).alias("score"),
     )
-    return hits.where(F.col("rank") <= n).groupBy("question_id").agg(F.sort_array(F.collect_list(one)).alias("citations"))
+    return F.sort_array(F.collect_list(F.when(F.col("rank") <= n, one)))
+
+
+def _confidence() -> Column:
+    best = F.avg(F.when(F.col("rank") <= 3, F.col("similarity")))
+    return F.least(best / 2, F.lit(1.0))
+
+
+def citations(hits: DataFrame, n: int = CITATIONS) -> DataFrame:
+    """question_id and its first n hits as an ordered array of numbered citations."""
+    return hits.groupBy("question_id").agg(_citation_list(n).alias("citations"))
 
 
 def confidence(hits: DataFrame) -> DataFrame:
     """question_id, half the mean similarity of its three best hits (at most 1), and the number of hits."""
-    best = F.avg(F.when(F.col("rank") <= 3, F.col("similarity")))
-    raw = F.least(best / 2, F.lit(1.0))
     return hits.groupBy("question_id").agg(
-        raw.alias("confidence_raw"), F.bround(raw, 2).alias("confidence"), F.count("*").alias("sources_count")
+        _confidence().alias("confidence_raw"),
+        F.bround(_confidence(), 2).alias("confidence"),
+        F.count("*").alias("sources_count"),
+    )
+
+
+def hit_summary(hits: DataFrame, n: int = CITATIONS) -> DataFrame:
+    """Citations, confidence and number of hits of each question, from one pass over the hits."""
+    return hits.groupBy("question_id").agg(
+        _citation_list(n).alias("citations"),
+        F.bround(_confidence(), 2).alias("confidence"),
+        F.count("*").alias("sources_count"),
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.operators.retrieval import positioned
 
@@ -23,8 +24,9 @@ def _write(table: DataFrame, path: str, mode: str) -> None:
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A stored table. Chat ids are text, whatever the folder names look like."""
-    read = spark.read.parquet(path)
-    return read.withColumn("chat_id", F.col("chat_id").cast("string"))
+    found = spark.read.parquet(path).schema
+    fields = [T.StructField(f.name, T.StringType()) if f.name == "chat_id" else f for f in found.fields]
+    return spark.read.schema(T.StructType(fields)).parquet(path)
 
 
 def checked_vectors(index: DataFrame, dimension: int | None = None) -> DataFrame:
@@ -43,11 +45,11 @@ def write_index(index: DataFrame, path: str, dimension: int | None = None) -> No
 
 
 def append_index(index: DataFrame, path: str, dimension: int | None = None) -> None:
-    """Add rows whose message id is not stored yet. Positions are left to the reader: they may have moved."""
+    """Add rows whose message id is not stored yet. Their positions stay empty: see read_index."""
     stored = read_table(index.sparkSession, path)
     ids = stored.select("chat_id", "message_id")
     new = checked_vectors(index, dimension).dropDuplicates(["chat_id", "message_id"])
-    added = new.join(ids, ["chat_id", "message_id"], "left_anti").drop("pos")
+    added = new.join(ids, ["chat_id", "message_id"], "left_anti").withColumn("pos", F.lit(None).cast("long"))
     _write(added, path, "append")
 
 
@@ -60,9 +62,10 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def clear_index(spark: SparkSession, path: str) -> None:
-    """Leave an empty table with the same columns."""
-    empty = read_table(spark, path).where(F.lit(False))
+    """Leave an empty table with the same columns: one file without rows keeps them."""
+    empty = spark.createDataFrame([], read_table(spark, path).schema)
     empty.write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("chat_id").parquet(path)
+    empty.drop("chat_id").write.mode("overwrite").parquet(f"{path}/chat_id=__HIVE_DEFAULT_PARTITION__")
 
 
 def write_topics_json(records: DataFrame, path: str) -> None:
