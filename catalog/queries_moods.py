@@ -29,7 +29,7 @@ def _group_sql(group: str = "") -> str:
     cols = f"{group}, " if group else ""
     hits = ", ".join(f"count(*) FILTER (emotion = '{e}') AS {e}" for e in EMOTIONS)
     join = f"LEFT JOIN {{}} USING ({group})" if group else "CROSS JOIN {}"
-    topic = "*, CAST(seq % 5 AS INTEGER) AS topic"
+    topic = "*, CAST(seq % 5 AS BIGINT) AS topic"
     signs = f"""(SELECT {cols}count(*) FILTER (score > 0) AS positives, count(*) FILTER (score < 0) AS negatives
       FROM (SELECT {topic} FROM scores JOIN (SELECT chat_id, seq, "user" FROM in_range) USING (chat_id, seq)) GROUP BY ALL)"""
     emotions = f"(SELECT {cols}{hits} FROM (SELECT {topic} FROM hits_of_tokens) GROUP BY ALL)"
@@ -75,7 +75,7 @@ def sentiment_scores(spark, sf):
     return mood.sentiment_scores(_rated(spark, sf, ["chat_id"]), ["chat_id"])
 
 
-@query("sentiment_empty_range", "SELECT 0.0 AS positive, 0 AS total_messages, 'No messages found.' AS insights")
+@query("sentiment_empty_range", "SELECT CAST(0 AS DOUBLE) AS positive, CAST(0 AS BIGINT) AS total_messages, 'No messages found.' AS insights")
 def sentiment_empty_range(spark, sf):
     rated = mood.sentiment(V.messages(spark, sf), V.lexicon(spark, sf), "1999-01-01", "1999-01-02")
     return rated.select("positive", "total_messages", "insights")
@@ -118,7 +118,7 @@ def sentiment_report(spark, sf):
 
 _TOPIC_ROWS = f"""SELECT chat_id, topic, count(*) AS message_count,
       array_to_string(list_sort(list(DISTINCT "user")), ',') AS participants
-    FROM (SELECT *, CAST(seq % 5 AS INTEGER) AS topic FROM in_range) GROUP BY chat_id, topic"""
+    FROM (SELECT *, CAST(seq % 5 AS BIGINT) AS topic FROM in_range) GROUP BY chat_id, topic"""
 
 
 @query("topic_summaries", _TOPIC_ROWS)
@@ -131,7 +131,7 @@ def topic_summaries(spark, sf):
     "topic_keywords",
     f"""SELECT topic, string_agg(word, ',' ORDER BY rank) AS key_keywords FROM (
       SELECT topic, word, row_number() OVER (PARTITION BY topic ORDER BY n DESC, word) AS rank FROM (
-        SELECT topic, word, count(*) AS n FROM (SELECT CAST(seq % 5 AS INTEGER) AS topic, unnest({D.tokens('message')}) AS word FROM in_range)
+        SELECT topic, word, count(*) AS n FROM (SELECT CAST(seq % 5 AS BIGINT) AS topic, unnest({D.tokens('message')}) AS word FROM in_range)
         WHERE length(word) > 2 AND word NOT IN (SELECT word FROM stopwords) GROUP BY ALL)) WHERE rank <= 3 GROUP BY topic""",
 )
 def topic_keywords(spark, sf):
@@ -211,7 +211,7 @@ def topic_prompts(spark, sf):
 @query(
     "topic_sentiment_prompts",
     _prompt_sql(
-        prompts.TOPIC_SENTIMENT, "(SELECT *, CAST(seq % 5 AS INTEGER) AS topic FROM in_range)", 15, "topic", topic="topic"
+        prompts.TOPIC_SENTIMENT, "(SELECT *, CAST(seq % 5 AS BIGINT) AS topic FROM in_range)", 15, "topic", topic="topic"
     ),
 )
 def topic_sentiment_prompts(spark, sf):
@@ -240,7 +240,7 @@ def sentiment_replies(spark, sf):
 
 @query(
     "topic_replies",
-    """SELECT response_id, doc IS NULL AS parse_error, coalesce(json_array_length(doc, '$.topics'), 0) AS topics,
+    """SELECT response_id, doc IS NULL AS parse_error, CAST(coalesce(json_array_length(doc, '$.topics'), 0) AS BIGINT) AS topics,
       CASE WHEN doc IS NULL THEN 'Unreadable reply: ' || left(raw, 300) ELSE doc->>'$.insights' END AS analysis_summary
     FROM parsed WHERE kind = 'topics'""",
 )
