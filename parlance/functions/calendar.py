@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parlance.functions import patterns as P
+
 
 def period(hour: Column) -> Column:
     """Label of the hour bucket, not zero padded except at midnight."""
@@ -20,6 +22,11 @@ def month_label(month: Column, year: Column) -> Column:
     return F.concat_ws("-", month, year.cast("string"))
 
 
+def iso(date: Column) -> Column:
+    """ISO text of a time, whatever the session's time zone."""
+    return F.translate(date.cast("string"), " ", "T")
+
+
 def parts(date: Column) -> dict[str, Column]:
     """The calendar columns of the message table."""
     return {
@@ -37,8 +44,6 @@ def parts(date: Column) -> dict[str, Column]:
 
 def header_time(header: Column) -> Column:
     """Time of a record header; null when it is not a valid day/month/4-digit-year, 12-hour time."""
-    from parlance.functions import patterns as P
-
     piece = F.split(header, f"(?:[/,:-]|{P.WS})+")
     number = [piece.getItem(i).try_cast("int") for i in range(5)]
     day, month, year, hour, minute = number

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.functions import calendar
 from parlance.operators.ordering import first_n
 
 SAMPLE = 50
@@ -77,7 +78,7 @@ def question_prompts(questions: DataFrame, context: DataFrame, template: str = Q
 
     A question has at most (hits) x (2 x window + 1) context lines.
     """
-    date = F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss")
+    date = calendar.iso(F.col("date"))
     line = F.concat(F.col("user"), F.lit(" ("), date, F.lit("): "), F.col("message"))
     order = [F.col(c) for c in ("rank", "pos", "message_id")]
     lines = context.groupBy("question_id").agg(_joined(line, order).alias("_lines"), F.count("*").alias("context_messages"))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parlance import schema as S
-from parlance.functions import text
+from parlance.functions import calendar, text
 from parlance.operators import filters
 from parlance.operators.nearest import nearest
 from parlance.operators.ordering import STRIPE_ROWS, first_n, number_rows
@@ -33,7 +33,7 @@ def index_metadata(rows: DataFrame) -> DataFrame:
     """The index columns with dates as ISO strings."""
     return rows.withColumns(
         {
-            "date": F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss"),
+            "date": calendar.iso(F.col("date")),
             "only_date": F.date_format("only_date", "yyyy-MM-dd"),
         }
     )
@@ -187,7 +187,7 @@ def _citation_list(n: int) -> Column:
         F.col("rank").alias("id"),
         "user",
         "message",
-        F.date_format("date", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp"),
+        calendar.iso(F.col("date")).alias("timestamp"),
         F.bround("similarity", 3).alias("score"),
     )
     return F.sort_array(F.collect_list(F.when(F.col("rank") <= n, one)))
