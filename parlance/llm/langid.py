@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from parlance.llm.shared import append_columns, keep
+from parlance.llm.shared import append_columns, slices
 
 #: Bound of the sample: labelled rows of each language that the model is fitted on.
 PER_LANGUAGE = 1500
@@ -36,6 +36,8 @@ BUCKETS = 1 << 17
 LONGEST, SWITCH = 5, 12.0
 #: Word scores held by a task before they are dropped and made anew.
 WORDS_HELD = 200_000
+#: Bytes of text scored at once.
+LOT_BYTES = 2 << 20
 
 #: First and last code points of scripts, by Unicode block (fixed values).
 SCRIPTS = [
@@ -221,18 +223,16 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
         model = shared.value
         known: dict[str, int] = {}
         table = [np.zeros((0, len(model.languages)), dtype=np.float32)]
-        for batch in batches:
-            out = []
-            for lot in range(0, batch.num_rows, 256):
-                texts = batch.column(place).slice(lot, 256).to_pylist()
-                if len(known) > WORDS_HELD:
-                    known.clear()
-                    table[0] = table[0][:0]
-                new = list({w for t in texts if t for w in words_of(t)}.difference(known)) if model.languages else []
-                if new:
-                    table[0] = np.concatenate([table[0], model.scores(new)])
-                    known.update(zip(new, range(len(known), len(known) + len(new))))
-                out += [label(t, model, known, table) for t in texts]
+        for batch in (part for whole in batches for part in slices(whole, LOT_BYTES)):
+            texts = batch.column(place).to_pylist()
+            if len(known) > WORDS_HELD:
+                known.clear()
+                table[0] = table[0][:0]
+            new = list({w for t in texts if t for w in words_of(t)}.difference(known)) if model.languages else []
+            if new:
+                table[0] = np.concatenate([table[0], model.scores(new)])
+                known.update(zip(new, range(len(known), len(known) + len(new))))
+            out = [label(t, model, known, table) for t in texts]
             yield batch, [
                 pa.array([x[0] for x in out], pa.string()),
                 pa.array([x[1] for x in out], pa.float64()),

@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parlance.llm import bpe, exact_dedup, langid, mixing, simhash
+from parlance.llm import bpe, exact_dedup, fingerprint, langid, mixing, pii, simhash, suffix_dedup, token_files
 from parlance.llm.shared import table
 
+#: Key of the registered query; a real job brings its own secret.
+PSEUDONYM_KEY = b"registered query"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -65,3 +68,31 @@ def op9_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op10_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     found = mixing.taken_copies(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+@query
+def op2_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        tokenizer = file.read()
+    path = token_files.new_path(spark)
+    token_files.write(table(spark, sf, "documents").select("doc_id", "text"), path, tokenizer)
+    files = token_files.read(spark, path)
+    found = token_files.placed(token_files.checksums(files), files.select("part", "n_tokens"))
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_pii_pseudonyms(spark: SparkSession, sf: str) -> DataFrame:
+    found = pii.protect(table(spark, sf, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return found.select("doc_id", "text", "n_values")
+
+
+@query
+def op3_bottom_k_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprint.against_next(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@query
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = suffix_dedup.remove_repeats(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

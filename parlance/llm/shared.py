@@ -62,13 +62,21 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[I
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of batches that reach about `most` bytes; whole rows only."""
+    """Runs of batches that reach about `most` bytes; larger batches are cut, whole rows only."""
     held, size = [], 0
-    for batch in batches:
-        held.append(batch)
-        size += batch.nbytes
-        if size >= most:
-            yield held
-            held, size = [], 0
+    for whole in batches:
+        for batch in slices(whole, most):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= most:
+                yield held
+                held, size = [], 0
     if held:
         yield held
+
+
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in slices of about `most` bytes, by its mean row."""
+    rows = max(1, int(batch.num_rows * most / max(1, batch.nbytes)))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)

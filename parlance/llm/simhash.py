@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from parlance.llm.shared import append_columns, keep, small_side
+from parlance.llm.shared import append_columns, keep, slices, small_side
 
 #: First bit and length of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -38,6 +38,8 @@ RADIUS = 2
 GENERATOR = 0b110001110101
 #: From so many distinct fingerprints of a key on, neighbours are looked up instead of compared in pairs.
 PAIRWISE = 2048
+#: Bytes of text fingerprinted at once.
+LOT_BYTES = 4 << 20
 
 
 def fingerprint_of(text: str | None, words: int) -> int:
@@ -65,8 +67,8 @@ def fingerprints(df: DataFrame, text: str = "text", words: int = 3, name: str =
     place = df.schema.fieldNames().index(text)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            values = np.array([fingerprint_of(t.as_py(), words) for t in batch.column(place)], dtype=np.uint64)
+        for batch in (part for whole in batches for part in slices(whole, LOT_BYTES)):
+            values = np.array([fingerprint_of(t, words) for t in batch.column(place).to_pylist()], dtype=np.uint64)
             yield batch, [pa.array(values.view(np.int64))]
 
     return append_columns(df, [T.StructField(name, T.LongType())], make)
