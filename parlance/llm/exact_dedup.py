@@ -159,10 +159,10 @@ def group_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each group of equal texts, all others dropped; the columns of df."""
-    marked = group_copies(df.select([F.col(f"`{c}`") for c in df.columns]), doc_id, text)
-    kept = marked.where("kept")
+    # All columns travel in one struct, so none can clash with the decisions.
+    packed = df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(doc_id).alias("__doc"), F.col(text).alias("__body"))
+    kept = group_copies(packed, "__doc", "__body").where("kept")
     # Repeated rows with the kept row's id and length would all stay: they are numbered, all other rows pass by.
     alone, copies = kept.where("group_size = 1"), kept.where("group_size > 1")
-    numbered = copies.withColumn("__n", F.row_number().over(Window.partitionBy("text_sha256").orderBy(doc_id))).where("__n = 1")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    return alone.select(columns).unionByName(numbered.select(columns))
+    numbered = copies.withColumn("__n", F.row_number().over(Window.partitionBy("text_sha256").orderBy("__doc"))).where("__n = 1")
+    return alone.select("__row.*").unionByName(numbered.select("__row.*"))

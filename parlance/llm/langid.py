@@ -212,8 +212,11 @@ def label(text: str | None, model: Model, known: dict[str, int], table: list) ->
     return model.languages[best], float(share[best] * certain), spans
 
 
-def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """df with lang_pred string, score double and lang_spans array<struct<words int, lang string>> (replaced if present)."""
+def identify(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+    """df with lang_pred string, score double and lang_spans array<struct<words int, lang string>> (replaced if present).
+
+    `prefix` is put before their names.
+    """
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.schema.fieldNames().index(text)
     spans = T.ArrayType(T.StructType([T.StructField("words", T.IntegerType()), T.StructField("lang", T.StringType())]))
@@ -239,7 +242,7 @@ def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 pa.array([[{"words": n, "lang": name} for n, name in x[2]] for x in out], span_type),
             ]
 
-    return append_columns(df, [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", spans)], make)
+    return append_columns(df, [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}lang_spans", spans)], make)
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

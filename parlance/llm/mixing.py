@@ -128,6 +128,7 @@ def taken_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sour
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", most: float = 3.0, seed: int = 1) -> DataFrame:
     """Every document as often as the mix takes it; the columns of df."""
-    taken = taken_copies(df.select([F.col(f"`{c}`") for c in df.columns]), doc_id, text, source, most, seed)
-    # `copies` and the like may also be columns of df: its own values come back through a struct.
-    return taken.where("copies > 0").withColumn("__n", F.explode(F.expr("sequence(1, copies)"))).select([F.col(f"`{c}`") for c in df.columns if c in taken.columns])
+    # All columns travel in one struct, so none can clash with the decisions.
+    packed = df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(doc_id).alias("__doc"), F.col(text).alias("__body"), F.col(source).alias("__from"))
+    taken = taken_copies(packed, "__doc", "__body", "__from", most, seed)
+    return taken.where("copies > 0").select(F.explode(F.expr("array_repeat(__row, cast(copies as int))")).alias("__row")).select("__row.*")

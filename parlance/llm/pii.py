@@ -175,11 +175,13 @@ def _date(value: str, f: Feistel, back: bool) -> str | None:
         while True:
             number = f.permute("date", number, n, back)
             new = FIRST_DAY + timedelta(days=number)
-            # Where the order was told by a day over 12, it has to be so again.
-            if (y, m, d) == orders[0] or new.day > 12:
+            # Where the order was told by a day over 12, it has to be so again; a single digit stays one.
+            widths = [len(x) for x in value.split(sign)]
+            fits = (widths[m] > 1 or new.month < 10) and (widths[d] > 1 or new.day < 10)
+            if fits and ((y, m, d) == orders[0] or new.day > 12):
                 break
         out = [""] * 3
-        out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:02d}", f"{new.day:02d}"
+        out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:0{widths[m]}d}", f"{new.day:0{widths[d]}d}"
         return sign.join(out)
     return None
 
