@@ -35,41 +35,30 @@ OVERALL = "Overall"
 # Senders and phrases that mark a row as a system message.
 SYSTEM_USERS = ["group_notification", "meta ai", "system"]
 SYSTEM_PHRASES = [
+    "group notification",
     "added",
-    "calls are end-to-end encrypted",
+    "removed",
     "created group",
-    "group notification",
-    "learn more",
     "left",
+    "calls are end-to-end encrypted",
+    "learn more",
     "messages are generated by ai",
+    "this message was deleted",
     "meta ai",
-    "meta can",
     "only people in this chat",
-    "removed",
-    "this message was deleted",
+    "meta can",
 ]
 
-# Transliterated words that are folded to lower case.
-TRANSLITERATED_WORDS = [
-    "ache",
-    "acha",
-    "ami",
-    "bhai",
-    "eita",
-    "haan",
-    "kothay",
-    "koto",
-    "kya",
-    "nahi",
-    "thik",
-    "tumi",
-    "yaar",
-]
+# Transliterated Hindi and Bengali words that are folded to lower case.
+HINGLISH_WORDS = ["kya", "haan", "nahi", "acha", "ache", "bhai", "yaar", "thik"]
+BENGLISH_WORDS = ["tumi", "ami", "ache", "eita", "koto", "kothay"]
+TRANSLITERATED_WORDS = HINGLISH_WORDS + BENGLISH_WORDS
 
 # Stop words used when the single-file list is missing.
 FALLBACK_STOPWORDS = ["the", "a", "an", "and", "or", "but", "in", "on", "at"]
 
-# The seven emotion names and the three that count as positive / the four as negative.
+# The seven emotion names and the three that count as positive / the four as negative. In alphabetical
+# order because of the tie rule: of equal emotions the first in the alphabet leads.
 EMOTIONS = ["anger", "concern", "enthusiasm", "excitement", "frustration", "joy", "sadness"]
 POSITIVE_EMOTIONS = ["enthusiasm", "excitement", "joy"]
 NEGATIVE_EMOTIONS = ["anger", "concern", "frustration", "sadness"]
