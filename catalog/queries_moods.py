@@ -108,7 +108,33 @@ def emotion_rows(spark, sf):
     return mood.emotion_rows(mood.sentiment_record(_rated(spark, sf, ["chat_id"]), ["chat_id"]), ["chat_id"])
 
 
-@query("sentiment_report")
+def _percent(value: str) -> str:
+    """A share as text, rounded half up to one decimal."""
+    return f"printf('%.1f%%', floor({value} * 1000 + 0.5) / 10)"
+
+
+_REPORT_LINES = [
+    "'Sentiment Analysis Report'",
+    D.q(f"Date Range: {RANGE}"),
+    "'Total Messages: ' || total_messages",
+    "''",
+    "'Overall Sentiment:'",
+    *[f"'- {label.title()}: ' || {_percent(label)}" for label in mood.LABELS],
+    "''",
+    "'Emotions:'",
+    *[f"CASE WHEN {e} > 0 THEN '- {e}: ' || {_percent(e)} END" for e in EMOTIONS],
+    "''",
+    "'Insights:'",
+    "total_messages || ' messages: ' || " + " || ', ' || ".join(f"{_percent(label)} || ' {label}'" for label in mood.LABELS) + " || '.'",
+]
+
+
+@query(
+    "sentiment_report",
+    f"""SELECT value, count(*) AS reports FROM (
+      SELECT unnest([{', '.join(_REPORT_LINES)}]) AS value
+      FROM (SELECT total_messages, {_SHARES}, {_EMOTION_SHARES} FROM {_group_sql('chat_id')})) WHERE value IS NOT NULL GROUP BY value""",
+)
 def sentiment_report(spark, sf):
     records = mood.sentiment_record(_rated(spark, sf, ["chat_id"]), ["chat_id"])
     path = V.scratch(spark)
@@ -116,15 +142,31 @@ def sentiment_report(spark, sf):
     return spark.read.text(path).groupBy("value").agg(F.count("*").alias("reports"))
 
 
-_TOPIC_ROWS = f"""SELECT chat_id, topic, count(*) AS message_count,
-      array_to_string(list_sort(list(DISTINCT "user")), ',') AS participants
-    FROM (SELECT *, CAST(seq % 5 AS BIGINT) AS topic FROM in_range) GROUP BY chat_id, topic"""
+_TOPIC_PEOPLE = """(SELECT chat_id, topic, array_to_string(list_sort(list(DISTINCT "user")), ',') AS participants
+    FROM (SELECT *, CAST(seq % 5 AS BIGINT) AS topic FROM in_range) GROUP BY chat_id, topic)"""
+_TOPIC_WORDS = f"""(SELECT chat_id, topic, string_agg(word, ',' ORDER BY rank) AS words FROM (
+      SELECT *, row_number() OVER (PARTITION BY chat_id, topic ORDER BY n DESC, word) AS rank FROM (
+        SELECT chat_id, topic, word, count(*) AS n
+        FROM (SELECT chat_id, CAST(seq % 5 AS BIGINT) AS topic, unnest({D.tokens('message')}) AS word FROM in_range)
+        WHERE length(word) > 2 AND word NOT IN (SELECT word FROM stopwords) GROUP BY ALL)) WHERE rank <= 3 GROUP BY ALL)"""
+_TOPIC_ROWS = f"""SELECT chat_id, topic, 'Topic ' || (topic + 1) AS topic_name, coalesce(replace(words, ',', ', '), '') AS description,
+      participants, total_messages AS message_count, {_SHARES}, coalesce(words, '') AS key_keywords
+    FROM {_group_sql('chat_id, topic')} JOIN {_TOPIC_PEOPLE} USING (chat_id, topic)
+      LEFT JOIN {_TOPIC_WORDS} USING (chat_id, topic)"""
+
+
+def _flat_topics(rows, *keys):
+    return rows.select(
+        *keys, "topic_name", "description", F.array_join("participants", ",").alias("participants"), "message_count",
+        *[F.col(f"sentiment.{label}").alias(label) for label in mood.LABELS],
+        F.array_join("key_keywords", ",").alias("key_keywords"),
+    )
 
 
 @query("topic_summaries", _TOPIC_ROWS)
 def topic_summaries(spark, sf):
     rows = topics.summarize_topics(V.assigned(spark, sf), V.lexicon(spark, sf), V.stopwords(spark, sf))
-    return rows.select("chat_id", "topic", "message_count", F.array_join("participants", ",").alias("participants"))
+    return _flat_topics(rows, "chat_id", "topic")
 
 
 @query(
@@ -139,29 +181,42 @@ def topic_keywords(spark, sf):
     return words.withColumn("key_keywords", F.array_join("key_keywords", ","))
 
 
-@query("topics_found")
+@query(
+    "topics_found",
+    f"""SELECT chat_id, count(*) AS message_count, array_to_string(list_sort(list(DISTINCT "user")), ',') AS participants,
+      true AS at_most_k
+    FROM in_range JOIN (
+      SELECT DISTINCT chat_id, seq FROM (SELECT chat_id, seq, unnest({D.tokens('message')}) AS word FROM in_range)
+      WHERE length(word) > 2 AND word NOT IN (SELECT word FROM stopwords)) USING (chat_id, seq)
+    WHERE chat_id IN (SELECT chat_id FROM in_range GROUP BY chat_id HAVING count(*) >= 10) GROUP BY chat_id""",
+)
 def topics_found(spark, sf):
-    found = topics.topics(
-        V.messages(spark, sf), V.lexicon(spark, sf), START, END, 3, V.stopwords(spark, sf), vocabulary=1000, iterations=5
-    )
-    return found.select(
-        "chat_id", "topic", "topic_name", "description", "message_count",
-        F.array_join("key_keywords", ",").alias("key_keywords"), F.size("participants").alias("participants"),
+    """What holds for any model: each message with a word is in one of the k topics, under its user."""
+    found = topics.topics(V.messages(spark, sf), V.lexicon(spark, sf), START, END, 3, V.stopwords(spark, sf))
+    everyone = F.array_sort(F.array_distinct(F.flatten(F.collect_list("participants"))))
+    return found.groupBy("chat_id").agg(
+        F.sum("message_count").alias("message_count"),
+        F.array_join(everyone, ",").alias("participants"),
+        ((F.max("topic") < 3) & (F.count("*") <= 3)).alias("at_most_k"),
     )
 
 
-@query("topics_json")
+@query(
+    "topics_json",
+    f"""SELECT t.* EXCLUDE (topic), {D.q(RANGE)} AS date_range, total_messages, 'Topics: ' || names AS analysis_summary
+    FROM ({_TOPIC_ROWS}) t JOIN (
+      SELECT chat_id, sum(message_count)::BIGINT AS total_messages, string_agg(topic_name, ', ' ORDER BY topic) AS names
+      FROM ({_TOPIC_ROWS}) GROUP BY chat_id) USING (chat_id)""",
+)
 def topics_json(spark, sf):
     messages = V.messages(spark, sf)
     rows = topics.summarize_topics(V.assigned(spark, sf), V.lexicon(spark, sf), V.stopwords(spark, sf))
     path = V.scratch(spark)
     store.write_topics_json(topics.topics_record(rows, messages, START, END), path)
-    back = spark.read.text(path)
-    return back.select(
-        F.get_json_object("value", "$.chat_id").alias("chat_id"),
-        F.get_json_object("value", "$.total_messages").cast("long").alias("total_messages"),
-        F.get_json_object("value", "$.analysis_summary").alias("analysis_summary"),
-    )
+    schema = f"chat_id string, date_range string, total_messages bigint, topics array<struct<{topics.TOPIC_FIELDS}>>, analysis_summary string"
+    back = spark.read.schema(schema).json(path)
+    flat = back.select("chat_id", "date_range", "total_messages", "analysis_summary", F.explode("topics").alias("t"))
+    return _flat_topics(flat.select("*", "t.*"), "chat_id", "date_range", "total_messages", "analysis_summary")
 
 
 # Prompts
@@ -221,32 +276,44 @@ def topic_sentiment_prompts(spark, sf):
 # Model replies
 
 
+def _asked(replies):
+    """What each reply was asked about."""
+    number = F.col("response_id")
+    return replies.select("response_id", (number % 100).alias("total_messages"), F.concat(F.lit("range "), number.cast("string")).alias("date_range"))
+
+
 @query(
     "sentiment_replies",
     """SELECT response_id, doc IS NULL AS parse_error,
       CASE WHEN doc IS NULL THEN 0.6 ELSE CAST(doc->>'$.overall_sentiment.positive' AS DOUBLE) END AS positive,
       CASE WHEN doc IS NULL THEN 0.3 ELSE CAST(doc->>'$.overall_sentiment.neutral' AS DOUBLE) END AS neutral,
       CASE WHEN doc IS NULL THEN 0.7 ELSE CAST(doc->>'$.emotions.joy' AS DOUBLE) END AS joy,
-      CASE WHEN doc IS NULL THEN 'Unreadable reply: ' || left(raw, 500) ELSE doc->>'$.insights' END AS insights
+      CASE WHEN doc IS NULL THEN 'Unreadable reply: ' || left(raw, 500) ELSE doc->>'$.insights' END AS insights,
+      response_id % 100 AS total_messages, 'range ' || response_id AS date_range
     FROM parsed WHERE kind = 'sentiment'""",
 )
 def sentiment_replies(spark, sf):
-    parsed = responses.parse_sentiment(V.model_replies(spark, sf).where(F.col("kind") == "sentiment"))
+    replies = V.model_replies(spark, sf).where(F.col("kind") == "sentiment")
+    parsed = responses.parse_sentiment(replies, asked=_asked(replies))
     return parsed.select(
         "response_id", "parse_error", "overall_sentiment.positive", "overall_sentiment.neutral",
-        F.col("emotions")["joy"].alias("joy"), "insights",
+        F.col("emotions")["joy"].alias("joy"), "insights", "total_messages", "date_range",
     )
 
 
 @query(
     "topic_replies",
     """SELECT response_id, doc IS NULL AS parse_error, CAST(coalesce(json_array_length(doc, '$.topics'), 0) AS BIGINT) AS topics,
-      CASE WHEN doc IS NULL THEN 'Unreadable reply: ' || left(raw, 300) ELSE doc->>'$.insights' END AS analysis_summary
+      CASE WHEN doc IS NULL THEN 'Unreadable reply: ' || left(raw, 300) ELSE doc->>'$.insights' END AS analysis_summary,
+      response_id % 100 AS total_messages, 'range ' || response_id AS date_range
     FROM parsed WHERE kind = 'topics'""",
 )
 def topic_replies(spark, sf):
-    parsed = responses.parse_topics(V.model_replies(spark, sf).where(F.col("kind") == "topics"))
-    return parsed.select("response_id", "parse_error", F.size("topics").alias("topics"), "analysis_summary")
+    replies = V.model_replies(spark, sf).where(F.col("kind") == "topics")
+    parsed = responses.parse_topics(replies, asked=_asked(replies))
+    return parsed.select(
+        "response_id", "parse_error", F.size("topics").alias("topics"), "analysis_summary", "total_messages", "date_range"
+    )
 
 
 @query(

@@ -27,9 +27,10 @@ def nearest_messages(spark, sf):
 
 @query("nearest_messages_blocked", f"SELECT {_HIT.replace('rank', 'place AS rank')} FROM ranked WHERE place <= 10")
 def nearest_messages_blocked(spark, sf):
-    found = retrieval.retrieve_similar(
-        V.questions(spark, sf), V.index(spark, sf), 10, broadcast_bytes=2000, block_rows=100
-    )
+    # Four blocks of questions, whatever their number.
+    asked = V.questions(spark, sf)
+    quarter = max(1, (asked.count() + 3) // 4) * (64 * 8 + 64)
+    found = retrieval.retrieve_similar(asked, V.index(spark, sf), 10, broadcast_bytes=quarter)
     return found.select("question_id", "rank", "chat_id", "seq", "message_id")
 
 

@@ -8,6 +8,7 @@ precision by direct subtraction; ties go to the smaller (chat_id, seq).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 << 20
+HIT_BYTES = 128
 MERGE_SALTS = 32
 _CELLS = 1 << 22
 
@@ -29,6 +31,16 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(np.float64)
 
 
+def _of_length(rows: pa.Table, width: int) -> pa.Table:
+    """The rows with a vector; one of another length than the questions' stops the job and is named."""
+    usable = rows.filter(pc.is_valid(rows.column("embedding")))
+    wrong = usable.filter(pc.not_equal(pc.list_value_length(usable.column("embedding")), width))
+    if len(wrong):
+        first = wrong.slice(0, 1).to_pylist()[0]
+        raise ValueError(f"vector of {len(first['embedding'])} elements, not {width}: chat {first['chat_id']!r}, seq {first['seq']}")
+    return usable
+
+
 def _micros(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Times as microseconds; missing ones as the smallest number."""
     if isinstance(column, pa.ChunkedArray):
@@ -53,25 +65,32 @@ class _Best:
         self.hits: pa.Table | None = None
 
     def add(self, rows: pa.Table) -> None:
-        usable = rows.filter(pc.is_valid(rows.column("embedding")))
+        usable = _of_length(rows, self.vectors.shape[1])
         step = max(64, _CELLS // max(1, len(self.ids)))
         for at in range(0, len(usable), step):
             self._add_block(usable.slice(at, step))
 
     def _add_block(self, rows: pa.Table) -> None:
         vectors = _matrix(rows.column("embedding"))
+        # A vector with an element that is no number has no distance and is never a neighbour.
+        finite = np.isfinite(vectors).all(axis=1)
+        if not finite.all():
+            rows, vectors = rows.filter(pa.array(finite)), vectors[finite]
+        if not len(rows):
+            return
         squares = (vectors**2).sum(axis=1)
         rough = self.norms[:, None] + squares[None, :] - 2.0 * (self.vectors @ vectors.T)
         if self.bounds is not None:
             dates = _micros(rows.column("date"))
             outside = (dates < self.bounds[0][:, None]) | (dates >= self.bounds[1][:, None])
             rough[outside] = np.inf
+        # Rounding of the product form stays far below this slack: true distances lie within it around the rough ones,
+        # and a neighbour's lower bound is at most the k-th least upper bound.
+        slack = 1e-9 * (self.norms[:, None] + squares[None, :])
         limit = self.kth
         if len(rows) > self.k:
-            limit = np.minimum(limit, np.partition(rough, self.k - 1, axis=1)[:, self.k - 1])
-        # Rounding of the product form stays far below this slack, so no true neighbour is lost here.
-        slack = 1e-9 * (self.norms + squares.max())
-        question, row = np.nonzero((rough <= (limit + slack)[:, None]) & np.isfinite(rough))
+            limit = np.minimum(limit, np.partition(rough + slack, self.k - 1, axis=1)[:, self.k - 1])
+        question, row = np.nonzero((rough - slack <= limit[:, None]) & np.isfinite(rough))
         if not len(question):
             return
         exact = np.empty(len(question))
@@ -123,36 +142,11 @@ def _scan(questions: pa.Table, index: DataFrame, k: int, filtered: bool, output:
     return index.mapInArrow(task, output)
 
 
-def _blocks(questions: DataFrame, index: DataFrame, k: int, filtered: bool, output: T.StructType, blocks: int, rows: int) -> DataFrame:
-    """Question blocks against vector blocks, for more questions than a broadcast should carry.
-
-    Each vector block meets each question block in one group; both sizes are set by the caller's bounds.
-    """
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    schema = to_arrow_schema(output)
-    parts = max(1, -(-index.count() // rows))
-    vectors = index.withColumns(
-        {
-            "_part": F.pmod(F.xxhash64("chat_id", "seq"), F.lit(parts)).cast("int"),
-            "_block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))),
-        }
-    )
-    spread = questions.withColumns(
-        {
-            "_block": F.pmod(F.xxhash64("question_id"), F.lit(blocks)).cast("int"),
-            "_part": F.explode(F.sequence(F.lit(0), F.lit(parts - 1))),
-        }
-    )
-
-    def group(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return schema.empty_table()
-        best = _Best(left, k, filtered)
-        best.add(right.drop_columns(["_part", "_block"]))
-        return pa.Table.from_batches(list(best.batches(schema)), schema)
-
-    return spread.groupBy("_block", "_part").cogroup(vectors.groupBy("_block", "_part")).applyInArrow(group, output)
+def _question_blocks(asked: DataFrame, blocks: int) -> Iterator[pa.Table]:
+    """The questions in blocks by a hash of their ids, one at a time."""
+    place = F.pmod(F.xxhash64("question_id"), F.lit(blocks))
+    for block in range(blocks):
+        yield asked.where(place == block).toArrow()
 
 
 def nearest(
@@ -162,41 +156,50 @@ def nearest(
     within: tuple[str, str] | None = None,
     end_inclusive: bool = False,
     broadcast_bytes: int = BROADCAST_BYTES,
-    block_rows: int = 50_000,
 ) -> DataFrame:
     """The k nearest index rows of every question: question_id, index columns, distance, rank.
 
     questions: question_id, embedding, and the two date columns named by `within` when the search itself is
-    limited to a date range. index: any columns with chat_id, seq, embedding (and date). k is capped by what there
-    is. The size of the question set is read first: up to broadcast_bytes it is sent to every task, beyond that
-    blocks of questions are matched with blocks of vectors through a shuffle.
+    limited to a date range. index: any columns with chat_id, seq, embedding (and date); chat_id and seq name a row.
+    k is capped by what there is. Vectors with non-finite elements are never neighbours, and a question with one finds
+    none; vectors of different lengths raise.
+
+    The questions' size is read first. Up to broadcast_bytes they are sent to every task; more are sent in blocks of that
+    size, one map-only scan for each, so the index is never shuffled. Only keys, dates and vectors pass through Python;
+    the other columns are joined to the hits, at most k for a question.
     """
     columns = [F.col("question_id").alias("question_id"), F.col("embedding").alias("_vector")]
     if within:
         start, end = (F.col(c) for c in within)
         stop = F.date_add(end, 1) if end_inclusive else end
         columns += [start.cast("timestamp_ntz").alias("_start"), stop.cast("timestamp_ntz").alias("_stop")]
-    asked = questions.where(F.col("embedding").isNotNull()).select(*columns)
+    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = questions.where(F.col("embedding").isNotNull() & finite).select(*columns)
 
-    id_type = asked.schema["question_id"].dataType
+    scanned = index.select("chat_id", "seq", "embedding", *(["date"] if within else []))
+    fields = {f.name: f for f in index.schema.fields}
     output = T.StructType(
-        [T.StructField("question_id", id_type)]
-        + [f for f in index.schema.fields if f.name != "embedding"]
-        + [T.StructField("distance", T.DoubleType())]
+        [asked.schema["question_id"], fields["chat_id"], fields["seq"], T.StructField("distance", T.DoubleType())]
     )
-    size = asked.agg(F.sum(F.size("_vector").cast("long") * 8 + 64)).first()[0] or 0
-    if size <= broadcast_bytes:
-        found = _scan(asked.toArrow(), index, k, bool(within), output)
-    else:
-        found = _blocks(asked, index, k, bool(within), output, -(-size // broadcast_bytes), block_rows)
+    size, asking = asked.agg(F.sum(F.size("_vector").cast("long") * 8 + 64), F.count("*")).first()
+    blocks = max(1, -(-(size or 0) // broadcast_bytes))
+    scans = [_scan(block, scanned, k, bool(within), output) for block in _question_blocks(asked, blocks)]
+    found = reduce(DataFrame.unionByName, scans)
 
     order = [F.col("distance"), F.col("chat_id"), F.col("seq")]
     salt = F.pmod(F.xxhash64("chat_id", "seq"), F.lit(MERGE_SALTS))
     partial = W.partitionBy("question_id", salt).orderBy(*order)
     final = W.partitionBy("question_id").orderBy(*order)
-    return (
+    hits = (
         found.withColumn("rank", F.row_number().over(partial))
         .where(F.col("rank") <= k)
         .withColumn("rank", F.row_number().over(final))
         .where(F.col("rank") <= k)
     )
+    others = [c for c in index.columns if c not in ("embedding", "chat_id", "seq")]
+    if not others:
+        return hits
+    # At most k rows for a question, whose number was counted above.
+    bounded = F.broadcast(hits) if asking * k * HIT_BYTES <= broadcast_bytes else hits
+    named = index.select("chat_id", "seq", *others).join(bounded, ["chat_id", "seq"])
+    return named.select("question_id", *[c for c in index.columns if c != "embedding"], "distance", "rank")

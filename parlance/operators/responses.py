@@ -53,10 +53,18 @@ def _pick(first: Column, second: Column) -> Column:
     return F.coalesce(F.nullif(first, F.lit("")), F.nullif(second, F.lit("")))
 
 
-def parse_sentiment(replies: DataFrame, fallback: bool = True) -> DataFrame:
+def _asked(parsed: DataFrame, asked: DataFrame | None) -> DataFrame:
+    """With what the reply was asked about: asked has response_id, total_messages and date_range."""
+    if asked is None:
+        return parsed
+    return parsed.join(asked.select("response_id", "total_messages", "date_range"), "response_id", "left")
+
+
+def parse_sentiment(replies: DataFrame, fallback: bool = True, asked: DataFrame | None = None) -> DataFrame:
     """Sentiment replies as columns; parse_error tells rows that could not be read.
 
-    With fallback such rows carry the fixed substitute values, otherwise nulls.
+    With fallback such rows carry the fixed substitute values, otherwise nulls. With asked (response_id,
+    total_messages, date_range) its two columns are added.
     """
     parsed = replies.withColumn("_json", valid_json(json_span(F.col("raw")))).withColumn(
         "_parsed", F.from_json("_json", S.SENTIMENT_RESPONSE)
@@ -69,7 +77,7 @@ def parse_sentiment(replies: DataFrame, fallback: bool = True) -> DataFrame:
     overall = F.struct(*[F.lit(v).alias(k) for k, v in FALLBACK_SENTIMENT.items()]).cast(S.SENTIMENT)
     emotions = F.create_map(*[F.lit(part) for pair in FALLBACK_EMOTIONS.items() for part in pair])
     shown = F.concat(F.lit("Unreadable reply: "), F.substring("raw", 1, RAW_SHOWN["sentiment"]))
-    return parsed.select(
+    columns = parsed.select(
         *replies.columns,
         value("overall_sentiment", overall),
         value("emotions", emotions),
@@ -77,10 +85,14 @@ def parse_sentiment(replies: DataFrame, fallback: bool = True) -> DataFrame:
         value("insights", shown),
         bad.alias("parse_error"),
     )
+    return _asked(columns, asked)
 
 
-def parse_topics(replies: DataFrame) -> DataFrame:
-    """Topic replies: topics array, analysis_summary (either key) and parse_error; unreadable ones have no topics."""
+def parse_topics(replies: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Topic replies: topics array, analysis_summary (either key) and parse_error; unreadable ones have no topics.
+
+    With asked (response_id, total_messages, date_range) its two columns are added.
+    """
     parsed = replies.withColumn("_json", valid_json(json_span(F.col("raw")))).withColumn(
         "_parsed", F.from_json("_json", S.TOPICS_RESPONSE)
     )
@@ -88,12 +100,13 @@ def parse_topics(replies: DataFrame) -> DataFrame:
     none = F.array().cast(S.TOPICS_RESPONSE["topics"].dataType)
     shown = F.concat(F.lit("Unreadable reply: "), F.substring("raw", 1, RAW_SHOWN["topics"]))
     summary = _pick(F.col("_parsed.analysis_summary"), F.col("_parsed.insights"))
-    return parsed.select(
+    columns = parsed.select(
         *replies.columns,
         F.coalesce(F.col("_parsed.topics"), none).alias("topics"),
         F.when(bad, shown).otherwise(summary).alias("analysis_summary"),
         bad.alias("parse_error"),
     )
+    return _asked(columns, asked)
 
 
 def topic_rows(parsed: DataFrame, keys: list[str]) -> DataFrame:

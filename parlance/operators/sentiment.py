@@ -19,6 +19,8 @@ from parlance.operators import filters
 
 LEXICON_BYTES = 64 << 20
 LABELS = ["positive", "neutral", "negative"]
+# Fixed value: the note of an empty range.
+NO_MESSAGES = "No messages found."
 
 
 def sized_broadcast(table: DataFrame, text_column: str, limit: int = LEXICON_BYTES) -> DataFrame:
@@ -88,7 +90,7 @@ def score_groups(messages: DataFrame, lexicon: DataFrame, by: Sequence[str] = ()
         "%d messages: %.1f%% positive, %.1f%% neutral, %.1f%% negative.",
         total, *[F.col(label) * 100 for label in LABELS]
     )
-    return rated.withColumn("insights", F.when(total > 0, note).otherwise("No messages found."))
+    return rated.withColumn("insights", F.when(total > 0, note).otherwise(NO_MESSAGES))
 
 
 def sentiment_record(rated: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -128,15 +130,17 @@ def emotion_rows(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def report_text(records: DataFrame, date_range: str, keys: Sequence[str] = ()) -> DataFrame:
-    """A text report per record, percentages with one decimal."""
+    """A text report per record, percentages with one decimal; emotions that are not there are left out."""
 
     def percent(value: Column) -> Column:
         return F.format_string("%.1f%%", value * 100)
 
     overall = F.col("overall_sentiment")
+    shown = F.filter(F.map_entries("emotions"), lambda e: e["value"] > 0)
     entries = F.transform(
-        F.array_sort(F.map_entries("emotions")), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), percent(e["value"]))
+        F.array_sort(shown), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), percent(e["value"]))
     )
+    # The report's labels.
     lines = [
         F.lit("Sentiment Analysis Report"),
         F.lit(f"Date Range: {date_range}"),

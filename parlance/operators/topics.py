@@ -11,12 +11,17 @@ from pyspark.sql import functions as F
 from parlance.functions import text
 from parlance.operators import filters
 from parlance.operators.ordering import first_n
-from parlance.operators.sentiment import LABELS, score_groups
+from parlance.operators.sentiment import LABELS, score_groups, sized_broadcast
 
 MINIMUM_MESSAGES = 10
 KEYWORDS = 3
+# Fixed value: the summary of a chat with too few messages.
 TOO_FEW = "Not enough messages."
 CHAT = ("chat_id",)
+TOPIC_FIELDS = (
+    "topic_name: string, description: string, participants: array<string>, message_count: bigint, "
+    "sentiment: struct<positive: double, neutral: double, negative: double>, key_keywords: array<string>"
+)
 
 
 def with_enough_messages(messages: DataFrame, by: Sequence[str] = CHAT) -> DataFrame:
@@ -29,37 +34,47 @@ def assign_topics(
     messages: DataFrame,
     stopwords: DataFrame | None = None,
     topics: int = 5,
-    vocabulary: int = 5000,
+    features: int = 1 << 16,
     iterations: int = 20,
     seed: int = 17,
-    stopword_limit: int = 100_000,
+    partitions: int = 32,
 ) -> DataFrame:
-    """The messages with the number of their most likely topic.
+    """The messages with the number of their most likely topic; a message without a counted word has none (null).
 
-    Stop words are removed by the vocabulary step, so their list must be small; a longer one raises.
+    Every word counts: words are hashed to `features` numbers, so no vocabulary is cut or gathered. Stop words are
+    removed by a join on the distinct words, whatever the length of their list. One model is fitted over all the messages
+    given. It depends on their order and partitioning, so both are fixed: rows are dealt by chat and sequence number into
+    `partitions` parts and sorted there.
     """
-    from pyspark.ml import Pipeline
     from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import CountVectorizer, StopWordsRemover
+    from pyspark.ml.feature import HashingTF
     from pyspark.ml.functions import vector_to_array
 
     tokens = F.filter(text.sentiment_tokens(F.col("message")), lambda t: F.length(t) > 2)
-    prepared = messages.withColumn("_tokens", tokens)
-    stages, column = [], "_tokens"
+    placed = messages.repartition(partitions, "chat_id", "seq").sortWithinPartitions("chat_id", "seq")
+    prepared = placed.withColumn("_tokens", tokens)
     if stopwords is not None:
-        listed = [row.word for row in stopwords.select("word").limit(stopword_limit + 1).collect()]
-        if len(listed) > stopword_limit:
-            raise ValueError(f"more than {stopword_limit} stop words")
-        stages.append(StopWordsRemover(inputCol="_tokens", outputCol="_kept", stopWords=listed))
-        column = "_kept"
-    stages += [
-        CountVectorizer(inputCol=column, outputCol="_counts", vocabSize=vocabulary),
-        LDA(featuresCol="_counts", topicDistributionCol="_topics", k=topics, maxIter=iterations, seed=seed),
-    ]
-    scored = Pipeline(stages=stages).fit(prepared).transform(prepared)
+        words = prepared.select("chat_id", "seq", F.posexplode("_tokens").alias("_at", "word"))
+        stop = sized_broadcast(stopwords.select("word").distinct(), "word")
+        kept = words.join(stop, "word", "left_anti").groupBy("chat_id", "seq")
+        listed = kept.agg(F.sort_array(F.collect_list(F.struct("_at", "word"))).alias("_list"))
+        again = prepared.drop("_tokens").join(listed, ["chat_id", "seq"], "left")
+        found = F.coalesce(F.transform("_list", lambda x: x["word"]), F.array().cast("array<string>"))
+        prepared = again.select(*messages.columns, found.alias("_tokens"))
+        prepared = prepared.repartition(partitions, "chat_id", "seq").sortWithinPartitions("chat_id", "seq")
+    counted = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features).transform(prepared)
+    # Every iteration reads the counts; what is lost with an executor is computed again.
+    training = counted.where(F.size("_tokens") > 0).select("_counts").persist()
+    try:
+        if training.limit(1).count() == 0:
+            return messages.withColumn("topic", F.lit(None).cast("int"))
+        model = LDA(featuresCol="_counts", topicDistributionCol="_topics", k=topics, maxIter=iterations, seed=seed).fit(training)
+    finally:
+        training.unpersist()
+    scored = model.transform(counted)
     weights = vector_to_array("_topics")
     best = F.array_position(weights, F.array_max(weights)).cast("int") - 1
-    return scored.withColumn("topic", best).drop("_tokens", "_kept", "_counts", "_topics")
+    return scored.withColumn("topic", F.when(F.size("_tokens") > 0, best)).drop("_tokens", "_counts", "_topics")
 
 
 def topic_keywords(assigned: DataFrame, stopwords: DataFrame | None = None, n: int = KEYWORDS, by: Sequence[str] = CHAT) -> DataFrame:
@@ -79,9 +94,10 @@ def summarize_topics(
 ) -> DataFrame:
     """One row per chat and topic: name, description, participants, message count, sentiment, keywords.
 
-    The participants of one chat are bounded by its membership, so they fit in one array.
+    Messages without a topic are in none. The participants of one chat are bounded by its membership, so they fit in one array.
     """
     keys = [*by, "topic"]
+    assigned = assigned.where(F.col("topic").isNotNull())
     users = assigned.groupBy(*keys, "user").agg(F.count("*").alias("n"))
     people = users.groupBy(*keys).agg(
         F.sum("n").alias("message_count"), F.sort_array(F.collect_list("user")).alias("participants")
@@ -117,17 +133,24 @@ def topics(
 def topics_record(
     topic_rows: DataFrame, messages: DataFrame, start: str | date, end: str | date, by: Sequence[str] = CHAT
 ) -> DataFrame:
-    """One row per chat in the export shape: date_range, total_messages, topics, analysis_summary."""
+    """One row per chat in the export shape: date_range, total_messages, topics, analysis_summary.
+
+    A chat without messages in the range has a row too, with total 0 and no topics.
+    """
     fields = ["topic_name", "description", "participants", "message_count", "sentiment", "key_keywords"]
     listed = F.sort_array(F.collect_list(F.struct("topic", *fields)))
     all_topics = topic_rows.groupBy(*by).agg(listed.alias("_topics"))
-    totals = messages.transform(filters.analysable(start, end)).groupBy(*by).agg(F.count("*").alias("total_messages"))
+    inside = messages.transform(filters.analysable(start, end)).groupBy(*by).agg(F.count("*").alias("_n"))
+    # As many rows as there are chats; counted first, so that only those counts meet.
+    everyone = messages.groupBy(*by).agg(F.count("*").alias("_all")).drop("_all")
+    totals = everyone.join(inside, list(by), "left").withColumn("total_messages", F.coalesce("_n", F.lit(0)))
+    empty = F.array().cast(f"array<struct<{TOPIC_FIELDS}>>")
     plain = F.transform("_topics", lambda t: F.struct(*[t[f].alias(f) for f in fields]))
     names = F.array_join(F.transform("_topics", lambda t: t["topic_name"]), ", ")
     return totals.join(all_topics, list(by), "left").select(
         *by,
         F.lit(f"{start} to {end}").alias("date_range"),
         "total_messages",
-        plain.alias("topics"),
+        F.coalesce(plain, empty).alias("topics"),
         F.when(F.col("_topics").isNull(), TOO_FEW).otherwise(F.concat(F.lit("Topics: "), names)).alias("analysis_summary"),
     )

@@ -1,7 +1,7 @@
 """Word, term and emoji frequencies.
 
 Ties between equally frequent words go to the one seen first. The place a word was first seen is carried as one
-fixed-width number (sequence number, then place in the message), which keeps the count a hash aggregation that
+long (sequence number, then place in the message), which keeps the count a hash aggregation that
 combines before the shuffle.
 """
 
@@ -18,17 +18,21 @@ from parlance.operators import filters
 from parlance.operators.ordering import first_n, with_total
 
 By = Sequence[str]
-_PLACES = 1 << 32
+#: Bits of a place in its message, and of a sequence number; both together are one long.
+_AT_BITS, _SEQ_BITS = 23, 40
 
 
 def _counts(messages: DataFrame, tokens: Column, name: str, by: By, wanted: Column | None = None) -> DataFrame:
-    """Count per token and place of its first occurrence; tokens is an array column."""
-    start = F.col("seq").cast("decimal(20,0)") * F.lit(_PLACES).cast("decimal(10,0)")
-    places = messages.select(*by, start.alias("_start"), F.posexplode(tokens).alias("_at", name))
+    """Count per token and place of its first occurrence; tokens is an array column.
+
+    Sequence numbers from 2^40 and messages from 2^23 tokens on have no such place and stop the job.
+    """
+    places = messages.select(*by, "seq", F.posexplode(tokens).alias("_at", name))
     kept = places if wanted is None else places.where(wanted)
-    return kept.groupBy(*by, name).agg(
-        F.count("*").alias("frequency"), F.min(F.col("_start") + F.col("_at")).alias("first_seen")
-    )
+    outside = (F.col("seq") < 0) | (F.col("seq") >= 1 << _SEQ_BITS) | (F.col("_at") >= 1 << _AT_BITS)
+    place = F.shiftleft(F.col("seq").cast("long"), _AT_BITS).bitwiseOR(F.col("_at").cast("long"))
+    first = F.when(outside, F.raise_error(F.lit("sequence number or message too large")).cast("long")).otherwise(place)
+    return kept.groupBy(*by, name).agg(F.count("*").alias("frequency"), F.min(first).alias("first_seen"))
 
 
 def _most_common(counts: DataFrame, name: str, n: int, by: By) -> DataFrame:

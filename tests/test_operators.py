@@ -151,7 +151,7 @@ def test_nearest_with_many_copies(spark, limit):
     """A third of the vectors are copies of one question: ties resolve by chat and sequence number."""
     matrix, index = vectors(spark, 300, copies=100)
     asked = index.where("seq in (0, 150, 299)").select(F.col("seq").alias("question_id"), "embedding")
-    found = nearest(asked, index.repartition(5), 9, broadcast_bytes=limit, block_rows=40)
+    found = nearest(asked, index.repartition(5), 9, broadcast_bytes=limit)
     got = {(r.question_id, r["rank"]): r.message_id for r in found.collect()}
     for q in (0, 150, 299):
         d = ((matrix.astype(np.float64) - matrix[q].astype(np.float64)) ** 2).sum(axis=1)
@@ -279,3 +279,47 @@ def test_word_count_matches_python(make_messages):
     for _, _, user, body in rows:
         want[user] += len(body.split())
     assert got == dict(want)
+
+
+def test_nearest_leaves_out_bad_vectors(spark):
+    """A vector that is no number hides no other one; one of another length is named."""
+    matrix, index = vectors(spark, 50)
+    bad = [("c0", 900, "nan", [float("nan")] * 6), ("c0", 901, "inf", [float("inf")] + [0.0] * 5), ("c0", 902, "none", None)]
+    index = index.unionByName(spark.createDataFrame(bad, index.schema)).coalesce(1)
+    asked = index.where("seq in (0, 900)").select(F.col("seq").alias("question_id"), "embedding")
+    got = [r.message_id for r in nearest(asked, index, 5).orderBy("rank").collect()]
+    d = ((matrix.astype(np.float64) - matrix[0].astype(np.float64)) ** 2).sum(axis=1)
+    assert got == [f"v{i}" for i in np.argsort(d)[:5]]
+    ragged = index.unionByName(spark.createDataFrame([("c0", 903, "short", [0.0] * 3), ("c0", 904, "long", [0.0] * 9)], index.schema))
+    with pytest.raises(Exception, match="seq 903"):
+        nearest(asked, ragged.coalesce(1), 5).collect()
+
+
+def test_nearest_blocks_do_not_shuffle_the_index(spark):
+    _, index = vectors(spark, 100)
+    asked = index.where("seq < 20").select(F.col("seq").alias("question_id"), "embedding")
+    found = nearest(asked, index, 3, broadcast_bytes=600).select("question_id", "chat_id", "seq", "rank")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") > 2
+    assert not [line for line in plan.splitlines() if "Exchange" in line and "embedding" in line]
+    assert found.count() == 60
+
+
+def test_messages_without_words_have_no_topic(spark, make_messages):
+    from parlance.operators import topics
+
+    rows = make_messages([("c", i, "u", "ok" if i % 2 else f"alpha beta gamma{i % 3}") for i in range(30)])
+    found = topics.assign_topics(rows, topics=2, iterations=2, partitions=2)
+    assert found.where("message = 'ok' and topic is not null").count() == 0
+    assert found.where("message <> 'ok' and topic is null").count() == 0
+    assert topics.assign_topics(rows.where("message = 'ok'"), topics=2).where("topic is null").count() == 15
+
+
+def test_exports_of_short_chats(spark, make_messages):
+    from parlance.operators import topics
+
+    rows = make_messages([("few", 0, "u", "hello")])
+    none = spark.createDataFrame([], f"chat_id string, topic int, {topics.TOPIC_FIELDS}")
+    inside, outside = (topics.topics_record(none, rows, a, b).first() for a, b in (("2024-01-01", "2024-12-31"), ("2020-01-01", "2020-01-02")))
+    assert (inside.topics, inside.total_messages, inside.analysis_summary) == ([], 1, topics.TOO_FEW)
+    assert (outside.topics, outside.total_messages) == ([], 0)
