@@ -101,13 +101,14 @@ def stored_index(spark, sf):
     return read.select("chat_id", "seq", "message_id", "user", "message", "pos", F.size("embedding").alias("dimension"))
 
 
-@query("appended_index", "SELECT chat_id, seq, message_id FROM index_rows")
+@query("appended_index", "SELECT chat_id, seq, message_id, pos FROM placed")
 def appended_index(spark, sf):
     path = V.scratch(spark)
     rows = V.index(spark, sf)
-    store.write_index(rows.where(F.col("user") != "user_3"), path)
+    # The first call finds nothing and creates the index.
+    store.append_index(rows.where(F.col("user") != "user_3"), path)
     store.append_index(rows, path)
-    return store.read_index(spark, path).select("chat_id", "seq", "message_id")
+    return store.read_index(spark, path).select("chat_id", "seq", "message_id", "pos")
 
 
 @query(

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,12 +32,8 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; a temporary one only for a local session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: no folder is shared by the executors")
-        shared = tempfile.mkdtemp(prefix="run-")
+    """A new folder below the cluster's shared checkpoint folder; below the warehouse where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{shared.rstrip('/')}/parlance-{uuid.uuid4().hex}"
 
 

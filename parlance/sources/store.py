@@ -2,70 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from parlance.operators.retrieval import positioned
 
+#: Folders of a stored table. A chat lies in the one that the hash of its id names, so their number doesn't grow with
+#: the chats. It is part of the stored form: tables written with another number are not read right.
+BUCKETS = 64
+_BUCKET = "_bucket"
 
-def write_messages(messages: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One folder per chat; overwriting replaces only the chats in the table.
 
-    The rebalance hint gathers small chats and splits large ones, so file sizes stay even.
+def bucket_of(chat_id: Column) -> Column:
+    return F.pmod(F.xxhash64(chat_id.cast("string")), F.lit(BUCKETS)).cast("int")
+
+
+def write_messages(messages: DataFrame, path: str) -> None:
+    """Replace the stored rows of the chats in the table; other chats stay.
+
+    Only the buckets of these chats are rewritten. The rebalance hint gathers small buckets and splits large ones, so
+    file sizes stay even; inside, rows are sorted by chat, so a read of one chat skips the others' row groups.
     """
-    _write(messages, path, mode)
+    _replace(messages, path)
+
+
+def _replace(table: DataFrame, path: str) -> None:
+    stored = _stored(table.sparkSession, path)
+    if stored is not None:
+        others = stored.join(_touched(table), _BUCKET, "left_semi").drop(_BUCKET)
+        others = others.join(table.select("chat_id").distinct(), "chat_id", "left_anti")
+        table = table.unionByName(others, allowMissingColumns=True)
+    _write(table, path)
+
+
+def _touched(table: DataFrame) -> DataFrame:
+    """The buckets of a table's chats: at most BUCKETS rows."""
+    return F.broadcast(table.select(bucket_of(F.col("chat_id")).alias(_BUCKET)).distinct())
 
 
-def _write(table: DataFrame, path: str, mode: str) -> None:
-    writer = table.hint("rebalance", "chat_id").write.partitionBy("chat_id")
-    writer.option("partitionOverwriteMode", "dynamic").mode(mode).parquet(path)
+def _write(table: DataFrame, path: str) -> None:
+    placed = table.withColumn(_BUCKET, bucket_of(F.col("chat_id"))).hint("rebalance", _BUCKET)
+    writer = placed.sortWithinPartitions(_BUCKET, "chat_id", "seq").write.partitionBy(_BUCKET)
+    writer.option("partitionOverwriteMode", "dynamic").mode("overwrite").parquet(path)
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A stored table. Chat ids are text, whatever the folder names look like."""
-    found = spark.read.parquet(path).schema
-    fields = [T.StructField(f.name, T.StringType()) if f.name == "chat_id" else f for f in found.fields]
-    return spark.read.schema(T.StructType(fields)).parquet(path)
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored rows with their bucket, None where nothing is stored yet."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    return found
+
+
+def read_table(spark: SparkSession, path: str, chat_id: str | None = None) -> DataFrame:
+    """A stored table, or one chat of it, of which only its bucket is read."""
+    table = spark.read.parquet(path)
+    if chat_id is not None:
+        table = table.where((F.col(_BUCKET) == bucket_of(F.lit(chat_id))) & (F.col("chat_id") == chat_id))
+    return table.drop(_BUCKET)
 
 
 def checked_vectors(index: DataFrame, dimension: int | None = None) -> DataFrame:
-    """The index; a row without a vector, or with one of another length, stops the job."""
-    bad = F.col("embedding").isNull()
-    if dimension is not None:
-        bad = bad | (F.size("embedding") != dimension)
+    """The index; a row without a vector, with one of another length or with a non-finite element stops the job.
+
+    Without a dimension, the length of one of the index's vectors is the rule.
+    """
+    if dimension is None:
+        first = index.where(F.col("embedding").isNotNull()).select(F.size("embedding")).first()
+        dimension = first[0] if first else 0
+    vector = F.col("embedding")
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    bad = vector.isNull() | (F.size(vector) != dimension) | ~finite
     complaint = F.raise_error(F.concat(F.lit("no valid vector for message "), F.col("message_id")))
-    vector = F.when(bad, complaint.cast("array<float>")).otherwise(F.col("embedding"))
-    return index.withColumn("embedding", vector)
+    return index.withColumn("embedding", F.when(bad, complaint.cast("array<float>")).otherwise(vector))
 
 
 def write_index(index: DataFrame, path: str, dimension: int | None = None) -> None:
     """Replace the stored rows of the chats in the index; positions are stored with them."""
-    _write(positioned(checked_vectors(index, dimension)), path, "overwrite")
+    _replace(positioned(checked_vectors(index, dimension)), path)
 
 
 def append_index(index: DataFrame, path: str, dimension: int | None = None) -> None:
-    """Add rows whose message id is not stored yet. Their positions stay empty: see read_index."""
-    stored = read_table(index.sparkSession, path)
-    ids = stored.select("chat_id", "message_id")
-    new = checked_vectors(index, dimension).dropDuplicates(["chat_id", "message_id"])
-    added = new.join(ids, ["chat_id", "message_id"], "left_anti").withColumn("pos", F.lit(None).cast("long"))
-    _write(added, path, "append")
+    """Add rows whose message id is not stored yet; where nothing is stored, create the index.
+
+    Of rows with the same id the one with the smallest seq counts. The buckets of the new rows' chats are rewritten with
+    the positions of their chats counted anew, so every stored row has its position.
+    """
+    stored = _stored(index.sparkSession, path)
+    if stored is None:
+        table = checked_vectors(index, dimension)
+    else:
+        if dimension is None:
+            first = stored.select(F.size("embedding")).first()
+            dimension = first[0] if first else None
+        checked = checked_vectors(index, dimension)
+        near = stored.join(_touched(index), _BUCKET, "left_semi").drop(_BUCKET, "pos")
+        new = checked.join(near.select("chat_id", "message_id"), ["chat_id", "message_id"], "left_anti")
+        table = near.unionByName(new.select(*near.columns))
+    once = F.row_number().over(W.partitionBy("chat_id", "message_id").orderBy("seq"))
+    table = table.withColumn("_once", once).where(F.col("_once") == 1).drop("_once")
+    _write(positioned(table), path)
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The stored index. Positions are computed anew when appended rows came without them."""
-    table = read_table(spark, path)
-    if "pos" in table.columns and table.where(F.col("pos").isNull()).limit(1).count():
-        table = table.drop("pos")
-    return table
+    """The stored index with each row's position in its chat."""
+    return read_table(spark, path)
 
 
 def clear_index(spark: SparkSession, path: str) -> None:
     """Leave an empty table with the same columns: one file without rows keeps them."""
-    empty = spark.createDataFrame([], read_table(spark, path).schema)
-    empty.write.option("partitionOverwriteMode", "static").mode("overwrite").partitionBy("chat_id").parquet(path)
-    empty.drop("chat_id").write.mode("overwrite").parquet(f"{path}/chat_id=__HIVE_DEFAULT_PARTITION__")
+    columns = spark.read.parquet(path).drop(_BUCKET).schema
+    empty = spark.createDataFrame([], columns)
+    whole = empty.withColumn(_BUCKET, F.lit(0)).write.option("partitionOverwriteMode", "static").mode("overwrite")
+    whole.partitionBy(_BUCKET).parquet(path)
+    empty.write.mode("overwrite").parquet(f"{path}/{_BUCKET}=0")
 
 
 def write_topics_json(records: DataFrame, path: str) -> None:

@@ -210,6 +210,29 @@ def test_store(spark, make_messages, tmp_path):
     assert got == {"00": "text 0", "01": "new", "02": "text 2"}
 
 
+def test_stored_tables_keep_few_files(spark, make_messages, tmp_path):
+    """Folders are bounded by the buckets, not by the chats."""
+    rows = make_messages([(f"chat {c}", m, "A", "x") for c in range(1000) for m in range(2)])
+    path = tmp_path / "many"
+    store.write_messages(rows, str(path))
+    assert len(list(path.glob("_bucket=*"))) <= store.BUCKETS
+    assert len(list(path.glob("_bucket=*/*.parquet"))) <= 2 * store.BUCKETS
+    assert store.read_table(spark, str(path)).count() == 2000
+    assert store.read_table(spark, str(path), "chat 7").count() == 2
+
+
+def test_append_creates_and_numbers(spark, tmp_path):
+    path = str(tmp_path / "index")
+    _, index = vectors(spark, 12)
+    store.append_index(index.where("seq % 2 = 0"), path)
+    store.append_index(index, path)
+    got = {(r.chat_id, r.seq): r.pos for r in store.read_index(spark, path).collect()}
+    assert got == {(f"c{i % 3}", i): i // 3 + 1 for i in range(12)}
+    for bad in ([1.0] * 5, [float("nan")] * 6):
+        with pytest.raises(Exception, match="no valid vector"):
+            store.append_index(spark.createDataFrame([("c9", 0, "new", bad)], index.schema), path)
+
+
 def test_index_store(spark, tmp_path):
     path = str(tmp_path / "index")
     _, index = vectors(spark, 20)
