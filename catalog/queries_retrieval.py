@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalog import duck as D
 from catalog import views as V
 from catalog.registry import query
+from parlance.functions import text
 from parlance.operators import answers, prompts, retrieval
+from parlance.plans import jobs
 
 _HIT = "question_id, rank, chat_id, seq, message_id"
 
@@ -171,8 +174,43 @@ def index_stats(spark, sf):
     return retrieval.index_stats(V.index(spark, sf))
 
 
-@query("hashed_embeddings")
+@query(
+    "hashed_embeddings",
+    f"""SELECT chat_id, seq, 384 AS dimension, CASE WHEN len({D.tokens('message')}) > 0 THEN 1.0 ELSE 0.0 END AS norm
+    FROM indexable""",
+)
 def hashed_embeddings(spark, sf):
-    rows = retrieval.embed(retrieval.index_rows(V.messages(spark, sf)))
+    rows = retrieval.index_rows(V.messages(spark, sf))
+    vectors = retrieval.embed(rows, retrieval.fit_embedding(rows))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
-    return rows.select("chat_id", "seq", F.size("embedding").alias("dimension"), F.round(norm, 3).alias("norm"))
+    return vectors.select("chat_id", "seq", F.size("embedding").alias("dimension"), F.round(norm, 3).alias("norm"))
+
+
+@query(
+    "questions_answered",
+    f"""SELECT chat_id || ' ' || seq AS question_id, 1.0 AS best_similarity, 'answer to ' || chat_id || ' ' || seq AS answer,
+      contains(message, chr(10)) IS NOT NULL AS has_prompt, 'answered' AS outcome
+    FROM indexable WHERE seq % 400 = 7 AND len({D.tokens('message')}) > 0""",
+)
+def questions_answered(spark, sf):
+    """Messages to index, index to hits, hits to prompts, replies to answers; each question repeats a stored message."""
+    messages = V.messages(spark, sf)
+    path = V.scratch(spark)
+    index = jobs.build_index(messages, path)
+    name = F.concat_ws(" ", "chat_id", F.col("seq").cast("string"))
+    with_words = F.size(text.sentiment_tokens(F.col("message"))) > 0
+    nobound = F.lit(None).cast("date")
+    questions = (
+        retrieval.index_rows(messages)
+        .where((F.col("seq") % 400 == 7) & with_words)
+        .select(name.alias("question_id"), F.col("message").alias("question"), nobound.alias("start"), nobound.alias("end"))
+    )
+    hits_path = V.scratch(spark)
+    jobs.ask(questions, path, 3).write.parquet(hits_path)
+    hits = spark.read.parquet(hits_path)
+    prompts_of = jobs.prompt_batch(questions, hits, index, k=3)
+    replies = prompts_of.where(F.col("prompt") != "").select("question_id", F.concat(F.lit("answer to "), "question_id").alias("raw"))
+    best = hits.groupBy("question_id").agg(F.round(F.max("similarity"), 6).alias("best_similarity"))
+    table = jobs.answer_batch(questions, hits, replies).join(best, "question_id")
+    shown = prompts_of.select("question_id", F.col("prompt").isNotNull().alias("has_prompt"))
+    return table.join(shown, "question_id").select("question_id", "best_similarity", "answer", "has_prompt", "outcome")

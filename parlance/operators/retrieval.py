@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from datetime import date
+from typing import TYPE_CHECKING
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,9 @@ from parlance.operators import filters
 from parlance.operators.nearest import nearest
 from parlance.operators.ordering import STRIPE_ROWS, first_n, number_rows
 
+if TYPE_CHECKING:
+    from pyspark.ml import PipelineModel
+
 ENCODE_BATCH = 32
 OVER_FETCH = 2
 CONTEXT_ROWS = 10
@@ -39,27 +43,45 @@ def index_metadata(rows: DataFrame) -> DataFrame:
     )
 
 
-def embed(rows: DataFrame, features: int = 384) -> DataFrame:
-    """Built-in embedding of the normalised message: hashed term weights of unit length.
+def fit_embedding(rows: DataFrame, features: int = 384) -> PipelineModel:
+    """The built-in embedding, fitted on messages: hashed term counts weighted by rarity, of unit length.
 
-    An empty text gets the zero vector.
+    It holds one weight for each of its `features`. Fit it once and keep it (`model.save(path)`, `load_embedding`):
+    messages of later batches and questions have to be embedded by the same weights to be comparable.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
+
+    stages = [
+        HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
+        IDF(inputCol="_counts", outputCol="_weights"),
+        Normalizer(inputCol="_weights", outputCol="_unit"),
+    ]
+    return Pipeline(stages=stages).fit(_with_tokens(rows.select("message"), "message"))
+
+
+def load_embedding(path: str) -> PipelineModel:
+    from pyspark.ml import PipelineModel
+
+    return PipelineModel.load(path)
+
+
+def _with_tokens(rows: DataFrame, column: str) -> DataFrame:
+    return rows.withColumn("_tokens", text.sentiment_tokens(text.normalize(F.col(column))))
+
+
+def embed(rows: DataFrame, model: PipelineModel, column: str = "message") -> DataFrame:
+    """rows with the embedding of a text column. An empty text, or one of unknown words, gets the zero vector."""
     from pyspark.ml.functions import vector_to_array
 
-    prepared = rows.withColumn("_tokens", text.sentiment_tokens(text.normalize(F.col("message"))))
-    stages = Pipeline(
-        stages=[
-            HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
-            IDF(inputCol="_counts", outputCol="_weights"),
-            Normalizer(inputCol="_weights", outputCol="_unit"),
-        ]
-    )
-    unit = stages.fit(prepared).transform(prepared)
-    return unit.withColumn("embedding", vector_to_array("_unit", "float32")).drop(
-        "_tokens", "_counts", "_weights", "_unit"
-    )
+    unit = model.transform(_with_tokens(rows.withColumn(column, F.coalesce(F.col(column), F.lit(""))), column))
+    vectors = unit.withColumn("embedding", vector_to_array("_unit", "float32"))
+    return vectors.drop("_tokens", "_counts", "_weights", "_unit")
+
+
+def embed_questions(questions: DataFrame, model: PipelineModel) -> DataFrame:
+    """Questions (question_id, question and any others) with embeddings by the index's model."""
+    return embed(questions, model, "question")
 
 
 def embed_with(rows: DataFrame, load: Callable[[], Callable[[list[str]], np.ndarray]]) -> DataFrame:

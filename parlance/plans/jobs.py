@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance import schema as S
@@ -47,13 +48,34 @@ def dashboard(messages: DataFrame, user: str = S.OVERALL, stopwords: DataFrame |
     return tables
 
 
-def build_index(messages: DataFrame, path: str, embed=retrieval.embed) -> DataFrame:
-    """Embed the indexable messages, replace their chats in the stored index, and return the stored index."""
+def build_index(messages: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Embed the indexable messages, replace their chats in the stored index, and return the stored index.
+
+    Without an embedding of the caller's, the built-in one of the path is used; the first call fits and stores it.
+    """
     spark = messages.sparkSession
-    store.write_index(embed(retrieval.index_rows(messages)), path)
+    rows = retrieval.index_rows(messages)
+    store.write_index(embed(rows) if embed else retrieval.embed(rows, index_embedding(rows, path)), path)
     return store.read_index(spark, path)
 
 
+def index_embedding(rows: DataFrame, path: str) -> PipelineModel:
+    """The embedding stored beside an index; fitted on the rows and stored where there is none."""
+    place = f"{path.rstrip('/')}.embedding"
+    if store.exists(rows.sparkSession, f"{place}/metadata"):
+        return retrieval.load_embedding(place)
+    model = retrieval.fit_embedding(rows)
+    model.save(place)
+    return model
+
+
+def ask(questions: DataFrame, path: str, k: int = 5, **options) -> DataFrame:
+    """The hits of questions (question_id, question, start, end) in a stored index, by its own embedding."""
+    spark = questions.sparkSession
+    asked = retrieval.embed_questions(questions, retrieval.load_embedding(f"{path.rstrip('/')}.embedding"))
+    return question_hits(asked, store.read_index(spark, path), k, **options)
+
+
 def question_hits(questions: DataFrame, index: DataFrame, k: int = 5, **options) -> DataFrame:
     """The hits of a batch of questions. Both the prompts and the answers need them: store or persist the result."""
     return retrieval.retrieve(questions, index, k, **options)

@@ -59,6 +59,17 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     return found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is stored at a path, in any file system that Spark reads."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
+    return True
+
+
 def read_table(spark: SparkSession, path: str, chat_id: str | None = None) -> DataFrame:
     """A stored table, or one chat of it, of which only its bucket is read."""
     table = spark.read.parquet(path)
