@@ -73,7 +73,8 @@ VIEWS = {
       CASE WHEN event_id % 41 = 0 THEN 'group_notification' ELSE 'user_' || user_id END AS "user",
       CASE WHEN event_id % 41 = 0 THEN 'Someone created group' WHEN event_id % 23 = 0 THEN '<Media omitted>'
         WHEN event_id % 29 = 0 THEN '' WHEN event_id % 31 = 0 THEN 'see http://example.com/' || event_id || ' now'
-        WHEN event_id % 37 = 0 THEN left(text, 20) || ' 😀😀🎉' WHEN event_id % 43 = 0 THEN 'আমি ভালো ok'
+        WHEN event_id % 37 = 0 THEN text || ' 😀' || substring('😀🎉😂👍🙏🔥😊😍😢🚀🌟🍕🎂🐱', CAST(event_id // 37 % 14 + 1 AS INTEGER), 1)
+        WHEN event_id % 86 = 0 THEN 'আমি ভালো' WHEN event_id % 43 = 0 THEN 'আমি ভালো ok' WHEN event_id % 94 = 0 THEN 'नमस्ते ji'
         WHEN event_id % 47 = 0 THEN 'नमस्ते' WHEN event_id % 53 = 0 THEN 'I LEFT, Kya yaar'
         WHEN event_id % 59 = 0 THEN 'note: one: two' ELSE text END AS message
     FROM events CROSS JOIN (SELECT max(conv_id) + 1 AS n FROM conversations)

@@ -29,6 +29,34 @@ def transcript_records(spark, sf):
     return transcripts.split_records(V.transcript_parts(spark, sf)).drop("header")
 
 
+_SPLITS = {"lines": "128MB", "lines, small splits": "20000"}
+
+
+@query(
+    "transcript_files",
+    f"""SELECT reader, replace({_PART}, '/', '_') AS chat_id, row_number() OVER (PARTITION BY reader, {_PART} ORDER BY date, seq) - 1 AS seq,
+      strftime(date, '%Y-%m-%d %H:%M:%S') AS date, "user", {_Q3} AS message
+    FROM chat CROSS JOIN (VALUES ('whole'), {', '.join(f"({D.q(name)})" for name in _SPLITS)}) AS r(reader)""",
+)
+def transcript_files(spark, sf):
+    """The chats as files, read whole and by lines with two split sizes: the same rows and numbers each time."""
+    folder = V.transcript_folder(spark, sf)
+    columns = ["chat_id", "seq", "date", "user", "message"]
+    found = transcripts.accepted(transcripts.read_transcripts(spark, folder)).select(F.lit("whole").alias("reader"), *columns)
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    for name, size in _SPLITS.items():
+        path = V.scratch(spark)
+        spark.conf.set(key, size)
+        try:
+            by_lines = transcripts.accepted(transcripts.read_transcripts(spark, folder, whole_file_bytes=1000, piece_records=100))
+            by_lines.select(F.lit(name).alias("reader"), *columns).write.parquet(path)
+        finally:
+            spark.conf.set(key, before)
+        found = found.unionByName(spark.read.parquet(path))
+    return found
+
+
 @query(
     "transcript_messages",
     f"""SELECT count(*) AS messages, count(DISTINCT "user") AS users, CAST(sum(length({_Q3})) AS BIGINT) AS characters,
@@ -55,16 +83,16 @@ def transcript_rejects(spark, sf):
 @query(
     "chat_names",
     r"""SELECT doc_id,
-      regexp_replace(replace(replace(source || ' ' || lang || '-' || left(text, 20) || '.txt', '.txt', ''), ' ', '_'),
+      regexp_replace(replace(replace(source || ' ' || lang || '-' || text || '.txt', '.txt', ''), ' ', '_'),
         '[^\p{L}\p{N}_-]', '', 'g') AS chat_id,
-      coalesce(nullif(trim(regexp_replace(replace('_' || left(text, 9), ' ', '_'), '[^\p{L}\p{N}_-]', '', 'g'), '_-'), ''),
+      coalesce(nullif(trim(regexp_replace(replace('_' || text, ' ', '_'), '[^\p{L}\p{N}_-]', '', 'g'), '_-'), ''),
         'chat') AS folder
     FROM documents""",
 )
 def chat_names(spark, sf):
     documents = V.table(spark, sf, "documents")
-    name = F.concat("source", F.lit(" "), "lang", F.lit("-"), F.substring("text", 1, 20), F.lit(".txt"))
-    folder = F.concat(F.lit("_"), F.substring("text", 1, 9), F.lit(".txt"))
+    name = F.concat("source", F.lit(" "), "lang", F.lit("-"), "text", F.lit(".txt"))
+    folder = F.concat(F.lit("_"), "text", F.lit(".txt"))
     return documents.select(
         "doc_id", text.chat_name(name).alias("chat_id"), text.chat_name(folder, trim_edges=True).alias("folder")
     )

@@ -18,6 +18,9 @@ TABLES = (
 ).split()
 
 
+EMOJIS = "😀🎉😂👍🙏🔥😊😍😢🚀🌟🍕🎂🐱"
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf, f"{name}.parquet"))
 
@@ -59,8 +62,10 @@ def chat(spark: SparkSession, sf: str) -> DataFrame:
         .when(e % 23 == 0, S.MEDIA_MARKER)
         .when(e % 29 == 0, "")
         .when(e % 31 == 0, F.concat(F.lit("see http://example.com/"), e.cast("string"), F.lit(" now")))
-        .when(e % 37 == 0, F.concat(F.substring(c, 1, 20), F.lit(" 😀😀🎉")))
+        .when(e % 37 == 0, F.concat(c, F.lit(" 😀"), F.substring(F.lit(EMOJIS), F.expr("cast(event_id div 37 % 14 + 1 as int)"), F.lit(1))))
+        .when(e % 86 == 0, "আমি ভালো")
         .when(e % 43 == 0, "আমি ভালো ok")
+        .when(e % 94 == 0, "नमस्ते ji")
         .when(e % 47 == 0, "नमस्ते")
         .when(e % 53 == 0, "I LEFT, Kya yaar")
         .when(e % 59 == 0, "note: one: two")
@@ -133,6 +138,22 @@ def transcript_parts(spark: SparkSession, sf: str, rows: int = 1000) -> DataFram
     )
 
 
+def transcript_folder(spark: SparkSession, sf: str) -> str:
+    """The transcript texts as files `chat_part.txt` in a new shared folder: written by Spark, then given their names."""
+    texts = transcript_parts(spark, sf).select(
+        F.translate("chat_id", "/", "_").alias("name"), F.expr("substring(value, 1, length(value) - 1)").alias("value")
+    )
+    raw, named = scratch(spark), scratch(spark)
+    texts.repartition("name").write.partitionBy("name").text(raw)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(raw).getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(hadoop.Path(named))
+    for found in files.globStatus(hadoop.Path(f"{raw}/name=*/part-*")):
+        name = found.getPath().getParent().getName().partition("=")[2]
+        files.rename(found.getPath(), hadoop.Path(f"{named}/{name}.txt"))
+    return named
+
+
 def index(spark: SparkSession, sf: str) -> DataFrame:
     """The vectors as indexed messages."""
     v = F.col("vec_id")
