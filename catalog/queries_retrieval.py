@@ -208,7 +208,7 @@ def questions_answered(spark, sf):
     hits_path = V.scratch(spark)
     jobs.ask(questions, path, 3).write.parquet(hits_path)
     hits = spark.read.parquet(hits_path)
-    prompts_of = jobs.prompt_batch(questions, hits, index, k=3)
+    prompts_of = jobs.prompt_batch(questions, hits, index)
     replies = prompts_of.where(F.col("prompt") != "").select("question_id", F.concat(F.lit("answer to "), "question_id").alias("raw"))
     best = hits.groupBy("question_id").agg(F.round(F.max("similarity"), 6).alias("best_similarity"))
     table = jobs.answer_batch(questions, hits, replies).join(best, "question_id")

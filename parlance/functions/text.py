@@ -58,14 +58,15 @@ def clean(text: Column, collapse: bool = False) -> Column:
     return F.regexp_replace(cleaned, f"{P.WS}+", " ") if collapse else cleaned
 
 
-def urls(text: Column) -> Column:
-    """Links in the text: with a scheme, with www, or a bare domain under a listed top-level domain."""
+def urls(text: Column, domains: str = P.TOP_LEVEL_DOMAINS) -> Column:
+    """Links in the text: with a scheme, with www, or a bare domain under one of the top-level domains (a|b|c)."""
     found = F.regexp_extract_all(text, F.lit(P.URL_CANDIDATE), F.lit(0))
-    return F.filter(found, lambda u: u.rlike(P.URL_SCHEME) | u.rlike(P.URL_DOMAIN))
+    domain = P.url_domain(domains)
+    return F.filter(found, lambda u: u.rlike(P.URL_SCHEME) | u.rlike(domain))
 
 
-def url_count(text: Column) -> Column:
-    return F.when(text.rlike(P.URL_HINT), F.size(urls(text))).otherwise(0).cast("long")
+def url_count(text: Column, domains: str = P.TOP_LEVEL_DOMAINS) -> Column:
+    return F.when(text.rlike(P.URL_HINT), F.size(urls(text, domains))).otherwise(0).cast("long")
 
 
 def emojis(text: Column) -> Column:

@@ -154,15 +154,16 @@ def context(
     size: int = 3,
     keys: Sequence[str] = (),
     stripe_rows: int = STRIPE_ROWS,
-    max_hits: int | None = None,
+    measure: bool = False,
 ) -> DataFrame:
     """The rows from `size` before to `size` after each hit, in the indexed table.
 
     hits: message_id and the columns in keys, which are kept. Unknown ids find nothing. Hits of a positioned index
     know their place already; others are located by id. Either way the neighbouring positions meet the index on
-    (chat_id, pos), an equality join. max_hits is an upper bound of the hits, if there is one: a small one lets
-    them be broadcast, so that the index is not shuffled.
+    (chat_id, pos), an equality join. With measure the hits are counted first (store them before): few ones are
+    broadcast, so that the index is not shuffled.
     """
+    count = hits.count() if measure else None
     rows = positioned(index.drop("embedding"), stripe_rows)
     kept = [*keys, F.col("message_id").alias("hit_id")]
     if {"chat_id", "pos"} <= set(hits.columns):
@@ -170,10 +171,10 @@ def context(
     else:
         places = rows.select(F.col("message_id").alias("hit_id"), "chat_id", F.col("pos").alias("_pos"))
         asked = hits.select(*kept)
-        placed = (F.broadcast(asked) if _is_small(max_hits, 1) else asked).join(places, "hit_id")
+        placed = (F.broadcast(asked) if _is_small(count, 1) else asked).join(places, "hit_id")
     around = F.sequence(F.col("_pos") - size, F.col("_pos") + size)
     wanted = placed.select(*keys, "hit_id", "chat_id", F.explode(around).alias("pos"))
-    return (F.broadcast(wanted) if _is_small(max_hits, 2 * size + 1) else wanted).join(rows, ["chat_id", "pos"])
+    return (F.broadcast(wanted) if _is_small(count, 2 * size + 1) else wanted).join(rows, ["chat_id", "pos"])
 
 
 def _is_small(hits: int | None, rows_each: int) -> bool:
@@ -185,13 +186,13 @@ def context_union(
     index: DataFrame,
     size: int = CONTEXT_ROWS,
     stripe_rows: int = STRIPE_ROWS,
-    max_hits: int | None = None,
+    measure: bool = False,
 ) -> DataFrame:
     """Per question the messages around its hits, each once, in order of first appearance.
 
     Hits come in rank order and bring their window in chat order; a hit without a window stands for itself.
     """
-    rows = context(hits, index, size, ["question_id", "rank"], stripe_rows, max_hits)
+    rows = context(hits, index, size, ["question_id", "rank"], stripe_rows, measure)
     kept = [c for c in ("chat_id", "seq", "message_id", "user", "date", "message")]
     alone = hits.join(rows.select("question_id", F.col("hit_id").alias("message_id")), ["question_id", "message_id"], "left_anti")
     offered = rows.select("question_id", "rank", "pos", *kept).unionByName(

@@ -81,13 +81,9 @@ def question_hits(questions: DataFrame, index: DataFrame, k: int = 5, **options)
     return retrieval.retrieve(questions, index, k, **options)
 
 
-def prompt_batch(
-    questions: DataFrame, hits: DataFrame, index: DataFrame, context_rows: int = retrieval.CONTEXT_ROWS, k: int | None = None
-) -> DataFrame:
-    """The prompts to send out for a batch of questions; with k, the hits per question, small batches are broadcast."""
-    limit = questions.count() * k if k else None
-    found = retrieval.context_union(hits, index, context_rows, max_hits=limit)
-    return prompts.question_prompts(questions, found)
+def prompt_batch(questions: DataFrame, hits: DataFrame, index: DataFrame, context_rows: int = retrieval.CONTEXT_ROWS) -> DataFrame:
+    """The prompts to send out for a batch of questions. The stored hits are counted: few ones are broadcast."""
+    return prompts.question_prompts(questions, retrieval.context_union(hits, index, context_rows, measure=True))
 
 
 def answer_batch(questions: DataFrame, hits: DataFrame, replies: DataFrame) -> DataFrame:

@@ -170,8 +170,8 @@ def test_nearest_caps_k_at_table_size(spark):
 def test_context(spark):
     _, index = vectors(spark, 30)
     hits = spark.createDataFrame([("v0",), ("v15",), ("nope",)], "message_id string")
-    for max_hits in (None, 3):
-        rows = retrieval.context(hits, index, 2, stripe_rows=4, max_hits=max_hits).collect()
+    for measure in (False, True):
+        rows = retrieval.context(hits, index, 2, stripe_rows=4, measure=measure).collect()
         assert sorted(r.message_id for r in rows if r.hit_id == "v0") == ["v0", "v3", "v6"]
         assert sorted(r.seq for r in rows if r.hit_id == "v15") == [9, 12, 15, 18, 21]
         assert not [r for r in rows if r.hit_id == "nope"]
@@ -346,3 +346,17 @@ def test_exports_of_short_chats(spark, make_messages):
     inside, outside = (topics.topics_record(none, rows, a, b).first() for a, b in (("2024-01-01", "2024-12-31"), ("2020-01-01", "2020-01-02")))
     assert (inside.topics, inside.total_messages, inside.analysis_summary) == ([], 1, topics.TOO_FEW)
     assert (outside.topics, outside.total_messages) == ([], 0)
+
+
+def test_links_by_hand(spark):
+    """Cases written down from the rule: a scheme, www, or a bare domain under a known top-level domain."""
+    from parlance.functions import text
+
+    cases = {
+        "see https://a.example/x?y=1 and http://b.org": 2, "www.site.de": 1, "my.club and foo.news/x": 2, "e.g. this": 0,
+        "mail me@site.com": 0, "no link.here": 0, "ftp://files.example": 1, "": 0,
+    }
+    rows = spark.createDataFrame(list(cases.items()), "t string, n int").withColumn("got", text.url_count(F.col("t")))
+    assert {r.t: r.got for r in rows.collect()} == cases
+    own = spark.createDataFrame([("no link.here",)], "t string").select(text.url_count(F.col("t"), "here").alias("n"))
+    assert own.first().n == 1
