@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog import duck as D
@@ -9,6 +12,7 @@ from catalog import views as V
 from catalog.registry import query
 from parlance.functions import calendar, text
 from parlance.operators import enrich, filters, retrieval
+from parlance.schema import FALLBACK_STOPWORDS
 from parlance.sources import store, stopwords, transcripts
 
 KEY = ["chat_id", "seq"]
@@ -74,10 +78,23 @@ def transcript_messages(spark, sf):
     )
 
 
-@query("transcript_rejects", "SELECT chat_id, seq, \"user\", message FROM chat WHERE FALSE")
+@query(
+    "transcript_rejects",
+    f"""SELECT chat_id, seq, "user", {_Q3} AS message,
+      '31/2/2024, ' || (event_hour % 12 + 1) || ':07 pm - ' AS header
+    FROM (SELECT *, hour(date) AS event_hour FROM chat) WHERE seq % 3 = 0 AND "user" <> 'group_notification' AND {_Q3} <> ''""",
+)
 def transcript_rejects(spark, sf):
-    rejected = transcripts.rejected(transcripts.split_records(V.transcript_parts(spark, sf)))
-    return rejected.select("chat_id", "seq", "user", "message")
+    """Every third message under a day that there isn't, as a text of its own."""
+    own = V.chat(spark, sf).where((F.col("seq") % 3 == 0) & (F.col("user") != "group_notification"))
+    header = F.concat(F.lit("31/2/2024, "), (F.hour("date") % 12 + 1).cast("string"), F.lit(":07 pm - "))
+    texts = own.select(
+        F.concat_ws(" ", "chat_id", F.col("seq").cast("string")).alias("chat_id"),
+        F.concat(header, "user", F.lit(": "), "message").alias("value"),
+    )
+    rejected = transcripts.rejected(transcripts.split_records(texts)).where("message <> ''")
+    parts = F.split("chat_id", " ")
+    return rejected.select(parts[0].alias("chat_id"), parts[1].cast("long").alias("seq"), "user", "message", "header")
 
 
 @query(
@@ -156,6 +173,26 @@ def stopword_table_cased(spark, sf):
     return stopwords.stopwords_from_text(lines, lower=False)
 
 
+@query(
+    "stopword_files",
+    f"""SELECT DISTINCT 'union' AS list, word FROM (SELECT unnest({D.words('lower(text)')}) AS word FROM conversations)
+    UNION ALL SELECT DISTINCT 'single', word FROM (SELECT unnest({D.words('lower(text)')}) AS word FROM conversations WHERE conv_id % 2 = 0)
+    UNION ALL SELECT 'fallback', unnest([{D.sql_list(FALLBACK_STOPWORDS)}])""",
+)
+def stopword_files(spark, sf):
+    """Two lists and a missing one; one list alone; the fallback for a missing one."""
+    paths = [V.scratch(spark) for _ in range(3)]
+    turns = V.table(spark, sf, "conversations")
+    for rest, path in enumerate(paths[:2]):
+        turns.where(F.col("conv_id") % 2 == rest).select("text").write.text(path)
+    found = {
+        "union": stopwords.load_stopwords(spark, [paths[0], paths[2], paths[1]]),
+        "single": stopwords.load_stopwords_or_fallback(spark, paths[0]),
+        "fallback": stopwords.load_stopwords_or_fallback(spark, paths[2]),
+    }
+    return reduce(DataFrame.unionByName, [words.select(F.lit(name).alias("list"), "word") for name, words in found.items()])
+
+
 # Derived columns
 
 

@@ -18,6 +18,7 @@ from parlance.functions import text
 from parlance.operators import filters
 
 LEXICON_BYTES = 64 << 20
+SALTS = 32
 LABELS = ["positive", "neutral", "negative"]
 # Fixed value: the note of an empty range.
 NO_MESSAGES = "No messages found."
@@ -29,14 +30,28 @@ def sized_broadcast(table: DataFrame, text_column: str, limit: int = LEXICON_BYT
     return F.broadcast(table) if size <= limit else table
 
 
+def token_hits(tokens: DataFrame, lexicon: DataFrame, limit: int = LEXICON_BYTES) -> DataFrame:
+    """Tokens (chat_id, seq, token, ...) that the lexicon has, with its columns.
+
+    The lexicon's size is measured. Beyond the limit both sides are shuffled by token and salt: a frequent word goes to
+    `SALTS` tasks, for each of which the lexicon has a copy of its row.
+    """
+    size = lexicon.agg(F.sum(F.octet_length("token") + 64)).first()[0] or 0
+    if size <= limit:
+        return tokens.join(F.broadcast(lexicon), "token")
+    copies = lexicon.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = tokens.withColumn("_salt", F.pmod(F.xxhash64("chat_id", "seq"), F.lit(SALTS)).cast("int"))
+    return salted.join(copies, ["token", "_salt"]).drop("_salt")
+
+
 def message_scores(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """chat_id, seq, score and emotion hits of the messages that contain any lexicon token.
 
-    Token hits are summed per message before anything is shuffled.
+    With a lexicon small enough to be broadcast, token hits are summed per message before anything is shuffled.
     """
     keys = list(dict.fromkeys([*keep, "chat_id", "seq"]))
     tokens = messages.select(*keys, F.explode(text.sentiment_tokens(F.col("message"))).alias("token"))
-    hits = tokens.join(sized_broadcast(lexicon.select("token", "polarity", "emotion"), "token"), "token")
+    hits = token_hits(tokens, lexicon.select("token", "polarity", "emotion"))
     emotions = [F.count_if(F.col("emotion") == name).alias(name) for name in S.EMOTIONS]
     return hits.groupBy(*keys).agg(F.sum("polarity").alias("score"), *emotions)
 

@@ -360,3 +360,12 @@ def test_links_by_hand(spark):
     assert {r.t: r.got for r in rows.collect()} == cases
     own = spark.createDataFrame([("no link.here",)], "t string").select(text.url_count(F.col("t"), "here").alias("n"))
     assert own.first().n == 1
+
+
+def test_salted_lexicon_join_gives_the_same_hits(spark):
+    from parlance.operators.sentiment import token_hits
+
+    tokens = spark.createDataFrame([("c", i, "good" if i % 3 else "odd") for i in range(200)], "chat_id string, seq long, token string")
+    lexicon = spark.createDataFrame([("good", 1, "joy"), ("bad", -1, "anger")], "token string, polarity int, emotion string")
+    small, large = token_hits(tokens, lexicon), token_hits(tokens, lexicon, limit=0)
+    assert small.exceptAll(large.select(small.columns)).count() == 0 and large.count() == small.count() == 133
