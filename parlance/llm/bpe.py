@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from parlance.llm.shared import append_columns, by_bytes
+from parlance.llm.shared import append_columns, by_bytes, slices
 
 #: Bytes of input whose distinct pieces are replayed together.
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 3 << 20
+#: Bytes of packed ids decoded at once.
+DECODE_BYTES = 2 << 20
 #: Fewer places of a merge than this are worked on one by one.
 FEW_PLACES = 24
 _SHIFT = 20
@@ -269,10 +271,20 @@ def encode_block(texts: list[str], replay: Replay, pattern) -> list[bytes]:
     return [b"".join(map(ids.__getitem__, own) if isinstance(own, list) else map(packed.__getitem__, own.tolist())) for own in places]
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """df with `ids` (binary: little-endian unsigned 32-bit integers) and `n_tokens` long.
+def as_lists(packed: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), dtype="<i4"), pa.int32()))
 
-    Each match of `pattern` is encoded separately, without special tokens. Columns of these names are replaced.
+
+def decode_ids(packed: bytes, tokens: dict[int, bytes]) -> bytes:
+    return b"".join([tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, packed: bool = True) -> DataFrame:
+    """df with `ids` (binary: little-endian unsigned 32-bit integers, or array<int> if not packed) and `n_tokens` long.
+
+    Each match of `pattern` is encoded separately, without special tokens. Columns of these names are replaced. With
+    `decoded` the ids are decoded again at once, into a binary column of that name; `decode` does so for stored ids.
     """
     shared = df.sparkSession.sparkContext.broadcast(ranks)
     place = df.schema.fieldNames().index(text)
@@ -281,16 +293,23 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "te
         import regex
 
         replay, compiled = Replay(shared.value), regex.compile(pattern)
+        tokens = {rank: token for token, rank in shared.value.items()} if decoded else {}
         for block in by_bytes(batches, BLOCK_BYTES):
             texts = [t or "" for batch in block for t in batch.column(place).to_pylist()]
-            packed = encode_block(texts, replay, compiled)
+            coded = encode_block(texts, replay, compiled)
             at = 0
             for batch in block:
-                own = packed[at : at + batch.num_rows]
+                own = coded[at : at + batch.num_rows]
                 at += batch.num_rows
-                yield batch, [pa.array(own, pa.binary()), pa.array([len(x) // 4 for x in own], pa.int64())]
+                columns = [pa.array(own, pa.binary()) if packed else as_lists(own), pa.array([len(x) // 4 for x in own], pa.int64())]
+                if decoded:
+                    columns.append(pa.array([decode_ids(x, tokens) for x in own], pa.binary()))
+                yield batch, columns
 
-    return append_columns(df, [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())], make)
+    fields = [T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
+    if decoded:
+        fields.append(T.StructField(decoded, T.BinaryType()))
+    return append_columns(df, fields, make)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -300,8 +319,8 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: st
 
     def make(batches: Iterator[pa.RecordBatch]):
         tokens = {rank: token for token, rank in shared.value.items()}
-        for batch in batches:
-            out = [None if x is None else b"".join([tokens[i] for i in np.frombuffer(x, dtype="<u4").tolist()]) for x in batch.column(place).to_pylist()]
+        for batch in (part for whole in batches for part in slices(whole, DECODE_BYTES)):
+            out = [None if x is None else decode_ids(x, tokens) for x in batch.column(place).to_pylist()]
             yield batch, [pa.array(out, pa.binary())]
 
     return append_columns(df, [T.StructField(decoded, T.BinaryType())], make)
@@ -312,10 +331,7 @@ def unpack(df: DataFrame, ids: str = "ids") -> DataFrame:
     place = df.schema.fieldNames().index(ids)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            packed = [x or b"" for x in batch.column(place).to_pylist()]
-            offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in packed])]).astype(np.int32)
-            values = np.frombuffer(b"".join(packed), dtype="<i4")
-            yield batch, [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int32()))]
+        for batch in (part for whole in batches for part in slices(whole, DECODE_BYTES)):
+            yield batch, [as_lists([x or b"" for x in batch.column(place).to_pylist()])]
 
     return append_columns(df, [T.StructField(ids, T.ArrayType(T.IntegerType()))], make)

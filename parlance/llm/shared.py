@@ -68,7 +68,7 @@ def by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.R
         for batch in slices(whole, most):
             held.append(batch)
             size += batch.nbytes
-            if size >= most:
+            if size >= 0.75 * most:
                 yield held
                 held, size = [], 0
     if held:
