@@ -51,7 +51,7 @@ SCRIPT_NAMES = sorted({name for name, _, _ in SCRIPTS}) + ["other"]
 _STARTS = np.array(sorted(a for _, a, _ in SCRIPTS))
 _ENDS = np.array([b for _, b in sorted((a, b) for _, a, b in SCRIPTS)])
 _KINDS = np.array([SCRIPT_NAMES.index(n) for _, n in sorted((a, n) for n, a, _ in SCRIPTS)])
-#: Runs of letters, marks inside them included.
+#: Runs of letters (and of the few numerals that are no digits).
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -129,7 +129,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     n = len(scores)
     best = int(scores.sum(axis=0, dtype=np.float64).argmax())
     gains = np.cumsum(scores.astype(np.float64) - scores[:, [best]], axis=0)
-    floor = np.minimum(np.minimum.accumulate(gains, axis=0) - (gains - gains), 0.0)
+    floor = np.minimum(np.minimum.accumulate(gains, axis=0), 0.0)
     low = np.vstack([np.zeros((1, scores.shape[1])), floor[:-1]])
     if (gains - low).max() <= switch:
         return np.full(n, best, dtype=np.int64)
@@ -151,44 +151,44 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """A model from all rows with a language: every language found is learned, each from a bounded sample."""
-    labelled = rows.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"), F.xxhash64(F.col(doc_id).cast("string")).alias("h"))
-    # Bound on the hash so that about the wanted number of a language's rows lies below it: counts first, then a filter.
+    labelled = rows.where(F.col(lang).isNotNull()).select(F.col(lang).cast("string").alias("lang"))
+    # A bound on the hash under which somewhat more than the wanted number of a language's rows lies: counts first, one
+    # for each language, then a filter, then the exact number.
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return Model([], np.zeros((1, 0)), np.zeros((0, len(SCRIPT_NAMES)), dtype=bool))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_language / n))])
     place = (F.shiftrightunsigned(F.xxhash64(F.col(doc_id).cast("string")), 12).cast("double")) / float(1 << 52)
+    languages = sorted(counts)
+    number = F.create_map(*[F.lit(x) for i, k in enumerate(languages) for x in (k, i)])
     picked = rows.where(F.col(lang).isNotNull()).where(place <= F.element_at(share, F.col(lang).cast("string")))
-    picked = picked.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), place.alias("place"))
+    picked = picked.select(F.element_at(number, F.col(lang).cast("string")).alias("lang"), F.col(text).alias("text"), place.alias("place"))
     first = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
     sample = picked.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "text")
 
+    # Counts of buckets, then of scripts, in one array for each language.
+    width = BUCKETS + len(SCRIPT_NAMES)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tables: dict[str, tuple] = {}
+        tables: dict[int, np.ndarray] = {}
         for frame in batches:
-            for name, text in zip(frame["lang"], frame["text"]):
-                ngrams, scripts = tables.setdefault(name, (np.zeros(BUCKETS, dtype=np.int64), np.zeros(len(SCRIPT_NAMES), dtype=np.int64)))
+            for which, text in zip(frame["lang"], frame["text"]):
+                counted = tables.setdefault(which, np.zeros(width, dtype=np.int64))
                 words = words_of(text or "")
                 if words:
                     bucket, _, script, lengths = grams(words)
-                    ngrams += np.bincount(bucket, minlength=BUCKETS)
-                    scripts += np.bincount(script, weights=lengths, minlength=len(SCRIPT_NAMES)).astype(np.int64)
-        for name, (ngrams, scripts) in tables.items():
-            for kind, values in (("gram", ngrams), ("script", scripts)):
-                at = np.flatnonzero(values)
-                yield pd.DataFrame({"lang": name, "kind": kind, "at": at, "n": values[at]})
-
-    spread = sample.repartition(F.spark_partition_id() * 64 + F.floor(F.rand(7) * 64))
-    summed = spread.mapInPandas(count, "lang string, kind string, at long, n long").groupBy("lang", "kind", "at").agg(F.sum("n").alias("n"))
-    found = summed.toPandas()
-    languages = sorted(counts)
-    table = np.zeros((BUCKETS, len(languages)))
-    scripts = np.zeros((len(languages), len(SCRIPT_NAMES)))
-    for i, name in enumerate(languages):
-        own = found[found["lang"] == name]
-        g, s = own[own["kind"] == "gram"], own[own["kind"] == "script"]
-        table[g["at"].to_numpy(dtype=np.int64), i] = g["n"]
-        scripts[i, s["at"].to_numpy(dtype=np.int64)] = s["n"]
+                    counted[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
+                    counted[BUCKETS:] += np.bincount(script, weights=lengths, minlength=len(SCRIPT_NAMES)).astype(np.int64)
+        for which, counted in tables.items():
+            at = np.flatnonzero(counted)
+            yield pd.DataFrame({"lang": which, "at": at, "n": counted[at]})
+
+    summed = sample.repartition(F.xxhash64("text")).mapInPandas(count, "lang int, at int, n long").groupBy("lang", "at").agg(F.sum("n").alias("n"))
+    # At most `width` rows for a language.
+    found = summed.toArrow()
+    counted = np.zeros((width, len(languages)))
+    counted[found["at"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
+    table, scripts = counted[:BUCKETS], counted[BUCKETS:].T
     probability = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS))
     written = scripts >= np.maximum(1, 0.01 * scripts.sum(axis=1, keepdims=True))
     return Model(languages, probability.astype(np.float32), written)
@@ -197,7 +197,7 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
 def label(text: str | None, model: Model, known: dict[str, int], table: list) -> tuple[str, float, list[tuple[int, str]]]:
     """(language, score, spans) of a text; a span is (words, language). `known` and `table` hold scores of words."""
     words = words_of(text) if text else []
-    if not words or not model.languages:
+    if not model.languages or not any(c.isalpha() for w in words for c in w):
         return "und", 0.0, []
     rows = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
     scores = table[0][rows]

@@ -321,11 +321,11 @@ def test_language_spans_and_edges(spark, empty):
     model = langid.train(train)
     assert model.languages == ["en", "fr", "ru"]
     mixed = " ".join(draw.choices(EN, k=40) + draw.choices(FR, k=25))
-    asked = [(1, mixed), (2, None), (3, ""), (4, "123 !?"), (5, "мама"), (6, "日本"), (7, " ".join(FR)), (7, " ".join(FR))]
+    asked = [(1, mixed), (2, None), (3, ""), (4, "123 !?"), (5, "мама"), (6, "日本"), (8, "² ½"), (7, " ".join(FR)), (7, " ".join(FR))]
     df = spark.createDataFrame(asked, "doc_id long, text string").withColumn("score", F.lit("old"))
     got = langid.identify(df, model).collect()
     by = {r["doc_id"]: r for r in got}
-    assert len(got) == 8 and [by[i]["lang_pred"] for i in (1, 2, 3, 4, 5, 7)] == ["en", "und", "und", "und", "ru", "fr"]
+    assert len(got) == 9 and [by[i]["lang_pred"] for i in (1, 2, 3, 4, 5, 7, 8)] == ["en", "und", "und", "und", "ru", "fr", "und"]
     assert by[6]["lang_pred"] in model.languages and all(0 <= r["score"] <= 1 for r in got)
     spans = [(s["words"], s["lang"]) for s in by[1]["lang_spans"]]
     assert [s[1] for s in spans] == ["en", "fr"] and abs(spans[0][0] - 40) <= 3
