@@ -41,10 +41,7 @@ def small_side(df: DataFrame, row_bytes: int, limit: int = BROADCAST_BYTES) -> D
 
 def words_count(text: str = "text"):
     """Number of [^\\x20\\x09-\\x0D]+ in a text; null: 0."""
-    plain = F.trim(F.translate(F.coalesce(F.col(text), F.lit("")), BLANKS, " " * len(BLANKS)))
-    squeezed = F.regexp_replace(plain, "  +", " ")
-    gaps = F.length(squeezed) - F.length(F.translate(squeezed, " ", ""))
-    return F.when(plain == "", F.lit(0)).otherwise(gaps + 1).cast("long")
+    return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
 def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,35 +15,31 @@ from parlance.operators.ordering import STRIPE_ROWS, stripe_of
 def with_previous(messages: DataFrame, stripe_rows: int = STRIPE_ROWS) -> DataFrame:
     """chat_id, date, seq, user and the date and user of the row before it in (date, seq) order.
 
-    Message times have minute resolution. Rows are linked first inside a minute (cut into stripes of sequence
-    numbers), and only the end rows of each such slice go on to be linked inside their hour, then the end rows of
-    the hours inside the chat. Group sizes are bounded by the stripe and by the calendar, so a chat with most of
-    the rows is spread over many tasks, whatever its busiest hour or minute.
+    Message times have minute resolution. Rows are linked inside a minute (cut into stripes of sequence numbers) by one
+    window over the table. The first and last row of each such slice come from an aggregate that combines before its
+    shuffle; they are linked inside their hour, and the ends of the hours inside the chat. Group sizes are bounded by the
+    stripe and by the calendar, so a chat with most of the rows is spread over many tasks, whatever its busiest hour or
+    minute.
     """
-    slices = [
-        [F.col("date"), stripe_of(F.col("seq"), stripe_rows)],
-        [F.date_trunc("hour", F.col("date"))],
-        [],
-    ]
-    open_rows = messages.select("chat_id", "date", "seq", "user", F.lit(True).alias("open"))
-    linked = []
-    for keys in slices:
-        window = W.partitionBy("chat_id", *keys).orderBy("date", "seq")
-        seen = open_rows.withColumns(
-            {
-                "previous_date": F.lag("date").over(window),
-                "previous_user": F.lag("user").over(window),
-                "next_date": F.lead("date").over(window),
-            }
+    placed = messages.select("chat_id", "date", "seq", "user", stripe_of(F.col("seq"), stripe_rows).alias("stripe"))
+    inside = W.partitionBy("chat_id", "date", "stripe").orderBy("seq")
+    close = placed.withColumns({"previous_date": F.lag("date").over(inside), "previous_user": F.lag("user").over(inside)})
+
+    row = F.struct("date", "seq", "user")
+    slices = placed.groupBy("chat_id", "date", "stripe").agg(F.min(row).alias("first"), F.max(row).alias("last"))
+    slices = slices.select("chat_id", F.date_trunc("hour", "date").alias("hour"), "first", "last")
+    hours = slices.groupBy("chat_id", "hour").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+    def linked(ends: DataFrame, *keys: str) -> DataFrame:
+        """The first row of every slice, with the last row of the slice before it."""
+        before = F.lag("last").over(W.partitionBy("chat_id", *keys).orderBy("first"))
+        met = ends.withColumn("before", before).where(F.col("before").isNotNull())
+        return met.select(
+            "chat_id", "first.*", F.col("before.date").alias("previous_date"), F.col("before.user").alias("previous_user")
         )
-        # Open rows have not met the row before them yet. Beyond the first level every row is the first or the last
-        # of a smaller slice, and the last ones are there only to be met.
-        met = F.col("open") & F.col("previous_date").isNotNull()
-        linked.append(seen.where(met).select("chat_id", "date", "seq", "user", "previous_date", "previous_user"))
-        ends = F.col("previous_date").isNull() | F.col("next_date").isNull()
-        still_open = (F.col("open") & F.col("previous_date").isNull()).alias("open")
-        open_rows = seen.where(ends).select("chat_id", "date", "seq", "user", still_open)
-    return reduce(DataFrame.unionAll, linked)
+
+    within = close.where(F.col("previous_date").isNotNull()).drop("stripe")
+    return within.unionByName(linked(slices, "hour")).unionByName(linked(hours))
 
 
 def response_pairs(messages: DataFrame, stripe_rows: int = STRIPE_ROWS) -> DataFrame:

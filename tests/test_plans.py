@@ -69,3 +69,4 @@ def test_no_window_over_a_whole_chat(stored):
     """Rows are linked inside minutes first; only end rows of slices reach the chat-wide window."""
     text = plan(response.with_previous(stored))
     assert re.search(r"hashpartitioning\(chat_id#\d+, date#\d+, \w+#\d+L?, ", text)
+    assert len([line for line in text.splitlines() if "Window [" in line and "stripe" in line]) == 1
