@@ -37,7 +37,7 @@ FOUND = re.compile(
   | (?P<date>(?<![\w.])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w]|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
   | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
-  | (?P<card>(?<!\w)\d(?:[ -]?\d){12,18}(?!\w))
+  | (?P<card>(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w))
   | (?P<access>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))
   | (?P<secret>(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}["']?[A-Za-z0-9_\-]{8,})
     """,
@@ -119,8 +119,13 @@ def _card(value: str, f: Feistel, back: bool) -> str | None:
 
 
 def _iban(value: str, f: Feistel, back: bool) -> str | None:
+    # A capital word behind the number may look like its last group.
+    shorter = value.rpartition(" ")
     bare = value.replace(" ", "")
-    if not 15 <= len(bare) <= 34 or int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
+    if shorter[0] and not _iban_holds(bare):
+        new = _iban(shorter[0], f, back)
+        return None if new is None else f"{new} {shorter[2]}"
+    if not _iban_holds(bare):
         return None
     body = f.string("iban" + bare[:2], bare[4:], classes(bare[4:]), back)
     check = 98 - int("".join(str(int(c, 36)) for c in body + bare[:2] + "00")) % 97
@@ -128,6 +133,10 @@ def _iban(value: str, f: Feistel, back: bool) -> str | None:
     return "".join(c if c == " " else next(rest) for c in value)
 
 
+def _iban_holds(bare: str) -> bool:
+    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+
+
 def _phone(value: str, f: Feistel, back: bool) -> str | None:
     digits = "".join(c for c in value if c in DIGITS)
     head, own = digits[:-10], digits[-10:]
