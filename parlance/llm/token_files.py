@@ -12,9 +12,10 @@ running sum within the part, so no task sees all rows.
 from __future__ import annotations
 
 import re
-import unicodedata
+import struct
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,8 @@ from parlance.llm.shared import append_columns, by_bytes, scratch
 
 #: Bytes of a row group and of a page, and rows of a page at most.
 ROW_GROUP, PAGE, PAGE_ROWS = 16 << 20, 256 << 10, 2_000
-#: Bytes of text whose distinct words are tokenised together; distinct words held between blocks.
-BLOCK_BYTES, WORDS_HELD = 8 << 20, 300_000
+#: Bytes of text whose distinct words are tokenised together; distinct chunks held between blocks and tasks.
+BLOCK_BYTES, WORDS_HELD = 16 << 20, 400_000
 
 
 class Words:
@@ -49,31 +50,40 @@ class Words:
         #: Pieces may be taken apart here only for this chain of steps; any other file is applied to whole texts.
         self.divisible = kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.divisible else None
+        self.model = self.whole.model
+        #: Ids of pieces and of whole chunks; both are dropped and made anew beyond a number of chunks.
         self.ids: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def piece(self, piece: str) -> bytes:
-        got = self.whole.pre_tokenizer.pre_tokenize_str(piece)
-        return np.array([t.id for part, _ in got for t in self.whole.model.tokenize(part)], dtype="<i4").tobytes()
+        """Ids of one match of the splitting pattern, by the model; each piece is asked for once."""
+        found = self.ids.get(piece)
+        if found is None:
+            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in self.model.tokenize(shown)]
+            found = self.ids[piece] = struct.pack(f"<{len(ids)}i", *ids)
+        return found
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without blanks or line ends."""
         if chunk.isascii() or _PLAIN.fullmatch(chunk):
-            normal = unicodedata.normalize("NFC", chunk).lower()
+            normal = chunk.lower()
+            # Plain words with or without a closing mark need no pattern.
+            if normal.isalpha():
+                return self.piece(normal)
+            if normal[-1] in _CLOSING and normal[:-1].isalpha():
+                return self.piece(normal[:-1]) + self.piece(normal[-1])
         else:
             normal = self.whole.normalizer.normalize_str(chunk)
-        out = []
-        for piece in self.pattern.findall(normal):
-            if piece not in self.ids:
-                self.ids[piece] = self.piece(piece)
-            out.append(self.ids[piece])
-        return b"".join(out)
+        return b"".join(map(self.piece, self.pattern.findall(normal)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.divisible:
             return [np.array(e.ids, dtype="<i4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
-        if len(self.ids) > WORDS_HELD:
+        known = self.known
+        if len(known) > WORDS_HELD:
+            known.clear()
             self.ids.clear()
-        known: dict[str, bytes] = {}
         out = []
         for text in texts:
             chunks = text.replace("\n", " ").split(" ")
@@ -83,10 +93,21 @@ class Words:
         return out
 
 
+#: How byte-level tokenizers show bytes: printable ones as themselves, the rest as the code points from 256 on, in order.
+_PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
+#: Marks that the pattern takes alone after letters.
+_CLOSING = frozenset(".,;:!?")
 #: Basic Latin and the Latin letters that upper and lower case map one to one (no combining marks).
 _PLAIN = re.compile("[\x21-\x7e¡-įĲ-ňŊ-ž]*")
 
 
+@lru_cache(1)
+def words_of(content: str) -> Words:
+    """One for each Python worker: what it has learned of words serves the next task too."""
+    return Words(content)
+
+
 def tokenise(df: DataFrame, tokenizer: str, text: str = "text", end_id: int = 1, name: str = "token_ids") -> DataFrame:
     """df with the ids of `text` (array<int>, end id included) and n_tokens long; `tokenizer` is the file's content."""
     shared = df.sparkSession.sparkContext.broadcast(tokenizer)
@@ -94,7 +115,7 @@ def tokenise(df: DataFrame, tokenizer: str, text: str = "text", end_id: int = 1,
     end = int(end_id).to_bytes(4, "little")
 
     def make(batches: Iterator[pa.RecordBatch]):
-        words = Words(shared.value)
+        words = words_of(shared.value)
         for block in by_bytes(batches, BLOCK_BYTES):
             done = words.encode([t or "" for batch in block for t in batch.column(place).to_pylist()])
             at = 0
