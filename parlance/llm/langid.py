@@ -35,9 +35,9 @@ BUCKETS = 1 << 17
 #: Longest n-gram; penalty of a switch between words, in nats.
 LONGEST, SWITCH = 5, 12.0
 #: Word scores held by a task before they are dropped and made anew.
-WORDS_HELD = 200_000
+WORDS_HELD = 150_000
 #: Bytes of text scored at once.
-LOT_BYTES = 2 << 20
+LOT_BYTES = 512 << 10
 
 #: First and last code points of scripts, by Unicode block (fixed values).
 SCRIPTS = [

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -54,10 +57,19 @@ def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[I
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, arrays in make(batches):
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in places] + arrays, names=out_names)
+        give_back()
 
     return df.mapInArrow(run, T.StructType(kept + fields))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the system: Python workers stay between tasks, and so would their memory."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only the GNU C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def by_bytes(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[list[pa.RecordBatch]]:
     """Runs of batches that reach about `most` bytes; larger batches are cut, whole rows only."""
     held, size = [], 0

@@ -39,7 +39,7 @@ GENERATOR = 0b110001110101
 #: From so many distinct fingerprints of a key on, neighbours are looked up instead of compared in pairs.
 PAIRWISE = 2048
 #: Bytes of text fingerprinted at once.
-LOT_BYTES = 4 << 20
+LOT_BYTES = 2 << 20
 
 
 def fingerprint_of(text: str | None, words: int) -> int:
