@@ -245,16 +245,26 @@ def near_components(df: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     prints = keep(fingerprints(own, "text", words).drop("text"), "simhash")
     distinct = keep(prints.groupBy("simhash").agg(F.min("doc_id").alias("first_id")), "prints")
     roots = components(links(fuzzy_keys(distinct)))
-    linked = distinct.join(roots.withColumnRenamed("node", "simhash"), "simhash", "left")
-    linked = linked.withColumn("root", F.coalesce("root", "simhash"))
+    return label_components(prints, distinct, roots).select("doc_id", "text_hash", "simhash", "component_id")
+
+
+def label_components(prints: DataFrame, distinct: DataFrame, roots: DataFrame, node: str = "simhash") -> DataFrame:
+    """prints with component_id: the smallest doc_id of all nodes of the component. `distinct` is (node, first_id)."""
+    linked = distinct.join(roots.withColumnRenamed("node", node), node, "left")
+    linked = linked.withColumn("root", F.coalesce("root", node))
     least = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = keep(linked.join(least, "root").select("simhash", "component_id"), "labels")
-    return prints.join(labels, "simhash").select("doc_id", "text_hash", "simhash", "component_id")
+    labels = keep(linked.join(least, "root").select(node, "component_id"), "labels")
+    return prints.join(labels, node)
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
     """One document of each component stays (the smallest doc_id; of repeated rows one); the columns of df."""
-    found = near_components(df, doc_id, text, words).withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumnRenamed("text_hash", "__hash")
+    return first_of_components(df, near_components(df, doc_id, text, words), doc_id, text)
+
+
+def first_of_components(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of df that stay by `found`: (doc_id, text_hash, component_id), one row for each row of df."""
+    found = found.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumnRenamed("text_hash", "__hash")
     found = keep(found, "components")
     pair = ["__id", "__hash"]
     dropped = keep(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(pair).distinct(), "dropped")

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parlance.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, pii, simhash, suffix_dedup, token_files
+from parlance.llm import bpe, chat, exact_dedup, fingerprint, langid, minhash, mixing, pii, simhash, suffix_dedup, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BLANK = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
@@ -436,3 +436,37 @@ def test_pipeline(spark, docs, rows, empty):
     assert out and all(r["decodes"] and list(r["ids"]) == library.encode_ordinary(texts_of[r["doc_id"]]) for r in out)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, "").count() == 0
+
+
+def test_pipeline_drops_near_copies_by_likeness(spark, docs, empty, rows):
+    import corpus_pipeline
+
+    draw = random.Random(11)
+
+    def shingles(text):
+        words = (text or "").encode().lower().split()
+        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+    made = []
+    for n in range(40):
+        words = [f"w{draw.randint(0, 900)}" for _ in range(draw.choice([60, 120, 240]))]
+        for _ in range(3):
+            words = list(words)
+            for at in draw.sample(range(len(words)), draw.randint(0, len(words) // 40)):
+                words[at] = "other"
+            made.append((1000 + len(made), " ".join(words), "en", "a", 0))
+    made += rows + [(None, made[0][1], "en", "a", 0), (5000, "four words in all", "en", "a", 0), (5001, "Four  words in ALL", "en", "a", 0)]
+    sets = [shingles(r[1]) for r in made]
+    root = list(range(len(made)))
+    find = lambda i: i if root[i] == i else find(root[i])
+    for i in range(len(made)):
+        for j in range(i):
+            if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, SCHEMA).repartition(3), "").collect()
+    groups = {}
+    for i, r in enumerate(made):
+        groups.setdefault(find(i), []).append(r[0])
+    assert sorted(r["doc_id"] for r in kept) == sorted(min(x for x in g if x is not None) for g in groups.values())
+    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
