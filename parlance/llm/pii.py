@@ -1,6 +1,7 @@
 """Operator 4: format-preserving pseudonyms of personal data by a keyed Feistel permutation.
 
-Card numbers (Luhn), IBANs (mod 97), North American phone numbers, social security numbers, IPv4 addresses, calendar
+Card numbers (Luhn), IBANs (mod 97), phone numbers (North American ones of
+any area code where +1, brackets or separators show the form; others in international form), social security numbers, IPv4 addresses, calendar
 dates, e-mail addresses and credentials are found, validated, and permuted within their own format: separators, lengths,
 letter cases, leading digits that carry the format, and check digits stay valid. A value's permutation depends on the key,
 its kind and its canonical form only, so equal values get equal pseudonyms in all documents (also where they are written
@@ -32,7 +33,11 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 FOUND = re.compile(
     r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))
-  | (?P<phone>(?<![\w+])(?:\+?1[ .-]?)?(?:\([2-9]\d\d\)[ ]?|[2-9]\d\d[ .-])[2-9]\d\d[ .-]\d{4}(?!\w))
+  | (?P<phone>(?<![\w+])(?:
+        (?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)
+      | \+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)
+      | \+[2-9](?:[ .-]?\(?\d\)?){6,14}(?!\w|\.\d)
+    ))
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
   | (?P<date>(?<![\w.])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w]|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
@@ -44,7 +49,7 @@ FOUND = re.compile(
     re.X,
 )
 #: Texts without any of these hold none of the kinds.
-HINT = re.compile(r"\d{4}|@|\d\.\d|[=:]|\d-\d")
+HINT = re.compile(r"\d{4}|\+\d|@|\d\.\d|[=:]|\d-\d")
 
 
 class Feistel:
@@ -139,9 +144,20 @@ def _iban_holds(bare: str) -> bool:
 
 def _phone(value: str, f: Feistel, back: bool) -> str | None:
     digits = "".join(c for c in value if c in DIGITS)
+    if value[0] == "+" and digits[0] != "1":
+        # The country stays.
+        code = calling_code(digits)
+        return refill(value, code + f.string("phone" + code, digits[len(code) :], [DIGITS] * (len(digits) - len(code)), back))
     head, own = digits[:-10], digits[-10:]
-    first = DIGITS[2:]
-    return refill(value, head + f.string("phone", own, [first, DIGITS, DIGITS, first] + [DIGITS] * 6, back))
+    return refill(value, head + f.string("phone", own, [DIGITS] * 10, back))
+
+
+#: Calling codes of two digits; all others but 1 and 7 have three.
+TWO_DIGIT_CODES = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+
+def calling_code(digits: str) -> str:
+    return digits[:1] if digits[0] in "17" else digits[:2] if digits[:2] in TWO_DIGIT_CODES else digits[:3]
 
 
 def _ssn(value: str, f: Feistel, back: bool) -> str | None:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -470,3 +471,26 @@ def test_pipeline_drops_near_copies_by_likeness(spark, docs, empty, rows):
         groups.setdefault(find(i), []).append(r[0])
     assert sorted(r["doc_id"] for r in kept) == sorted(min(x for x in g if x is not None) for g in groups.values())
     assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+
+
+def test_phone_numbers_of_any_area_code_and_country():
+    f = pii.Feistel(b"k")
+    numbers = ["(017) 555-7713", "+1 (132) 555-1352", "+1 (073) 555-8658", "017-555-7713", "132.555.1352", "1-386-555-3733", "+14155551234", "+1 4155551234"]
+    numbers += ["+44 20 7946 0958", "+442079460958", "+49 (0)30 901820", "+33 1 23 45 67 89", "+353 1 234 5678", "+7 495 123-45-67", "+91-98765-43210"]
+    seen = set()
+    for number in numbers:
+        for text in (number, f"call {number}.", f"({number}), or", f"a {number}; {number} b", f"tel:{number}"):
+            new, kinds = pii.pseudonymise(text, f)
+            assert set(kinds) == {"phone"} and number not in new, text
+            assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", text) and pii.pseudonymise(new, f, back=True) == (text, kinds)
+        seen.add(pii.pseudonymise(number, f)[0])
+    assert len(seen) == len(numbers)
+    assert pii.pseudonymise("+44 20 7946 0958", f)[0].replace(" ", "") == pii.pseudonymise("+442079460958", f)[0]
+    for other in ("+2024", "1234567", "4155551234", "3+44", "x+442079460958", "+1234567890123456789", "100-200-300", "+12 000 000 000 000 000 000"):
+        assert pii.pseudonymise(other, f) == (other, [])
+    for behind, kind in (("4111 1111 1111 1111", "card"), ("10.0.0.255", "ip"), ("2024-02-29", "date")):
+        text = f"+44 20 7946 0958 {behind}"
+        new, kinds = pii.pseudonymise(text, f)
+        assert kinds == ["phone", kind] and behind not in new and "7946" not in new and pii.pseudonymise(new, f, back=True)[0] == text
+    for near, kind in (("078-05-1120", "ssn"), ("2024-02-29", "date"), ("10.0.0.255", "ip"), ("4111-1111-1111-1111", "card")):
+        assert pii.pseudonymise(near, f)[1] == [kind]
