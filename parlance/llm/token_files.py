@@ -34,7 +34,8 @@ BLOCK_BYTES, WORDS_HELD = 16 << 20, 400_000
 
 class Words:
     """A tokenizer file applied to distinct pieces: its normaliser, its splitting pattern and its model, each once for a
-    piece, with the ids held for the next text."""
+    piece, with the ids held for the next text. A text that holds the string of an added token is encoded whole, as there
+    the string becomes that token's id."""
 
     def __init__(self, content: str):
         import json
@@ -43,12 +44,15 @@ class Words:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_str(content)
-        self.whole.encode_special_tokens = True
         spec = json.loads(content)
         steps = spec["pre_tokenizer"]["pretokenizers"]
         kinds = [x["type"] for x in spec["normalizer"]["normalizers"]] + [x["type"] for x in steps]
         #: Pieces may be taken apart here only for this chain of steps; any other file is applied to whole texts.
-        self.divisible = kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"]
+        self.divisible = kinds == ["NFC", "Replace", "Lowercase", "Split", "ByteLevel"] and not (spec.get("truncation") or spec.get("padding"))
+        #: Added tokens are recognised in the text as it stands; those of normalised text need whole texts.
+        added = spec.get("added_tokens") or []
+        self.divisible = self.divisible and not any(t["normalized"] for t in added)
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.divisible else None
         self.model = self.whole.model
         #: Ids of pieces and of whole chunks; both are dropped and made anew beyond a number of chunks.
@@ -77,15 +81,22 @@ class Words:
             normal = self.whole.normalizer.normalize_str(chunk)
         return b"".join(map(self.piece, self.pattern.findall(normal)))
 
+    def encode_whole(self, texts: list[str]) -> list[bytes]:
+        """Ids by the library itself."""
+        return [np.array(e.ids, dtype="<i4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.divisible:
-            return [np.array(e.ids, dtype="<i4").tobytes() for e in self.whole.encode_batch(texts, add_special_tokens=False)]
+            return self.encode_whole(texts)
         known = self.known
         if len(known) > WORDS_HELD:
             known.clear()
             self.ids.clear()
         out = []
         for text in texts:
+            if self.added and self.added.search(text):
+                out += self.encode_whole([text])
+                continue
             chunks = text.replace("\n", " ").split(" ")
             for chunk in set(chunks).difference(known):
                 known[chunk] = self.chunk(chunk) if chunk else b""

@@ -494,3 +494,16 @@ def test_phone_numbers_of_any_area_code_and_country():
         assert kinds == ["phone", kind] and behind not in new and "7946" not in new and pii.pseudonymise(new, f, back=True)[0] == text
     for near, kind in (("078-05-1120", "ssn"), ("2024-02-29", "date"), ("10.0.0.255", "ip"), ("4111-1111-1111-1111", "card")):
         assert pii.pseudonymise(near, f)[1] == [kind]
+
+
+def test_token_files_know_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    file = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(file)
+    known = ["a<|endoftext|>b <|startoftext|>", "<|endoftext|>", "A <|ENDOFTEXT|> b", "x\n<|startoftext|>\n\nÉ y", "<|endoftext", "plain", "", "<|endoftext|><|endoftext|> it's 42"]
+    df = spark.createDataFrame(list(enumerate(known)), "doc_id long, text string")
+    got = {r["doc_id"]: list(r["token_ids"]) for r in token_files.tokenise(df, open(file, encoding="utf-8").read()).collect()}
+    assert got[0] == [320, 49407, 321, 49406, 1]
+    for i, text in enumerate(known):
+        assert got[i] == library.encode(text, add_special_tokens=False).ids + [1], text
