@@ -10,9 +10,10 @@ roles and texts reversibly: wherever `<`, any number of backslashes and `|` foll
 A role's line ends and backslashes are written as `\\n` and `\\\\`. The loss mask covers the texts of assistant turns.
 
 Conversations are dealt by id and ordered by turn (then role and text, so ties have a defined order); nulls count as empty
-texts, a null turn comes first, a null conversation id is one conversation. A conversation is written as parts of at most
-`PART_TURNS` turns, rendered one by one, so that neither its rendering nor a row grows beyond that; a template sees each
-part from its first turn on. A task holds one part.
+texts, a null turn comes first, a null conversation id is one conversation. A template sees a conversation from its first
+turn on, so a task holds one conversation and its output, which are one row. Only a template that is declared to render
+each turn by itself (`per_turn`) is given parts of at most `PART_TURNS` turns, each a row, as the parts' outputs put
+together are its output; then a task holds one part.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 Template = Callable[[list[tuple[str, str]]], str]
 
-#: Turns of a part.
+#: Turns of a part, for templates that are declared `per_turn`.
 PART_TURNS = 32
 ASSISTANT = "assistant"
 _OPEN = re.compile(r"<(\\*)\|")
@@ -51,6 +52,13 @@ def unescape_role(role: str) -> str:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(role), flags=re.S)
 
 
+def per_turn(template: Template) -> Template:
+    """Declares that the template's output for turns is that of each turn alone, one after the other."""
+    template.per_turn = True
+    return template
+
+
+@per_turn
 def marked_turns(turns: list[tuple[str, str]]) -> str:
     """The own template."""
     return "".join(f"<|im_start|>{escape_role(role)}\n{escape(text)}<|im_end|>\n" for role, text in turns)
@@ -94,6 +102,7 @@ def render(turns: list[tuple[str, str]], template: Template = marked_turns) -> R
 def format_conversations(df: DataFrame, template: Template = marked_turns) -> DataFrame:
     """Rows (conv_id, part, formatted, turns) in order within each partition; input columns conv_id, turn, role, text.
 
+    One row (part 0) for a conversation, unless the template is declared `per_turn`.
     turns is array<struct<start, end, text_start, text_end, loss, rewrites>>, in code points of `formatted`.
     """
     own = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
@@ -101,6 +110,8 @@ def format_conversations(df: DataFrame, template: Template = marked_turns) -> Da
     span = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("text_start", pa.int64()), ("text_end", pa.int64()), ("loss", pa.bool_()), ("rewrites", pa.int64())])
     schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int64()), ("formatted", pa.string()), ("turns", pa.list_(span))])
 
+    most = PART_TURNS if getattr(template, "per_turn", False) else None
+
     def finished(rows: list[tuple]) -> pa.RecordBatch:
         out = [], [], [], []
         for conv, part, turns in rows:
@@ -114,15 +125,17 @@ def format_conversations(df: DataFrame, template: Template = marked_turns) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         now = None  # [conversation, part, turns]
+        held = 0
         for batch in batches:
             for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                if now is None or conv != now[0] or len(now[2]) == PART_TURNS:
+                if now is None or conv != now[0] or len(now[2]) == most:
                     if now is not None:
                         rows.append(tuple(now))
+                        held += len(now[2])
                     now = [conv, 0 if now is None or conv != now[0] else now[1] + 1, []]
-                    if len(rows) >= 256:
+                    if len(rows) >= 256 or held >= 256 * PART_TURNS:
                         yield finished(rows)
-                        rows = []
+                        rows, held = [], 0
                 now[2].append((role, text))
         if now is not None:
             rows.append(tuple(now))

@@ -507,3 +507,22 @@ def test_token_files_know_added_tokens(spark):
     assert got[0] == [320, 49407, 321, 49406, 1]
     for i, text in enumerate(known):
         assert got[i] == library.encode(text, add_special_tokens=False).ids + [1], text
+
+
+def test_stateful_templates_see_whole_conversations(spark):
+    def stateful(turns):
+        # A preamble, a number for each turn, and old assistant texts cut as soon as a later user turn asks for it.
+        asked = max((i for i, (_, t) in enumerate(turns) if t == "forget"), default=-1)
+        return "SYSTEM;" + "".join(f"[{i}{r}]{t[:1] if r == 'assistant' and i < asked else t};" for i, (r, t) in enumerate(turns))
+
+    rows = [(c, t, ("user", "assistant")[t % 2], "forget" if (c, t) == (1, 70) else f"text {t}") for c, n in ((1, 75), (2, 33), (3, 32), (4, 1)) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.format_conversations(df, stateful).collect()
+    assert sorted((r["conv_id"], r["part"]) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 0)]
+    for r in got:
+        turns = [(x[2], x[3]) for x in sorted(rows) if x[0] == r["conv_id"]]
+        assert r["formatted"] == stateful(turns) and len(r["turns"]) == len(turns)
+        rewritten = [(i, t["rewrites"]) for i, t in enumerate(r["turns"]) if t["rewrites"] >= 0]
+        assert rewritten == ([(70, len("SYSTEM;[0user]text 0;[1assistant]t"))] if r["conv_id"] == 1 else [])
+    parts = chat.format_conversations(df).where("conv_id = 1").collect()
+    assert [len(r["turns"]) for r in sorted(parts, key=lambda r: r["part"])] == [32, 32, 11]
