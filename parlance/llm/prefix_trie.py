@@ -105,17 +105,19 @@ def _halves(blocks: DataFrame, height: int) -> list[tuple[int, DataFrame]]:
 
 def _named(blocks: DataFrame, height: int) -> DataFrame:
     """Blocks with the names of all prefixes that end in them, after the name of the prefix before them (`names`)."""
-    first = blocks.where(F.col("block") == 0).withColumn("name", F.expr(ROOT))
-    if height > 1:
-        cuts = blocks.where((F.col("block") == 0) & (F.size("keys") == LEAF)).select("conv_id", F.col("block").alias("at"), F.expr(ROOT).alias("name"))
-        for size, digests in reversed(_halves(blocks, height)):
-            # Every subproblem of this height is cut in its middle.
-            cut = cuts.where(F.col("at") % (2 * size) == 0).join(digests, ["conv_id", "at"])
-            cuts = keep(cuts.unionByName(cut.select("conv_id", (F.col("at") + size).alias("at"), _digest(F.col("name"), F.col("digest")).alias("name"))), "cuts")
-        later = blocks.where(F.col("block") > 0).join(cuts.withColumnRenamed("at", "block"), ["conv_id", "block"])
-        first = first.unionByName(later)
-    names = F.aggregate("keys", F.array("name"), lambda names, key: F.concat(names, F.array(_digest(F.element_at(names, -1), key))))
-    return first.select("conv_id", "block", "chars", names.alias("names"))
+    cuts = blocks.where((F.col("block") == 0) & (F.size("keys") == LEAF)).select("conv_id", F.col("block").alias("at"), F.expr(ROOT).alias("name"))
+    for size, digests in reversed(_halves(blocks, height)):
+        # Every subproblem of this height is cut in its middle.
+        cut = cuts.where(F.col("at") % (2 * size) == 0).join(digests, ["conv_id", "at"])
+        cuts = keep(cuts.unionByName(cut.select("conv_id", (F.col("at") + size).alias("at"), _digest(F.col("name"), F.col("digest")).alias("name"))), "cuts")
+    # A whole block ends at a cut, which names its last prefix; all blocks but the first begin at one.
+    begins = cuts.where(F.col("at") > 0).select("conv_id", F.col("at").alias("block"), F.col("name").alias("begin"))
+    ends = cuts.where(F.col("at") > 0).select("conv_id", (F.col("at") - 1).alias("block"), F.col("name").alias("end"))
+    short = blocks.where((F.col("block") == 0) & (F.size("keys") < LEAF)).withColumn("begin", F.expr(ROOT)).withColumn("end", F.expr(ROOT))
+    long = blocks.where((F.col("block") > 0) | (F.size("keys") == LEAF)).join(begins, ["conv_id", "block"], "left").join(ends, ["conv_id", "block"], "left")
+    inside = F.aggregate(F.slice("keys", 1, LEAF - 1), F.array(F.coalesce("begin", F.expr(ROOT))), lambda names, key: F.concat(names, F.array(_digest(F.element_at(names, -1), key))))
+    names = F.when(F.size("keys") == LEAF, F.concat(inside, F.array("end"))).otherwise(inside)
+    return short.unionByName(long).select("conv_id", "block", "chars", names.alias("names"))
 
 
 def _positions(paths: DataFrame, *columns: str) -> DataFrame:
@@ -214,7 +216,7 @@ def build(turns: DataFrame, conversations: DataFrame) -> DataFrame:
         return blocks.sparkSession.createDataFrame([], NODE)
     last = blocks.agg(F.max("block")).collect()[0][0]
     height = 1
-    while height < (last or 0) + 1:
+    while last is not None and height < last + 2:
         height *= 2
     paths = keep(_named(blocks, height), "paths")
     made = keep(_positions(paths).groupBy("depth", "name", "parent").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"), F.max("chars").alias("chars")), "nodes")

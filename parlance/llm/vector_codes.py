@@ -158,6 +158,8 @@ def digest(books: list[np.ndarray]) -> str:
 
 def learn(vectors: DataFrame, dims: int, parts: int = PARTS, entries: int = ENTRIES, rounds: int = ROUNDS, scale: int = SCALE) -> list[np.ndarray]:
     """Codebooks of vectors of `dims` finite components."""
+    if not dims:
+        return []
     if dims % parts:
         raise ValueError(f"{dims} components can't be cut into {parts} equal parts")
     books = starts(vectors, dims, parts, entries, scale)

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from parlance.llm import bpe, chat, exact_dedup, fingerprint, langid, minhash, mixing, pii, simhash, suffix_dedup, token_files
+from parlance.llm import bpe, chat, exact_dedup, fingerprint, langid, mixing, pii, simhash, suffix_dedup, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 BLANK = dict.fromkeys(map(ord, " \t\n\x0b\x0c\r"))
@@ -81,7 +81,6 @@ def test_token_files(spark, docs, empty, rows, encoding, tmp_path):
     file = public_tokenizers.path("word_bpe_49k.json")
     content = open(file, encoding="utf-8").read()
     library = Tokenizer.from_file(file)
-    library.encode_special_tokens = True
     unique = docs.dropDuplicates(["doc_id"])
     token_files.write(unique, str(tmp_path / "a"), content, encoding=encoding, parts=3)
     files = token_files.read(spark, str(tmp_path / "a"))
@@ -302,7 +301,9 @@ def test_exact_dedup(docs, empty, rows):
         bare = (r["text"] or "").translate(BLANK)
         own = groups[bare]
         keep = min((-len(x[1] or ""), x[0]) for x in own)[1]
-        assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (keep, len(own), r["doc_id"] == keep, hashlib.sha256(bare.encode()).hexdigest())
+        assert (r["keep_id"], r["group_size"], r["text_sha256"]) == (keep, len(own), hashlib.sha256(bare.encode()).hexdigest())
+        assert not r["kept"] or r["doc_id"] == keep
+    assert sorted(r["text_sha256"] for r in got if r["kept"]) == sorted({r["text_sha256"] for r in got})
     kept = exact_dedup.dedup(docs.withColumn("kept", F.lit(3))).collect()
     assert len(kept) == len(groups) and {r["kept"] for r in kept} == {3}
     assert exact_dedup.dedup(empty).count() == 0
@@ -439,38 +440,36 @@ def test_pipeline(spark, docs, rows, empty):
         assert stage(spark, empty, "").count() == 0
 
 
-def test_pipeline_drops_near_copies_by_likeness(spark, docs, empty, rows):
+def test_stages_keep_columns_of_any_name(spark, docs):
+    names = ["__id", "__hash", "__chars", "__lang_pred", "__row", "__doc", "__body", "id", "text_hash", "stays", "lang_pred", "component_id", "keep_id", "__size", "number"]
     import corpus_pipeline
 
-    draw = random.Random(11)
-
-    def shingles(text):
-        words = (text or "").encode().lower().split()
-        return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
-
-    made = []
-    for n in range(40):
-        words = [f"w{draw.randint(0, 900)}" for _ in range(draw.choice([60, 120, 240]))]
-        for _ in range(3):
-            words = list(words)
-            for at in draw.sample(range(len(words)), draw.randint(0, len(words) // 40)):
-                words[at] = "other"
-            made.append((1000 + len(made), " ".join(words), "en", "a", 0))
-    made += rows + [(None, made[0][1], "en", "a", 0), (5000, "four words in all", "en", "a", 0), (5001, "Four  words in ALL", "en", "a", 0)]
-    sets = [shingles(r[1]) for r in made]
-    root = list(range(len(made)))
-    find = lambda i: i if root[i] == i else find(root[i])
-    for i in range(len(made)):
-        for j in range(i):
-            if not sets[i] | sets[j] or len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
-                a, b = find(i), find(j)
-                root[max(a, b)] = min(a, b)
-    kept = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(made, SCHEMA).repartition(3), "").collect()
-    groups = {}
-    for i, r in enumerate(made):
-        groups.setdefault(find(i), []).append(r[0])
-    assert sorted(r["doc_id"] for r in kept) == sorted(min(x for x in g if x is not None) for g in groups.values())
-    assert corpus_pipeline.near_duplicates(spark, empty, "").count() == 0
+    wide = docs.select("*", *[F.concat_ws("|", F.lit(n), "doc_id", "text").alias(n) for n in names])
+    given = {tuple(r) for r in wide.collect()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, "")
+        assert out.columns == wide.columns and 0 < out.count() and {tuple(r) for r in out.collect()} <= given, name
+
+
+def test_one_of_equal_rows_stays(spark):
+    rows = [(1, "a b", "x"), (1, "a b", "y"), (1, "ab ", "z"), (2, "a b", "x"), (3, "alone", "x"), (3, "other", "x"), (None, "c c", "x"), (None, "c c", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    found = exact_dedup.group_copies(df).collect()
+    assert len(found) == len(rows)
+    assert sorted((r["text"].replace(" ", ""), r["keep_id"] or 0) for r in found if r["kept"]) == [("ab", 1), ("alone", 3), ("cc", 0), ("other", 3)]
+    assert {(r["text"].replace(" ", ""), r["group_size"]) for r in found} == {("ab", 4), ("alone", 1), ("other", 1), ("cc", 2)}
+    assert exact_dedup.dedup(df).count() == 4 and simhash.dedup(df).count() == 5
+
+
+def test_words_hold_their_marks():
+    assert langid.words_of("हिन्दी বাংলা été one2two") == ["हिन्दी", "বাংলা", "été", "one", "two"]
+
+
+def test_paths_of_few_and_many_languages_agree():
+    draw = np.random.default_rng(2)
+    for n in (1, 2, 50, 400):
+        scores = draw.normal(0, 4, (n, 3)).astype(np.float32)
+        assert (langid._path(scores, 5.0) == langid._wide_path(scores, 5.0)).all()
 
 
 def test_phone_numbers_of_any_area_code_and_country():
