@@ -12,9 +12,8 @@ running sum within the part, so no task sees all rows.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -55,18 +54,16 @@ class Words:
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added else None
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"]) if self.divisible else None
         self.model = self.whole.model
-        #: Ids of pieces and of whole chunks; both are dropped and made anew beyond a number of chunks.
-        self.ids: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
+        #: Ids of pieces and of whole chunks, made when asked for first; dropped and made anew beyond a number of chunks.
+        self.ids = Made(self.piece)
+        self.known = Made(self.chunk)
+        self.known[""] = b""
 
     def piece(self, piece: str) -> bytes:
-        """Ids of one match of the splitting pattern, by the model; each piece is asked for once."""
-        found = self.ids.get(piece)
-        if found is None:
-            shown = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
-            ids = [t.id for t in self.model.tokenize(shown)]
-            found = self.ids[piece] = struct.pack(f"<{len(ids)}i", *ids)
-        return found
+        """Ids of one match of the splitting pattern, by the model."""
+        if not (piece.isascii() and piece.isalnum()):
+            piece = piece.encode("utf-8", "surrogatepass").decode("latin-1").translate(_SHOWN)
+        return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(piece)])
 
     def chunk(self, chunk: str) -> bytes:
         """Ids of a text without blanks or line ends."""
@@ -74,12 +71,12 @@ class Words:
             normal = chunk.lower()
             # Plain words with or without a closing mark need no pattern.
             if normal.isalpha():
-                return self.piece(normal)
+                return self.ids[normal]
             if normal[-1] in _CLOSING and normal[:-1].isalpha():
-                return self.piece(normal[:-1]) + self.piece(normal[-1])
+                return self.ids[normal[:-1]] + self.ids[normal[-1]]
         else:
             normal = self.whole.normalizer.normalize_str(chunk)
-        return b"".join(map(self.piece, self.pattern.findall(normal)))
+        return b"".join(map(self.ids.__getitem__, self.pattern.findall(normal)))
 
     def encode_whole(self, texts: list[str]) -> list[bytes]:
         """Ids by the library itself."""
@@ -88,22 +85,31 @@ class Words:
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.divisible:
             return self.encode_whole(texts)
-        known = self.known
-        if len(known) > WORDS_HELD:
-            known.clear()
+        if len(self.known) > WORDS_HELD:
+            self.known.clear()
             self.ids.clear()
+            self.known[""] = b""
         out = []
         for text in texts:
             if self.added and self.added.search(text):
                 out += self.encode_whole([text])
-                continue
-            chunks = text.replace("\n", " ").split(" ")
-            for chunk in set(chunks).difference(known):
-                known[chunk] = self.chunk(chunk) if chunk else b""
-            out.append(b"".join(map(known.__getitem__, chunks)))
+            else:
+                out.append(b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" "))))
         return out
 
 
+class Made(dict):
+    """A dictionary that makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 #: How byte-level tokenizers show bytes: printable ones as themselves, the rest as the code points from 256 on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _SHOWN = {b: 256 + i for i, b in enumerate(sorted(set(range(256)).difference(_PRINTABLE)))}
