@@ -9,12 +9,15 @@ prediction, its share of all letters weighted by the model's certainty is the sc
 
 A text that is null or has no letter is `und` with score 0. With no labelled row at all, every text is `und`. Repeated
 rows get the same label; ids, sources and labels are no inputs of a prediction. Prediction has no shuffle; a task holds one
-Arrow batch and a bounded table of word scores. The model has `BUCKETS` times languages numbers, whatever the data.
+Arrow batch and a bounded table of word scores. The model has `BUCKETS` times languages numbers, whatever the data; with more
+than 128 languages it has fewer buckets, so that it stays within `MODEL_BYTES` (or `FEWEST_BUCKETS` for each language). More
+than `MOST_LANGUAGES` different labels raise: a column of so many values holds no languages.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -30,8 +33,13 @@ from parlance.llm.shared import append_columns, slices
 
 #: Bound of the sample: labelled rows of each language that the model is fitted on.
 PER_LANGUAGE = 1500
-#: Width of the hashed n-gram table.
+#: Width of the hashed n-gram table; the model's bytes and its narrowest table, reached with very many languages.
 BUCKETS = 1 << 17
+MODEL_BYTES, FEWEST_BUCKETS = 64 << 20, 1 << 10
+#: Labels beyond this number are no languages.
+MOST_LANGUAGES = 1 << 14
+#: From so many languages on, a step of Viterbi's is one numpy operation.
+MANY_LANGUAGES = 16
 #: Longest n-gram; penalty of a switch between words, in nats.
 LONGEST, SWITCH = 5, 12.0
 #: Word scores held by a task before they are dropped and made anew.
@@ -51,12 +59,16 @@ SCRIPT_NAMES = sorted({name for name, _, _ in SCRIPTS}) + ["other"]
 _STARTS = np.array(sorted(a for _, a, _ in SCRIPTS))
 _ENDS = np.array([b for _, b in sorted((a, b) for _, a, b in SCRIPTS)])
 _KINDS = np.array([SCRIPT_NAMES.index(n) for _, n in sorted((a, n) for n, a, _ in SCRIPTS)])
-#: Runs of letters (and of the few numerals that are no digits).
-_WORD = re.compile(r"[^\W\d_]+")
+#: Combining marks (accents and vowel signs) of the basic plane, where all scripts below lie: part of the word before them.
+_MARKS = "".join(chr(c) for c in range(0x300, 0x10000) if unicodedata.category(chr(c))[0] == "M")
+_MARK = re.compile(f"[{_MARKS}]")
+#: Runs of letters (and of the few numerals that are no digits), without and with marks.
+_WORD, _MARKED_WORD = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_](?:[^\W\d_]|[{_MARKS}])*")
 
 
 def words_of(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    text = text.lower()
+    return (_WORD if text.isascii() or not _MARK.search(text) else _MARKED_WORD).findall(text)
 
 
 def scripts_of(points: np.ndarray) -> np.ndarray:
@@ -110,6 +122,7 @@ class Model:
     def scores(self, words: list[str]) -> np.ndarray:
         """A row per word: for each language the mean log probability of the n-grams times the root of the letters."""
         bucket, owner, script, lengths = grams(words)
+        bucket %= len(self.table)
         sums = np.zeros((len(words), len(self.languages)))
         for language in range(len(self.languages)):
             sums[:, language] = np.bincount(owner, weights=self.table[bucket, language], minlength=len(words))
@@ -133,7 +146,33 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     low = np.vstack([np.zeros((1, scores.shape[1])), floor[:-1]])
     if (gains - low).max() <= switch:
         return np.full(n, best, dtype=np.int64)
-    count = scores.shape[1]
+    return (_path if scores.shape[1] < MANY_LANGUAGES else _wide_path)(scores, switch)
+
+
+def _path(scores: np.ndarray, switch: float) -> np.ndarray:
+    """The best path by plain numbers, which is faster for few languages."""
+    rows = scores.tolist()
+    values, tops, floors = [rows[0]], [0], [0.0]
+    value = rows[0]
+    for row in rows[1:]:
+        most = max(value)
+        floor = most - switch
+        tops.append(value.index(most))
+        floors.append(floor)
+        value = [(v if v >= floor else floor) + x for v, x in zip(value, row)]
+        values.append(value)
+    now = value.index(max(value))
+    path = np.empty(len(rows), dtype=np.int64)
+    path[-1] = now
+    for i in range(len(rows) - 1, 0, -1):
+        if values[i - 1][now] < floors[i]:
+            now = tops[i]
+        path[i - 1] = now
+    return path
+
+
+def _wide_path(scores: np.ndarray, switch: float) -> np.ndarray:
+    n, count = scores.shape
     back = np.empty((n, count), dtype=np.int16)
     own = np.arange(count)
     value = scores[0].astype(np.float64)
@@ -155,6 +194,8 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     # A bound on the hash under which somewhat more than the wanted number of a language's rows lies: counts first, one
     # for each language, then a filter, then the exact number.
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"{len(counts)} different labels: these are no languages")
     if not counts:
         return Model([], np.zeros((1, 0)), np.zeros((0, len(SCRIPT_NAMES)), dtype=bool))
     share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, 1.2 * per_language / n))])
@@ -167,7 +208,10 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     sample = picked.withColumn("n", first).where(F.col("n") <= per_language).select("lang", "text")
 
     # Counts of buckets, then of scripts, in one array for each language.
-    width = BUCKETS + len(SCRIPT_NAMES)
+    buckets = BUCKETS
+    while buckets > FEWEST_BUCKETS and 4 * buckets * len(languages) > MODEL_BYTES:
+        buckets //= 2
+    width = buckets + len(SCRIPT_NAMES)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tables: dict[int, np.ndarray] = {}
@@ -177,8 +221,8 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
                 words = words_of(text or "")
                 if words:
                     bucket, _, script, lengths = grams(words)
-                    counted[:BUCKETS] += np.bincount(bucket, minlength=BUCKETS)
-                    counted[BUCKETS:] += np.bincount(script, weights=lengths, minlength=len(SCRIPT_NAMES)).astype(np.int64)
+                    counted[:buckets] += np.bincount(bucket % buckets, minlength=buckets)
+                    counted[buckets:] += np.bincount(script, weights=lengths, minlength=len(SCRIPT_NAMES)).astype(np.int64)
         for which, counted in tables.items():
             at = np.flatnonzero(counted)
             yield pd.DataFrame({"lang": which, "at": at, "n": counted[at]})
@@ -188,34 +232,61 @@ def train(rows: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str
     found = summed.toArrow()
     counted = np.zeros((width, len(languages)))
     counted[found["at"].to_numpy(), found["lang"].to_numpy()] = found["n"].to_numpy()
-    table, scripts = counted[:BUCKETS], counted[BUCKETS:].T
-    probability = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * BUCKETS))
+    table, scripts = counted[:buckets], counted[buckets:].T
+    probability = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * buckets))
     written = scripts >= np.maximum(1, 0.01 * scripts.sum(axis=1, keepdims=True))
     return Model(languages, probability.astype(np.float32), written)
 
 
-def label(text: str | None, model: Model, known: dict[str, int], table: list) -> tuple[str, float, list[tuple[int, str]]]:
-    """(language, score, spans) of a text; a span is (words, language). `known` and `table` hold scores of words."""
-    words = words_of(text) if text else []
-    if not model.languages or not any(c.isalpha() for w in words for c in w):
+class WordScores:
+    """Scores and letters of the words met, by number; dropped and made anew beyond `WORDS_HELD` words."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.number: dict[str, int] = {}
+        self.drop()
+
+    def drop(self) -> None:
+        self.number.clear()
+        self.scores = np.zeros((0, len(self.model.languages)), dtype=np.float32)
+        self.letters = np.zeros(0)
+
+    def learn(self, texts: list[list[str]]) -> None:
+        if len(self.number) > WORDS_HELD:
+            self.drop()
+        new = list(set().union(*texts).difference(self.number))
+        if new and self.model.languages:
+            self.number.update(zip(new, range(len(self.number), len(self.number) + len(new))))
+            self.scores = np.concatenate([self.scores, self.model.scores(new)])
+            self.letters = np.concatenate([self.letters, np.fromiter(map(len, new), dtype=np.float64, count=len(new))])
+
+
+def label(words: list[str], known: WordScores) -> tuple[str, float, list[tuple[int, str]]]:
+    """(language, score, spans) of a text by its words, all known; a span is (words, language)."""
+    languages = known.model.languages
+    if not languages or not any(c.isalpha() for w in words for c in w):
         return "und", 0.0, []
-    rows = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
-    scores = table[0][rows]
+    rows = np.fromiter(map(known.number.__getitem__, words), dtype=np.int64, count=len(words))
+    scores = known.scores[rows]
     path = viterbi(scores)
-    letters = np.fromiter(map(len, words), dtype=np.float64, count=len(words))
-    share = np.bincount(path, weights=letters, minlength=len(model.languages)) / letters.sum()
-    best = int(share.argmax())
     total = scores.sum(axis=0, dtype=np.float64)
+    if (path == path[0]).all():
+        best, share, spans = int(path[0]), 1.0, [(len(words), languages[path[0]])]
+    else:
+        letters = known.letters[rows]
+        shares = np.bincount(path, weights=letters, minlength=len(languages)) / letters.sum()
+        best = int(shares.argmax())
+        share = float(shares[best])
+        ends = np.flatnonzero(np.append(np.diff(path) != 0, True))
+        spans = [(int(n), languages[path[e]]) for n, e in zip(np.diff(ends, prepend=-1), ends)]
     certain = 1.0 / np.exp(np.clip(total - total[best], None, 0.0)).sum() if total[best] == total.max() else 0.5
-    ends = np.flatnonzero(np.append(np.diff(path) != 0, True))
-    spans = [(int(n), model.languages[path[e]]) for n, e in zip(np.diff(ends, prepend=-1), ends)]
-    return model.languages[best], float(share[best] * certain), spans
+    return languages[best], float(share * certain), spans
 
 
-def identify(df: DataFrame, model: Model, text: str = "text", prefix: str = "") -> DataFrame:
+def identify(df: DataFrame, model: Model, text: str = "text", drop_text: bool = False) -> DataFrame:
     """df with lang_pred string, score double and lang_spans array<struct<words int, lang string>> (replaced if present).
 
-    `prefix` is put before their names.
+    With `drop_text` the text doesn't come back.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
     place = df.schema.fieldNames().index(text)
@@ -223,26 +294,19 @@ def identify(df: DataFrame, model: Model, text: str = "text", prefix: str = "")
     span_type = pa.list_(pa.struct([("words", pa.int32()), ("lang", pa.string())]))
 
     def make(batches: Iterator[pa.RecordBatch]):
-        model = shared.value
-        known: dict[str, int] = {}
-        table = [np.zeros((0, len(model.languages)), dtype=np.float32)]
+        known = WordScores(shared.value)
         for batch in (part for whole in batches for part in slices(whole, LOT_BYTES)):
-            texts = batch.column(place).to_pylist()
-            if len(known) > WORDS_HELD:
-                known.clear()
-                table[0] = table[0][:0]
-            new = list({w for t in texts if t for w in words_of(t)}.difference(known)) if model.languages else []
-            if new:
-                table[0] = np.concatenate([table[0], model.scores(new)])
-                known.update(zip(new, range(len(known), len(known) + len(new))))
-            out = [label(t, model, known, table) for t in texts]
+            texts = [words_of(t) if t else [] for t in batch.column(place).to_pylist()]
+            known.learn(texts)
+            out = [label(words, known) for words in texts]
             yield batch, [
                 pa.array([x[0] for x in out], pa.string()),
                 pa.array([x[1] for x in out], pa.float64()),
                 pa.array([[{"words": n, "lang": name} for n, name in x[2]] for x in out], span_type),
             ]
 
-    return append_columns(df, [T.StructField(f"{prefix}lang_pred", T.StringType()), T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}lang_spans", spans)], make)
+    fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("lang_spans", spans)]
+    return append_columns(df, fields, make, [text] if drop_text else [])
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:

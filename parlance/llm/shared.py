@@ -6,8 +6,9 @@ import contextlib
 import ctypes
 import gc
 import os
+import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,8 +26,15 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that all executors share (below the warehouse where none is named, as in tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    """A new path below the folder that all executors share, `spark.checkpoint.dir`.
+
+    Where none is named, a session with a local master, as in tests, uses its warehouse; any other raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/parlance-llm/{name}-{uuid.uuid4().hex}"
 
 
@@ -47,9 +55,19 @@ def words_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[^\x20\x09-\x0D]++")), F.lit(0)).cast("long")
 
 
-def append_columns(df: DataFrame, fields: list[T.StructField], make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]]) -> DataFrame:
-    """df with new columns (replacing those of the same names, in any case); `make` turns batches into (batch, arrays)."""
-    names = {f.name.lower() for f in fields}
+def in_one(df: DataFrame, **columns: str) -> DataFrame:
+    """df with each row packed into one struct, `__row`, beside copies of the named columns: so none can clash."""
+    return df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("__row"), *[F.col(f"`{c}`").alias(name) for name, c in columns.items()])
+
+
+def append_columns(
+    df: DataFrame, fields: list[T.StructField], make: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[pa.RecordBatch, list[pa.Array]]]], drop: Sequence[str] = ()
+) -> DataFrame:
+    """df with new columns (replacing those of the same names, in any case); `make` turns batches into (batch, arrays).
+
+    Columns to `drop` are read by `make` and don't come back from it.
+    """
+    names = {f.name.lower() for f in fields} | {c.lower() for c in drop}
     kept = [f for f in df.schema.fields if f.name.lower() not in names]
     places = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in names]
     out_names = [f.name for f in kept] + [f.name for f in fields]
