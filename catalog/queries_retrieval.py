@@ -10,6 +10,7 @@ from catalog.registry import query
 from parlance.functions import text
 from parlance.operators import answers, prompts, retrieval
 from parlance.plans import jobs
+from parlance.sources import store
 
 _HIT = "question_id, rank, chat_id, seq, message_id"
 
@@ -174,6 +175,18 @@ def index_stats(spark, sf):
     return retrieval.index_stats(V.index(spark, sf))
 
 
+@query(
+    "stored_index_stats",
+    "SELECT chat_id, count(*) AS total_vectors, 64 AS dimension FROM index_rows GROUP BY chat_id",
+)
+def stored_index_stats(spark, sf):
+    """The same after two batches, from the stored index's manifest."""
+    path, rows = V.scratch(spark), V.index(spark, sf)
+    store.append_index(rows.where(F.col("seq") % 2 == 0), path)
+    store.append_index(rows, path)
+    return store.stored_stats(spark, path)
+
+
 @query(
     "hashed_embeddings",
     f"""SELECT chat_id, seq, 384 AS dimension, CASE WHEN len({D.tokens('message')}) > 0 THEN 1.0 ELSE 0.0 END AS norm

@@ -211,14 +211,74 @@ def test_store(spark, make_messages, tmp_path):
 
 
 def test_stored_tables_keep_few_files(spark, make_messages, tmp_path):
-    """Folders are bounded by the buckets, not by the chats."""
+    """Files are bounded by sizes, not by the chats."""
     rows = make_messages([(f"chat {c}", m, "A", "x") for c in range(1000) for m in range(2)])
     path = tmp_path / "many"
     store.write_messages(rows, str(path))
-    assert len(list(path.glob("_bucket=*"))) <= store.BUCKETS
-    assert len(list(path.glob("_bucket=*/*.parquet"))) <= 2 * store.BUCKETS
+    assert len(list(path.glob("rows/batch=*"))) == 1
+    assert len(list(path.glob("rows/batch=*/*.parquet"))) <= 8
     assert store.read_table(spark, str(path)).count() == 2000
     assert store.read_table(spark, str(path), "chat 7").count() == 2
+    assert store.read_table(spark, str(path), "no chat").count() == 0
+
+
+def sizes(path):
+    return {f: f.stat().st_size for f in path.rglob("*.parquet")}
+
+
+def test_appending_one_chat_writes_only_that_chat(spark, tmp_path):
+    schema = "chat_id string, seq long, message_id string, embedding array<float>"
+    rows = [(f"chat {c}", i, f"{c}:{i}", [float(c), float(i)] * 32) for c in range(1000) for i in range(20)]
+    path = tmp_path / "index"
+    store.write_index(spark.createDataFrame(rows, schema), str(path))
+    before = sizes(path)
+    more = [("chat 7", i, f"7:{i}", [7.0, float(i)] * 32) for i in range(15, 30)]
+    store.append_index(spark.createDataFrame(more, schema), str(path))
+    after = sizes(path)
+    added = {f: n for f, n in after.items() if f not in before}
+    assert {f: after.get(f) for f in before} == before
+    assert len(added) <= 4 and sum(added.values()) < 0.05 * sum(before.values())
+    one = store.read_table(spark, str(path), "chat 7").orderBy("pos").collect()
+    assert [(r.seq, r.pos) for r in one] == [(i, i + 1) for i in range(30)]
+    assert store.read_index(spark, str(path)).count() == 20_010
+    # A row before the stored ones gives the chat new positions; the others' files still stay.
+    early = [("chat 8", -1, "8:early", [0.0, 0.0] * 32), ("chat 8", 3, "8:3", [0.0, 0.0] * 32), ("new", 0, "n:0", [0.0, 0.0] * 32)]
+    store.append_index(spark.createDataFrame(early, schema), str(path))
+    assert {f: sizes(path).get(f) for f in after} == after
+    assert [(r.seq, r.pos) for r in store.read_table(spark, str(path), "chat 8").orderBy("pos").collect()] == [(i, i + 2) for i in range(-1, 20)]
+    assert [r.pos for r in store.read_table(spark, str(path), "new").collect()] == [1]
+    # Appending again goes on after the rewritten chat.
+    store.append_index(spark.createDataFrame([("chat 8", 20, "8:20", [0.0, 0.0] * 32)], schema), str(path))
+    index = store.read_index(spark, str(path))
+    assert index.where("chat_id = 'chat 8'").agg(F.max("pos"), F.count("*")).first() == (22, 22)
+    stats = {r.chat_id: (r.total_vectors, r.dimension) for r in store.stored_stats(spark, str(path)).collect()}
+    assert (stats["chat 7"], stats["chat 8"], stats["new"], len(stats)) == ((30, 64), (22, 64), (1, 64), 1001)
+    rows_before = sorted(map(tuple, index.select("chat_id", "seq", "message_id", "pos").collect()))
+    store.compact(spark, str(path))
+    store.vacuum(spark, str(path))
+    assert len(list(path.glob("rows/batch=*"))) == len(list(path.glob("manifest/batch=*"))) == 1
+    assert sorted(map(tuple, store.read_index(spark, str(path)).select("chat_id", "seq", "message_id", "pos").collect())) == rows_before
+
+
+def test_an_unfinished_batch_is_not_read(spark, make_messages, tmp_path):
+    path = tmp_path / "messages"
+    rows = make_messages([("a", 0, "A", "one"), ("b", 1, "B", "two")])
+    store.write_messages(rows, str(path))
+    rows.withColumn("message", F.lit("lost")).write.parquet(str(path / "rows" / "batch=2"))
+    assert {r.message for r in store.read_table(spark, str(path)).collect()} == {"one", "two"}
+    store.write_messages(rows.where("chat_id = 'a'").withColumn("message", F.lit("new")).withColumn("extra", F.lit(1)), str(path))
+    assert {(r.message, r.extra) for r in store.read_table(spark, str(path)).collect()} == {("new", 1), ("two", None)}
+    with pytest.raises(FileNotFoundError):
+        store.read_table(spark, str(tmp_path / "nothing"))
+
+
+def test_statistics_read_no_row_of_the_index(spark, tmp_path):
+    _, index = vectors(spark, 20)
+    store.write_index(index, str(tmp_path / "i"))
+    stats = store.stored_stats(spark, str(tmp_path / "i"))
+    plan = stats._jdf.queryExecution().toString()
+    assert "embedding" not in plan and "/rows" not in plan
+    assert sorted(map(tuple, stats.collect())) == sorted(map(tuple, retrieval.index_stats(index).collect()))
 
 
 def test_append_creates_and_numbers(spark, tmp_path):
