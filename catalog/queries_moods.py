@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from catalog import duck as D
@@ -109,8 +111,11 @@ def emotion_rows(spark, sf):
 
 
 def _percent(value: str) -> str:
-    """A share as text, rounded half up to one decimal."""
-    return f"printf('%.1f%%', floor({value} * 1000 + 0.5) / 10)"
+    """A share as text with one decimal, rounded from the binary number's exact value."""
+    return f"printf('%.1f%%', {value} * 100)"
+
+
+_UNROUNDED = re.sub(r"round\((.*?), 6\)( AS| ELSE)", r"\1\2", f"{_SHARES}, {_EMOTION_SHARES}")
 
 
 _REPORT_LINES = [
@@ -133,7 +138,7 @@ _REPORT_LINES = [
     "sentiment_report",
     f"""SELECT value, count(*) AS reports FROM (
       SELECT unnest([{', '.join(_REPORT_LINES)}]) AS value
-      FROM (SELECT total_messages, {_SHARES}, {_EMOTION_SHARES} FROM {_group_sql('chat_id')})) WHERE value IS NOT NULL GROUP BY value""",
+      FROM (SELECT total_messages, {_UNROUNDED} FROM {_group_sql('chat_id')})) WHERE value IS NOT NULL GROUP BY value""",
 )
 def sentiment_report(spark, sf):
     records = mood.sentiment_record(_rated(spark, sf, ["chat_id"]), ["chat_id"])

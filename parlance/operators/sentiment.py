@@ -7,17 +7,23 @@ alphabetical order.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance import schema as S
 from parlance.functions import text
 from parlance.operators import filters
 
 LEXICON_BYTES = 64 << 20
+#: Lexicons of up to so many tokens go with the tasks.
+LOOKUP_TOKENS = 500_000
 SALTS = 32
 LABELS = ["positive", "neutral", "negative"]
 # Fixed value: the note of an empty range.
@@ -44,26 +50,77 @@ def token_hits(tokens: DataFrame, lexicon: DataFrame, limit: int = LEXICON_BYTES
     return salted.join(copies, ["token", "_salt"]).drop("_salt")
 
 
+def _by_token(lexicon: DataFrame) -> DataFrame:
+    """One row for each token: the sum of its polarities and how often it has each emotion (`hits`)."""
+    emotions = [F.count_if(F.col("emotion") == name) for name in S.EMOTIONS]
+    return lexicon.where(F.col("token").isNotNull()).groupBy("token").agg(F.coalesce(F.sum("polarity"), F.lit(0)).cast("long").alias("polarity"), F.array(*emotions).alias("hits"))
+
+
+def rated_messages(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str]) -> DataFrame | None:
+    """The columns to keep, `found` (how many tokens of a message the lexicon has), `score` and the emotions' hits, without
+    a shuffle: the lexicon goes with the tasks, which look up all tokens of a batch at once. None where it is too large."""
+    # One row more than the limit tells a larger lexicon.
+    table = _by_token(lexicon.select("token", "polarity", "emotion")).limit(LOOKUP_TOKENS + 1).toArrow().combine_chunks()
+    if len(table) > LOOKUP_TOKENS:
+        return None
+    numbers = np.column_stack([np.ones(len(table)), table["polarity"].to_numpy(), _matrix(table["hits"], len(S.EMOTIONS))]).astype(np.int64)
+    shared = messages.sparkSession.sparkContext.broadcast((table["token"].combine_chunks() if len(table) else pa.array([], pa.string()), numbers))
+    given = messages.select(*keep, F.coalesce(text.sentiment_tokens(F.col("message")), F.array().cast("array<string>")).alias("_tokens"))
+    names = ["found", "score", *S.EMOTIONS]
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, numbers = shared.value
+        for batch in batches:
+            lists = batch.column(len(keep))
+            places = pc.index_in(lists.flatten(), value_set=tokens)
+            hit = places.is_valid().to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[hit]
+            sums = np.zeros((len(lists), len(names)), dtype=np.int64)
+            starts = np.flatnonzero(np.diff(row, prepend=-1))
+            if len(starts):
+                sums[row[starts]] = np.add.reduceat(numbers[places.drop_null().to_numpy()], starts, axis=0)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, sums.T.copy())], names=[*keep, *names])
+
+    fields = [given.schema[c] for c in keep] + [T.StructField(name, T.LongType()) for name in names]
+    return given.mapInArrow(task, T.StructType(fields))
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy().reshape(-1, width) if len(lists) else np.zeros((0, width))
+
+
 def message_scores(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """chat_id, seq, score and emotion hits of the messages that contain any lexicon token.
 
-    With a lexicon small enough to be broadcast, token hits are summed per message before anything is shuffled.
+    Unless the lexicon is too large to go with the tasks, nothing is shuffled.
     """
     keys = list(dict.fromkeys([*keep, "chat_id", "seq"]))
+    rated = rated_messages(messages, lexicon, keys)
+    return _scores_by_join(messages, lexicon, keys) if rated is None else rated.where("found > 0").drop("found")
+
+
+def _scores_by_join(messages: DataFrame, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:
     tokens = messages.select(*keys, F.explode(text.sentiment_tokens(F.col("message"))).alias("token"))
-    hits = token_hits(tokens, lexicon.select("token", "polarity", "emotion"))
-    emotions = [F.count_if(F.col("emotion") == name).alias(name) for name in S.EMOTIONS]
+    hits = token_hits(tokens, _by_token(lexicon.select("token", "polarity", "emotion")))
+    emotions = [F.sum(F.col("hits")[i]).alias(name) for i, name in enumerate(S.EMOTIONS)]
     return hits.groupBy(*keys).agg(F.sum("polarity").alias("score"), *emotions)
 
 
-def _shares(rated: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts of labels and emotion hits per group."""
-    score = F.col("score")
-    return rated.groupBy(*by).agg(
-        F.count_if(score > 0).alias("_positive"),
-        F.count_if(score < 0).alias("_negative"),
-        *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in S.EMOTIONS],
-    )
+def group_counts(messages: DataFrame, lexicon: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Messages, those above and below zero, and emotion hits of each group.
+
+    All are summed in one pass over the messages before the shuffle; only a lexicon too large to go with the tasks makes
+    the tokens' hits meet by message, and the messages be read twice.
+    """
+    sums = [F.count_if(F.col("score") > 0).alias("_positive"), F.count_if(F.col("score") < 0).alias("_negative")]
+    sums += [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in S.EMOTIONS]
+    rated = rated_messages(messages, lexicon, by)
+    if rated is not None:
+        return rated.groupBy(*by).agg(F.count("*").alias("total_messages"), *sums)
+    totals = messages.groupBy(*by).agg(F.count("*").alias("total_messages"))
+    scores = _scores_by_join(messages, lexicon, list(dict.fromkeys([*by, "chat_id", "seq"]))).groupBy(*by).agg(*sums)
+    names = ["total_messages", "_positive", "_negative", *S.EMOTIONS]
+    return totals.unionByName(scores, allowMissingColumns=True).groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
 
 
 def _emotion_columns(all_hits: Column) -> list[Column]:
@@ -83,11 +140,7 @@ def sentiment(messages: DataFrame, lexicon: DataFrame, start: str | date, end: s
 
 def score_groups(messages: DataFrame, lexicon: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """As sentiment, over the given messages."""
-    counted = ["_positive", "_negative", *S.EMOTIONS]
-    totals = messages.groupBy(*by).agg(F.count("*").alias("total_messages"))
-    counts = _shares(message_scores(messages, lexicon, by), by)
-    both = totals.unionByName(counts, allowMissingColumns=True).groupBy(*by)
-    filled = both.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ["total_messages", *counted]])
+    filled = group_counts(messages, lexicon, by)
 
     total = F.col("total_messages")
     share = {"positive": F.col("_positive"), "negative": F.col("_negative")}
@@ -101,10 +154,8 @@ def score_groups(messages: DataFrame, lexicon: DataFrame, by: Sequence[str] = ()
         F.when(all_hits > 0, F.array_min(ranked)["name"]).alias("primary_emotion"),
         "total_messages",
     )
-    note = F.format_string(
-        "%d messages: %.1f%% positive, %.1f%% neutral, %.1f%% negative.",
-        total, *[F.col(label) * 100 for label in LABELS]
-    )
+    parts = [F.concat(percent(F.col(label)), F.lit(f" {label}")) for label in LABELS]
+    note = F.concat(total.cast("string"), F.lit(" messages: "), F.concat_ws(", ", *parts), F.lit("."))
     return rated.withColumn("insights", F.when(total > 0, note).otherwise(NO_MESSAGES))
 
 
@@ -144,12 +195,24 @@ def emotion_rows(records: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return exploded.where(F.col("value") > 0).withColumn("bucket", bucket)
 
 
-def report_text(records: DataFrame, date_range: str, keys: Sequence[str] = ()) -> DataFrame:
-    """A text report per record, percentages with one decimal; emotions that are not there are left out."""
+def percent(share: Column) -> Column:
+    """A share of 0 to 1 as a percentage with one decimal, rounded by the exact value of the binary number (ties: to even).
+
+    The number's fraction is cut in two, so that twenty times each part is exact: the sign of their sum tells on which side
+    of the middle between two tenths the number lies.
+    """
+    value = share * 100
+    whole = F.floor(value)
+    fraction = value - whole
+    upper = F.floor(fraction * (1 << 26)) / (1 << 26)
+    tenth = F.floor(fraction * 10)
+    beyond = (upper * 20 - (tenth * 2 + 1)) + (fraction - upper) * 20
+    tenths = whole * 10 + tenth + F.when((beyond > 0) | ((beyond == 0) & (tenth % 2 == 1)), 1).otherwise(0)
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%"))
 
-    def percent(value: Column) -> Column:
-        return F.format_string("%.1f%%", value * 100)
 
+def report_text(records: DataFrame, date_range: str, keys: Sequence[str] = ()) -> DataFrame:
+    """A text report per record, percentages with one decimal; emotions that are not there are left out."""
     overall = F.col("overall_sentiment")
     shown = F.filter(F.map_entries("emotions"), lambda e: e["value"] > 0)
     entries = F.transform(

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from parlance.functions import text
 from parlance.operators import activity, answers, filters, ordering, response, responses, retrieval, sentiment, topics, words
 from parlance.operators.nearest import nearest
-from parlance.schema import PERIODS
+from parlance.schema import EMOTIONS, PERIODS
 from parlance.sources import stopwords, store
 
 
@@ -331,6 +331,30 @@ def test_sentiment_shares(make_messages, spark):
     assert (empty.total_messages, empty.insights) == (0, "No messages found.")
 
 
+def test_percentages_are_rounded_by_the_exact_value(spark):
+    draw = np.random.default_rng(3)
+    shares = [389 / 2000, 1 / 16, 3 / 16, 0.0, 1.0, 0.0005, 0.00049999, 0.0015, 0.1945, 0.9995, 0.99949999]
+    shares += [n / 2000 for n in range(0, 2001, 7)] + [n / d for d in (3, 7, 16, 160, 800, 1600) for n in range(1, d, 5)] + draw.random(2000).tolist()
+    got = spark.createDataFrame([(x,) for x in shares], "x double").select("x", sentiment.percent(F.col("x")).alias("shown")).collect()
+    assert all(r.shown == f"{r.x:.1%}" for r in got)
+
+
+def test_scores_do_not_shuffle_messages(make_messages, spark, monkeypatch):
+    lexicon = spark.createDataFrame([("good", 1, "joy"), ("good", 1, "anger"), ("bad", -1, "anger"), ("odd", None, None), (None, 1, "joy")], "token string, polarity int, emotion string")
+    rows = make_messages([("c", 0, "A", "Good, good!"), ("d", 1, "B", "bad"), ("c", 2, "A", "plain"), ("c", 3, "A", "good bad odd"), ("d", 4, "B", ""), ("d", 5, "B", None)])
+    counted = sentiment.group_counts(rows, lexicon, ["user"])
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "seq" not in plan.split("Exchange", 1)[1].split("\n")[0]
+    want = {tuple(r) for r in counted.collect()}
+    scores = {tuple(r) for r in sentiment.message_scores(rows, lexicon).collect()}
+    assert {(r[0], r[1], r[2]) for r in scores} == {("c", 0, 4), ("d", 1, -1), ("c", 3, 1)}
+    monkeypatch.setattr(sentiment, "LOOKUP_TOKENS", 1)
+    assert {tuple(r) for r in sentiment.group_counts(rows, lexicon, ["user"]).collect()} == want
+    assert {tuple(r) for r in sentiment.message_scores(rows, lexicon).select("chat_id", "seq", "score", *EMOTIONS).collect()} == scores
+    nothing = sentiment.group_counts(rows, lexicon.where("false"), [])
+    assert nothing.first().total_messages == 6
+
+
 def test_topics_need_ten_messages(make_messages, spark):
     lexicon = spark.createDataFrame([("good", 1, "joy")], "token string, polarity int, emotion string")
     few = [("few", i, "A", "good words here") for i in range(9)]

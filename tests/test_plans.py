@@ -30,17 +30,21 @@ def test_filter_and_columns_reach_the_scan(stored):
 
 
 def test_no_python_in_jvm_operators(stored, spark):
-    lexicon = V.lexicon(spark, SF)
     for df in (
         words.common_words(stored, V.stopwords(spark, SF)),
         words.top_emojis(stored),
         response.response_stats(stored),
         activity.key_metrics(stored),
-        sentiment.sentiment(stored, lexicon, "2024-01-05", "2024-01-10", ["user"]),
     ):
         assert "Python" not in plan(df) and "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
 
 
+def test_sentiment_is_one_scan_and_one_exchange_by_group(stored, spark):
+    """The lexicon goes with the tasks; a JVM look-up in a constant took three times as long, a join meets by message."""
+    text = plan(sentiment.sentiment(stored, V.lexicon(spark, SF), "2024-01-05", "2024-01-10", ["user"]))
+    assert text.count("Exchange") == 1 and text.count("Scan parquet") == 1 and "hashpartitioning(user" in text
+
+
 def test_counts_combine_before_the_shuffle_by_hash(stored):
     text = plan(words.word_counts(stored))
     assert "SortAggregate" not in text and text.count("HashAggregate") == 2
