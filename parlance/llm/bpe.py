@@ -12,9 +12,11 @@ from __future__ import annotations
 
 import base64
 import heapq
+import pickle
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import count
 
 import numpy as np
@@ -280,45 +282,59 @@ def decode_ids(packed: bytes, tokens: dict[int, bytes]) -> bytes:
     return b"".join([tokens[i] for i in np.frombuffer(packed, dtype="<u4").tolist()])
 
 
-def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, packed: bool = True) -> DataFrame:
+@lru_cache(1)
+def replay_of(table: bytes) -> tuple[Replay, dict[int, bytes]]:
+    """One for each Python worker: the replay of a vocabulary, and the bytes of its ids."""
+    ranks = pickle.loads(table)
+    return Replay(ranks), {rank: token for token, rank in ranks.items()}
+
+
+def encode(
+    df: DataFrame, ranks: dict[bytes, int], pattern: str, text: str = "text", ids: str = "ids", decoded: str | None = None, packed: bool = True, decodes: str | None = None, drop_text: bool = False
+) -> DataFrame:
     """df with `ids` (binary: little-endian unsigned 32-bit integers, or array<int> if not packed) and `n_tokens` long.
 
     Each match of `pattern` is encoded separately, without special tokens. Columns of these names are replaced. With
-    `decoded` the ids are decoded again at once, into a binary column of that name; `decode` does so for stored ids.
+    `decoded` the ids are decoded again at once, into a binary column of that name; `decode` does so for stored ids. With
+    `decodes` a boolean column says whether they decode to the text. With `drop_text` the text doesn't come back.
     """
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(ranks))
     place = df.schema.fieldNames().index(text)
 
     def make(batches: Iterator[pa.RecordBatch]):
         import regex
 
-        replay, compiled = Replay(shared.value), regex.compile(pattern)
-        tokens = {rank: token for token, rank in shared.value.items()} if decoded else {}
+        (replay, tokens), compiled = replay_of(shared.value), regex.compile(pattern)
         for block in by_bytes(batches, BLOCK_BYTES):
             texts = [t or "" for batch in block for t in batch.column(place).to_pylist()]
             coded = encode_block(texts, replay, compiled)
+            same = [decode_ids(x, tokens) == t.encode("utf-8", "surrogatepass") for x, t in zip(coded, texts)] if decodes else []
             at = 0
             for batch in block:
                 own = coded[at : at + batch.num_rows]
-                at += batch.num_rows
                 columns = [pa.array(own, pa.binary()) if packed else as_lists(own), pa.array([len(x) // 4 for x in own], pa.int64())]
                 if decoded:
                     columns.append(pa.array([decode_ids(x, tokens) for x in own], pa.binary()))
+                if decodes:
+                    columns.append(pa.array(same[at : at + batch.num_rows], pa.bool_()))
+                at += batch.num_rows
                 yield batch, columns
 
     fields = [T.StructField(ids, T.BinaryType() if packed else T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType())]
     if decoded:
         fields.append(T.StructField(decoded, T.BinaryType()))
-    return append_columns(df, fields, make)
+    if decodes:
+        fields.append(T.StructField(decodes, T.BooleanType()))
+    return append_columns(df, fields, make, [text] if drop_text else [])
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """df with `decoded` (binary): the bytes of packed ids; null ids give null."""
-    shared = df.sparkSession.sparkContext.broadcast(ranks)
+    shared = df.sparkSession.sparkContext.broadcast(pickle.dumps(ranks))
     place = df.schema.fieldNames().index(ids)
 
     def make(batches: Iterator[pa.RecordBatch]):
-        tokens = {rank: token for token, rank in shared.value.items()}
+        _, tokens = replay_of(shared.value)
         for batch in (part for whole in batches for part in slices(whole, DECODE_BYTES)):
             out = [None if x is None else decode_ids(x, tokens) for x in batch.column(place).to_pylist()]
             yield batch, [pa.array(out, pa.binary())]

@@ -7,8 +7,8 @@
    different texts are told apart.
 
 Texts are equal when identical after deleting blanks ([\\x20\\x09-\\x0D]); null counts as empty. Of equal texts the one
-with the most code points stays, then the smallest doc_id (a null id is the largest). Repeated rows with the same id
-and length: one of them stays. An owner holds its share of the distinct hashes of each task; a hot text is one hash per
+with the most code points stays, then the smallest doc_id (a null id is the largest). Of repeated rows with the same id
+and length one stays: they are written out, and the first written one is taken. An owner holds its share of the distinct hashes of each task; a hot text is one hash per
 task, and one row per task where suspects are grouped.
 """
 
@@ -21,9 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from parlance.llm.shared import BLANKS, keep, small_side
+from parlance.llm.shared import BLANKS, in_one, keep, small_side
 
 _TEXT, _HASH, _SHA = "__text", "__hash", "__sha"
 
@@ -125,16 +124,16 @@ def suspect_hashes(sent: DataFrame, answers: DataFrame, owners: int) -> DataFram
 def group_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """df with keep_id, group_size long, kept boolean, text_sha256 string (columns of these names are replaced)."""
     spark = df.sparkSession
-    plain = df.drop("keep_id", "group_size", "kept", "text_sha256")
-    whole = F.coalesce(F.col(text), F.lit(""))
-    bare = F.translate(whole, BLANKS, "")
+    packed = in_one(df.drop("keep_id", "group_size", "kept", "text_sha256"), __doc=doc_id, __body=text)
+    rows = packed.select("__row", F.col("__doc").cast("long").alias("__id"), F.coalesce("__body", F.lit("")).alias("__whole"))
+    bare = F.translate("__whole", BLANKS, "")
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    sent = keep(sent_fingerprints(plain.select(F.xxhash64(bare).alias(_HASH)), owners), "sent")
+    sent = keep(sent_fingerprints(rows.select(F.xxhash64(bare).alias(_HASH)), owners), "sent")
     suspects = keep(suspect_hashes(sent, answered(sent, owners), owners), "suspects")
 
     # Suspects' texts meet by their bytes; equal ones collapse in each task before they are sent.
-    texts = plain.select(F.col(doc_id).cast("long").alias("__id"), F.length(whole).alias("__chars"), bare.alias(_TEXT), F.xxhash64(bare).alias(_HASH))
+    texts = rows.select("__id", F.length("__whole").alias("__chars"), bare.alias(_TEXT), F.xxhash64(bare).alias(_HASH))
     order = F.struct((-F.col("__chars")).alias("a"), F.col("__id").isNull().alias("b"), F.col("__id").alias("c"))
     verified = (
         texts.join(small_side(suspects, 16), _HASH)
@@ -146,23 +145,36 @@ def group_copies(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     )
     groups = keep(verified, "groups")
 
-    marked = plain.withColumn("text_sha256", F.sha2(bare, 256)).withColumn("__chars", F.length(whole)).withColumn("__id", F.col(doc_id).cast("long"))
+    marked = rows.select("__row", "__id", F.length("__whole").alias("__chars"), F.sha2(bare, 256).alias("text_sha256"))
     joined = marked.join(small_side(groups, 120), marked["text_sha256"] == groups[_SHA], "left")
     best = (F.col("__chars") == F.col("__chars_kept")) & F.col("__id").eqNullSafe(F.col("__id_kept"))
-    return (
-        joined.withColumn("keep_id", F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__id_kept")))
-        .withColumn("group_size", F.coalesce("__size", F.lit(1)).cast("long"))
-        .withColumn("kept", F.col("__size").isNull() | best)
-        .drop(_SHA, "__chars_kept", "__id_kept", "__size", "__chars", "__id")
+    decided = joined.select(
+        "__row",
+        "__id",
+        F.when(F.col("__size").isNull(), F.col("__id")).otherwise(F.col("__id_kept")).alias("keep_id"),
+        F.coalesce("__size", F.lit(1)).cast("long").alias("group_size"),
+        (F.col("__size").isNull() | best).alias("kept"),
+        "text_sha256",
     )
+    return _one_of_repeated(decided).select("__row.*", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def _one_of_repeated(decided: DataFrame) -> DataFrame:
+    """Rows of one id that would all be kept for one text: the first written one stays kept."""
+    repeated = keep(decided.groupBy("__id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("__id").alias("__again")), "repeated-ids")
+    if not repeated.head(1):
+        return decided
+    doubtful = F.col("kept") & (F.col("group_size") > 1)
+    ids = small_side(repeated, 16)
+    same = F.col("__id").eqNullSafe(F.col("__again"))
+    again = keep(decided.where(doubtful).join(ids, same, "left_semi").withColumn("__number", F.monotonically_increasing_id()), "repeated-rows")
+    first = keep(again.groupBy("text_sha256").agg(F.min("__number").alias("__first")), "first-rows")
+    one = again.join(small_side(first, 100), "text_sha256").withColumn("kept", F.col("__number") == F.col("__first"))
+    sure = decided.where(~doubtful).unionByName(decided.where(doubtful).join(ids, same, "left_anti"))
+    return sure.unionByName(one.drop("__number", "__first"))
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group of equal texts, all others dropped; the columns of df."""
-    # All columns travel in one struct, so none can clash with the decisions.
-    packed = df.select(F.struct([F.col(f"`{c}`") for c in df.columns]).alias("__row"), F.col(doc_id).alias("__doc"), F.col(text).alias("__body"))
-    kept = group_copies(packed, "__doc", "__body").where("kept")
-    # Repeated rows with the kept row's id and length would all stay: they are numbered, all other rows pass by.
-    alone, copies = kept.where("group_size = 1"), kept.where("group_size > 1")
-    numbered = copies.withColumn("__n", F.row_number().over(Window.partitionBy("text_sha256").orderBy("__doc"))).where("__n = 1")
-    return alone.select("__row.*").unionByName(numbered.select("__row.*"))
+    """One row of each group of equal texts, all others dropped; the columns of df, whatever their names."""
+    found = group_copies(in_one(df, __doc_id=doc_id, __text=text), "__doc_id", "__text")
+    return found.where("kept").select("__row.*")

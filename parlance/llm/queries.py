@@ -51,7 +51,7 @@ WITH bare AS (
 SELECT doc_id,
        first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc_id) AS keep_id,
        count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id = first_value(doc_id) OVER (PARTITION BY t ORDER BY chars DESC, doc_id) AS kept,
+       row_number() OVER (PARTITION BY t ORDER BY chars DESC, doc_id) = 1 AS kept,
        sha256(t) AS text_sha256
 FROM bare
 """

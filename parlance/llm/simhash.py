@@ -27,9 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
-from parlance.llm.shared import append_columns, keep, slices, small_side
+from parlance.llm.shared import append_columns, in_one, keep, slices, small_side
 
 #: First bit and length of the three segments.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -258,21 +257,18 @@ def label_components(prints: DataFrame, distinct: DataFrame, roots: DataFrame, n
 
 
 def dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
-    """One document of each component stays (the smallest doc_id; of repeated rows one); the columns of df."""
-    return first_of_components(df, near_components(df, doc_id, text, words), doc_id, text)
-
-
-def first_of_components(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of df that stay by `found`: (doc_id, text_hash, component_id), one row for each row of df."""
-    found = found.withColumn("__id", F.coalesce("doc_id", F.lit(_NO_ID))).withColumnRenamed("text_hash", "__hash")
-    found = keep(found, "components")
-    pair = ["__id", "__hash"]
-    dropped = keep(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(pair).distinct(), "dropped")
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeated = keep(stays.groupBy(pair).agg(F.count("*").alias("n")).where("n > 1").select(pair), "repeated")
-    columns = [F.col(f"`{c}`") for c in df.columns]
-    rows = df.withColumn("__id", F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))).withColumn("__hash", F.xxhash64(text))
+    """One document of each component stays (the smallest doc_id; of repeated rows one); the columns of df, whatever
+    their names. A null id counts as larger than all others; a null text as one without words."""
+    found = near_components(df, doc_id, text, words).withColumn("id", F.coalesce("doc_id", F.lit(_NO_ID)))
+    found = keep(found.select("id", "text_hash", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("stays")), "components")
+    pair = ["id", "text_hash"]
+    dropped = keep(found.where("not stays").select(pair).distinct(), "dropped")
+    repeated = keep(found.where("stays").groupBy(pair).agg(F.count("*").alias("n")).where("n > 1").select(pair), "repeated")
+    rows = in_one(df, doc=doc_id, body=text).select("__row", F.coalesce(F.col("doc").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("body").alias("text_hash"))
     rows = rows.join(small_side(dropped, 16), pair, "left_anti")
     few = small_side(repeated, 16)
-    one = rows.join(few, pair, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy(pair).orderBy(pair))).where("__n = 1")
-    return rows.join(few, pair, "left_anti").select(columns).unionByName(one.select(columns))
+    # Of repeated rows the first written one stays; they are numbered by the tasks that write them.
+    again = keep(rows.join(few, pair, "left_semi").withColumn("number", F.monotonically_increasing_id()), "repeated-rows")
+    first = keep(again.groupBy(pair).agg(F.min("number").alias("number")), "first-rows")
+    one = again.join(small_side(first, 24), [*pair, "number"], "left_semi")
+    return rows.join(few, pair, "left_anti").select("__row.*").unionByName(one.select("__row.*"))
