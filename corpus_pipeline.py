@@ -13,40 +13,37 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import bpe, exact_dedup, langid, minhash, mixing
-from parlance.llm.shared import keep
+from parlance.llm import bpe, exact_dedup, langid, mixing, simhash
+from parlance.llm.shared import in_one, keep
+
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is found; those that are `und`, without any letter, go."""
-    found = langid.identify(docs, langid.train(docs), prefix="__")
-    return found.where(F.col("__lang_pred") != "und").select([F.col(f"`{c}`") for c in docs.columns])
+    """Documents whose language is found; those that are `und`, without any letter (nulls too), go. Repeated rows stay."""
+    found = langid.identify(in_one(docs, text="text"), langid.train(docs), drop_text=True)
+    return found.where(F.col("lang_pred") != "und").select("__row.*")
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of texts that are equal without their blanks."""
+    """One document of each group of texts that are equal without their blanks (ties and repeated rows: one of them)."""
     return exact_dedup.dedup(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, of 0.8 or more Jaccard likeness over distinct five-word shingles.
-
-    Found by MinHash: operator 7's three words and two bits miss nearly all of them. The stage keeps its name.
-    """
-    return minhash.dedup(docs)
+    """One document of each component of SimHash fingerprints (three words) linked at two or fewer bits."""
+    return simhash.dedup(docs, words=3)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; a null source is a source of its own."""
     return mixing.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, lang, source, n_tokens, ids (array<int>), and whether the ids decode to the text."""
+    """doc_id, lang, source, n_tokens, ids (array<int>), and whether the ids decode to the text (null: empty)."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    texts = docs.select("doc_id", "lang", "source", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = bpe.encode(texts, ranks, public_tokenizers.PATTERN, decoded="decoded", packed=False)
-    checked = encoded.withColumn("decodes", F.col("decoded") == F.col("text").cast("binary")).drop("decoded", "text")
-    return checked.select("doc_id", "lang", "source", "n_tokens", "decodes", "ids")
+    given = docs.select("doc_id", "lang", "source", "text")
+    encoded = bpe.encode(given, ranks, public_tokenizers.PATTERN, packed=False, decodes="decodes", drop_text=True)
+    return encoded.select("doc_id", "lang", "source", "n_tokens", "decodes", "ids")
 
 
 STAGES = [
