@@ -51,7 +51,8 @@ def clean(x: str) -> str:
 def urls(x: str) -> str:
     found = f"regexp_extract_all({x}, {re2(P.URL_CANDIDATE)})"
     return (
-        f"list_filter({found}, lambda u: regexp_matches(u, {re2(P.URL_SCHEME)}) OR regexp_matches(u, {re2(P.URL_DOMAIN)}))"
+        f"list_filter({found}, lambda u: regexp_matches(u, {re2(P.URL_SCHEME)}) OR "
+        f"list_contains([{', '.join(q(d) for d in P.TOP_LEVEL_DOMAINS)}], lower(regexp_extract(u, {re2(P.URL_LABEL)}, 1))))"
     )
 
 

@@ -154,29 +154,33 @@ def busiest_users_by_chat(spark, sf):
 
 @query(
     "user_share",
-    """SELECT "user" AS name, count(*) AS messages, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent
+    """SELECT "user" AS name, count(*) AS messages, round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS percent,
+      round_even(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * 100, 2) AS percent_shown
     FROM messages GROUP BY "user" """,
 )
 def user_share(spark, sf):
-    return activity.user_share(V.messages(spark, sf)).drop("percent_shown")
+    return activity.user_share(V.messages(spark, sf))
 
 
 @query(
     "user_share_by_chat",
     """SELECT chat_id, "user" AS name, count(*) AS messages,
-      round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY chat_id), 6) AS percent FROM messages GROUP BY chat_id, "user" """,
+      round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY chat_id), 6) AS percent,
+      round_even(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY chat_id) * 100, 2) AS percent_shown
+    FROM messages GROUP BY chat_id, "user" """,
 )
 def user_share_by_chat(spark, sf):
-    return activity.user_share(V.messages(spark, sf), CHAT).drop("percent_shown")
+    return activity.user_share(V.messages(spark, sf), CHAT)
 
 
 @query(
     "top_user_share",
-    f"""SELECT "user", messages, round(messages * 100.0 / sum(messages) OVER (), 6) AS percent
+    f"""SELECT "user", messages, round(messages * 100.0 / sum(messages) OVER (), 6) AS percent,
+      round_even(CAST(messages AS DOUBLE) / sum(messages) OVER () * 100, 2) AS percent_shown
     FROM ({_top(10, 'people')})""",
 )
 def top_user_share(spark, sf):
-    return activity.top_user_share(V.messages(spark, sf)).drop("percent_shown")
+    return activity.top_user_share(V.messages(spark, sf))
 
 
 @query(

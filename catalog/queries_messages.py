@@ -82,11 +82,11 @@ def transcript_messages(spark, sf):
     "transcript_rejects",
     f"""SELECT chat_id, seq, "user", {_Q3} AS message,
       '31/2/2024, ' || (event_hour % 12 + 1) || ':07 pm - ' AS header
-    FROM (SELECT *, hour(date) AS event_hour FROM chat) WHERE seq % 3 = 0 AND "user" <> 'group_notification' AND {_Q3} <> ''""",
+    FROM (SELECT *, hour(date) AS event_hour FROM chat) WHERE "user" <> 'group_notification' AND {_Q3} <> ''""",
 )
 def transcript_rejects(spark, sf):
-    """Every third message under a day that there isn't, as a text of its own."""
-    own = V.chat(spark, sf).where((F.col("seq") % 3 == 0) & (F.col("user") != "group_notification"))
+    """Every message under a day that there isn't, as a text of its own."""
+    own = V.chat(spark, sf).where(F.col("user") != "group_notification")
     header = F.concat(F.lit("31/2/2024, "), (F.hour("date") % 12 + 1).cast("string"), F.lit(":07 pm - "))
     texts = own.select(
         F.concat_ws(" ", "chat_id", F.col("seq").cast("string")).alias("chat_id"),

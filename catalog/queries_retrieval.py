@@ -105,14 +105,10 @@ def context_union(spark, sf):
 @query(
     "citations",
     """SELECT question_id, rank AS id, "user", message, strftime(date, '%Y-%m-%dT%H:%M:%S') AS timestamp,
-      round(similarity, 6) AS score FROM hits""",
+      round_even(similarity, 3) AS score FROM hits""",
 )
 def citations(spark, sf):
-    hits = _hits(spark, sf)
-    # Scores are compared before they are cut to three decimals.
-    shown = retrieval.citations(hits).select("question_id", F.inline("citations")).drop("score")
-    scores = hits.select("question_id", F.col("rank").alias("id"), F.col("similarity").alias("score"))
-    return shown.join(scores, ["question_id", "id"])
+    return retrieval.citations(_hits(spark, sf)).select("question_id", F.inline("citations"))
 
 
 @query(
@@ -203,7 +199,7 @@ def hashed_embeddings(spark, sf):
     "questions_answered",
     f"""SELECT chat_id || ' ' || seq AS question_id, 1.0 AS best_similarity, 'answer to ' || chat_id || ' ' || seq AS answer,
       contains(message, chr(10)) IS NOT NULL AS has_prompt, 'answered' AS outcome
-    FROM indexable WHERE seq % 400 = 7 AND len({D.tokens('message')}) > 0""",
+    FROM indexable WHERE seq % 50 = 0 AND len({D.tokens('message')}) > 0""",
 )
 def questions_answered(spark, sf):
     """Messages to index, index to hits, hits to prompts, replies to answers; each question repeats a stored message."""
@@ -215,7 +211,7 @@ def questions_answered(spark, sf):
     nobound = F.lit(None).cast("date")
     questions = (
         retrieval.index_rows(messages)
-        .where((F.col("seq") % 400 == 7) & with_words)
+        .where((F.col("seq") % 50 == 0) & with_words)
         .select(name.alias("question_id"), F.col("message").alias("question"), nobound.alias("start"), nobound.alias("end"))
     )
     hits_path = V.scratch(spark)

@@ -44,24 +44,21 @@ URL_CANDIDATE = (
 # What every link contains.
 URL_HINT = r"\.(?U:[^\s\x{1C}-\x{1F}])|://"
 URL_SCHEME = r"(?i)\A(?:https?://|ftp://|www\.)"
-# Frequent top-level domains, recognised without a scheme where the caller brings no list. The full
-# registry has some 1,500; a job that needs them all passes them to text.urls (see README).
+# Frequent top-level domains, recognised without a scheme where the caller brings no list. The registry has
+# some 1,500; a job that needs them all passes them to text.urls, which looks labels up by hash (see README).
 TOP_LEVEL_DOMAINS = (
     "com|org|net|edu|gov|mil|int|info|biz|io|co|ai|app|dev|me|tv|ly|gl|gg|xyz|online|site|store|shop|tech|blog|cloud"
     "|in|uk|us|ca|au|de|fr|it|es|nl|be|ch|at|se|no|dk|fi|pl|pt|ie|cz|gr|ru|ua|tr|cn|jp|kr|tw|hk|sg|my|id|th|vn|ph"
     "|bd|pk|lk|np|ae|sa|il|za|ng|ke|eg|br|mx|ar|cl|pe|nz|eu"
     "|club|news|live|world|today|life|media|agency|group|company|team|email|digital|network|studio|design|art|games|video"
     "|music|travel|health|care|money|finance|bank|law|academy|school|university|center|support|guide|zone|city|one|top|pro"
-    "|name|mobi|aero|museum|jobs|asia|space|fun|link|page|wiki|social|chat|video|work|works|tools|software|host|website"
-)
-
-
-def url_domain(domains: str = TOP_LEVEL_DOMAINS) -> str:
-    """Pattern of a bare domain under one of the top-level domains, given as alternatives (a|b|c)."""
-    return rf"(?i)\A[^@/?#:]*\.(?:{domains})(?:[/?#:]|\z)"
+    "|name|mobi|aero|museum|jobs|asia|space|fun|link|page|wiki|social|chat|work|works|tools|software|host|website"
+    "|icu|sbs|photography|cyou|cfd|bond|buzz|vip|win"
+).split("|")
 
 
-URL_DOMAIN = url_domain()
+# The last label of a bare domain's host name; empty where the text is no such domain.
+URL_LABEL = r"\A[^@/?#:]*\.([^@/?#:.]+)(?:[/?#:]|\z)"
 
 # Single code points with the Unicode Emoji property, without the keycap bases and the regional
 # indicators, which are emoji only as part of a sequence.

@@ -355,6 +355,14 @@ def test_scores_do_not_shuffle_messages(make_messages, spark, monkeypatch):
     assert nothing.first().total_messages == 6
 
 
+def test_bare_domains_by_their_last_label(spark):
+    values = ["see example.icu and foo.sbs/x", "bar.website nice.photography", "A.COM:80 b.co.uk?x=1", "file.doc x.toolong a@b.com", "http://any.thing www.else"]
+    assert column(spark, values, text.url_count) == [2, 2, 2, 0, 2]
+    # A list of any length costs one look-up.
+    registry = [f"label{i}" for i in range(5000)] + ["doc"]
+    assert column(spark, values, lambda v: text.url_count(v, registry)) == [0, 0, 0, 1, 2]
+
+
 def test_topics_need_ten_messages(make_messages, spark):
     lexicon = spark.createDataFrame([("good", 1, "joy")], "token string, polarity int, emotion string")
     few = [("few", i, "A", "good words here") for i in range(9)]
