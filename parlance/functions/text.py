@@ -59,17 +59,17 @@ def clean(text: Column, collapse: bool = False) -> Column:
     return F.regexp_replace(cleaned, f"{P.WS}+", " ") if collapse else cleaned
 
 
-def urls(text: Column, domains: Sequence[str] = P.TOP_LEVEL_DOMAINS) -> Column:
-    """Links in the text: with a scheme, with www, or a bare domain under one of the top-level domains, in any case.
+def urls(text: Column, domains: Sequence[str] | str = P.TOP_LEVEL_DOMAINS) -> Column:
+    """Links in the text: with a scheme, with www, or a bare domain under one of the top-level domains (or a|b|c).
 
     Labels are looked up in a hash set, so a list of the whole registry costs no more than a short one.
     """
     found = F.regexp_extract_all(text, F.lit(P.URL_CANDIDATE), F.lit(0))
-    known = [d.lower() for d in domains]
+    known = [d.lower() for d in (domains.split("|") if isinstance(domains, str) else domains)]
     return F.filter(found, lambda u: u.rlike(P.URL_SCHEME) | F.lower(F.regexp_extract(u, P.URL_LABEL, 1)).isin(known))
 
 
-def url_count(text: Column, domains: Sequence[str] = P.TOP_LEVEL_DOMAINS) -> Column:
+def url_count(text: Column, domains: Sequence[str] | str = P.TOP_LEVEL_DOMAINS) -> Column:
     return F.when(text.rlike(P.URL_HINT), F.size(urls(text, domains))).otherwise(0).cast("long")
 
 
