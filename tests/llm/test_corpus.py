@@ -415,6 +415,56 @@ def test_draws_follow_inclusion_odds(spark):
     assert abs(shares.mean() - 0.5) < 0.01 and 0.15 < (shares == 0).mean() < 0.35
 
 
+def test_inclusion_is_unequal_and_pareto(spark, monkeypatch):
+    """Rates, ranks and draws equal those by hand; the order is not that of the plain hash. Few bins force the finer ones."""
+    monkeypatch.setattr(mixing, "BINS", 4)
+    words = [1 + (i * 7) % 40 if i % 100 else 900 for i in range(2000)]
+    rows = [(i, " ".join(["w"] * n), "a" if i % 4 else "b") for i, n in enumerate(words)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    draws = {r.doc_id: r.h for r in df.select("doc_id", F.xxhash64(F.lit(3), "doc_id", "text").alias("h")).collect()}
+    u = {i: (((h % (1 << 64)) >> 12) + 0.5) / (1 << 52) for i, h in draws.items()}
+    got = {r["doc_id"]: r for r in mixing.taken_copies(df, seed=3).collect()}
+    for source in "ab":
+        own = [i for i in range(len(rows)) if rows[i][2] == source]
+        total, target = sum(words[i] for i in own), got[own[0]]["target"]
+        whole = int(target / total + 1e-12)
+        lack = target - whole * total
+        certain, rate = set(), 0.0
+        while True:
+            rest = [i for i in own if i not in certain]
+            rate = (lack - sum(words[i] for i in certain)) / sum(words[i] ** 1.5 for i in rest)
+            more = {i for i in rest if rate * words[i] ** 0.5 > 1}
+            if not more:
+                break
+            certain |= more
+        p = {i: min(1 - 1e-9, rate * words[i] ** 0.5) for i in own}
+        assert abs(sum(p[i] * words[i] for i in own) - lack) < 1e-3
+        order = sorted(own, key=lambda i: u[i] / (1 - u[i]) * (1 - p[i]) / p[i])
+        gap, taken = lack, set()
+        for i in order:
+            if words[i] <= gap:
+                gap -= words[i]
+                taken.add(i)
+        near = min((abs(words[i] - gap), order.index(i)) for i in own if i not in taken)
+        if near[0] < gap:
+            taken.add(order[near[1]])
+        assert {i for i in own if got[i]["copies"] > whole} == taken
+        assert taken != set(sorted(own, key=u.get)[: len(taken)])
+
+
+def test_longer_documents_are_drawn_more_often(spark):
+    rows = [(i, "w " * (1 if i % 2 else 16), "a" if i % 3 else "b") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    drawn = mixing.taken_copies(df).where("source = 'a'").groupBy("size").agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("p"))
+    p = {r["size"]: r["p"] for r in drawn.collect()}
+    even = mixing.taken_copies(df, lean=0.0).where("source = 'a'").groupBy("size").agg(F.avg(F.col("copies") - F.floor(F.col("target") / F.col("source_size"))).alias("p"))
+    same = {r["size"]: r["p"] for r in even.collect()}
+    # Pareto sampling meets the wanted probabilities: a ratio of the square root of 16.
+    assert 3 < p[16] / p[1] < 5 and 0.8 < same[16] / same[1] < 1.25
+    with pytest.raises(ValueError):
+        mixing.taken_copies(df, lean=-1.0)
+
+
 def test_pipeline(spark, docs, rows, empty):
     import corpus_pipeline
 
