@@ -38,6 +38,15 @@ def nearest_messages_blocked(spark, sf):
     return found.select("question_id", "rank", "chat_id", "seq", "message_id")
 
 
+@query("nearest_messages_by_pivots", f"SELECT {_HIT.replace('rank', 'place AS rank')} FROM ranked WHERE place <= 10")
+def nearest_messages_by_pivots(spark, sf):
+    # Blocks of an eighth of the questions: more than are scanned one by one.
+    asked = V.questions(spark, sf)
+    eighth = max(1, asked.count() // 8) * (64 * 8 + 64)
+    found = retrieval.retrieve_similar(asked, V.index(spark, sf), 10, broadcast_bytes=eighth)
+    return found.select("question_id", "rank", "chat_id", "seq", "message_id")
+
+
 @query("retrieved_messages", f"SELECT {_HIT}, round(similarity, 6) AS similarity FROM hits")
 def retrieved_messages(spark, sf):
     return _hits(spark, sf).select("question_id", "rank", "chat_id", "seq", "message_id", "similarity")

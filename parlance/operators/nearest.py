@@ -3,6 +3,10 @@
 Every task multiplies its vectors with a block of questions and keeps only the k best rows per question, so the
 shuffle carries k rows per task and question instead of all pairs. Distances that decide are recomputed in double
 precision by direct subtraction; ties go to the smaller (chat_id, seq).
+
+Many questions (over MAP_BLOCKS blocks) never reach the driver: rows and questions meet in cells around pivots. A row
+belongs to the cell of its nearest pivot, at that radius; a question goes to the cells that may hold one of its k nearest
+rows by the triangle inequality, and rows that no question's reach touches are skipped before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -21,6 +25,13 @@ from pyspark.sql import types as T
 BROADCAST_BYTES = 64 << 20
 HIT_BYTES = 128
 MERGE_SALTS = 32
+# So many blocks of questions are sent to map-only scans of the index; more are partitioned by pivots.
+MAP_BLOCKS = 4
+PIVOTS = 32
+# Bytes of index vectors that meet a block of questions in one task.
+SPLIT_BYTES = 32 << 20
+# Radii are counted in bins of a quarter of a power of two, from 2**-16 to 2**16.
+RADIUS_BINS = 128
 _CELLS = 1 << 22
 
 
@@ -51,12 +62,13 @@ def _micros(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 class _Best:
     """The k best rows per question seen so far in one task."""
 
-    def __init__(self, questions: pa.Table, k: int, filtered: bool):
+    def __init__(self, questions: pa.Table, k: int, filtered: bool, kth: np.ndarray | None = None):
         self.ids = questions.column("question_id").combine_chunks()
         self.vectors = _matrix(questions.column("_vector"))
         self.norms = (self.vectors**2).sum(axis=1)
         self.k = k
-        self.kth = np.full(len(self.ids), np.inf)
+        # Squared distances within which the k nearest rows lie.
+        self.kth = np.full(len(self.ids), np.inf) if kth is None else kth
         self.bounds = None
         if filtered:
             stop = _micros(questions.column("_stop"))
@@ -114,7 +126,7 @@ class _Best:
         place = np.arange(len(question)) - np.searchsorted(question, question)
         self.hits = merged.filter(pa.array(place < self.k)).combine_chunks()
         full = place == self.k - 1
-        self.kth[question[full]] = merged.column("distance").to_numpy()[full]
+        self.kth[question[full]] = np.minimum(self.kth[question[full]], merged.column("distance").to_numpy()[full])
 
     def batches(self, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
         if self.hits is None:
@@ -149,6 +161,160 @@ def _question_blocks(asked: DataFrame, blocks: int) -> Iterator[pa.Table]:
         yield asked.where(place == block).toArrow()
 
 
+def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of all vectors to all pivots, by direct subtraction."""
+    out = np.empty((len(vectors), len(pivots)))
+    for i, pivot in enumerate(pivots):
+        out[:, i] = np.sqrt(((vectors - pivot) ** 2).sum(axis=1))
+    return out
+
+
+def _slack(reach: np.ndarray) -> np.ndarray:
+    """A bound on the rounding of a sum of distances, added to what it is compared with."""
+    return 1e-9 * (1.0 + np.abs(reach))
+
+
+class Cells:
+    """What is known of the cells: counts and largest radii of their bins. At most PIVOTS * RADIUS_BINS numbers."""
+
+    def __init__(self, pivots: np.ndarray, bins: list):
+        self.pivots = pivots
+        self.bin_cell = np.array([r["_cell"] for r in bins], dtype=np.int64)
+        self.bin_count = np.array([r["n"] for r in bins], dtype=np.int64)
+        self.bin_most = np.array([r["most"] for r in bins])
+        self.count = np.zeros(len(pivots), dtype=np.int64)
+        np.add.at(self.count, self.bin_cell, self.bin_count)
+        self.least, self.most = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        np.minimum.at(self.least, self.bin_cell, np.array([r["least"] for r in bins]))
+        np.maximum.at(self.most, self.bin_cell, self.bin_most)
+
+    def within(self, away: np.ndarray, k: int) -> np.ndarray:
+        """For each question at these distances from the pivots: a distance within which k rows lie."""
+        if self.count.sum() < k:
+            return np.full(len(away), np.inf)
+        bound = away[:, self.bin_cell] + self.bin_most
+        order = np.argsort(bound, axis=1)
+        enough = (np.cumsum(self.bin_count[order], axis=1) >= k).argmax(axis=1)
+        rows = np.arange(len(away))
+        limit = bound[rows, order[rows, enough]]
+        return limit + _slack(limit)
+
+    def reached(self, away: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(question, cell) of all cells that can hold a row within a question's limit."""
+        nearer = np.maximum(away - self.most, self.least - away)
+        return np.nonzero((nearer - _slack(away) <= limit[:, None]) & (self.count > 0))
+
+
+def _placed(index: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """The index rows with a finite vector, with `_cell` (nearest pivot) and `_radius` (distance to it)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    output = T.StructType([*index.schema.fields, T.StructField("_cell", T.IntegerType()), T.StructField("_radius", T.DoubleType())])
+    schema = to_arrow_schema(output)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _of_length(pa.Table.from_batches([batch]), pivots.shape[1])
+            if not len(rows):
+                continue
+            vectors = _matrix(rows.column("embedding"))
+            finite = np.isfinite(vectors).all(axis=1)
+            rows, away = rows.filter(pa.array(finite)), _distances(vectors[finite], pivots)
+            cell = away.argmin(axis=1)
+            radius = away[np.arange(len(cell)), cell]
+            done = rows.append_column("_cell", pa.array(cell.astype(np.int32))).append_column("_radius", pa.array(radius))
+            yield from done.cast(schema).to_batches()
+
+    return index.mapInArrow(task, output)
+
+
+def _reaching(asked: DataFrame, cells: Cells, k: int, filtered: bool) -> DataFrame:
+    """A row for each question and cell that it reaches, with `_away` from the pivot and `_limit` (infinite with dates)."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = [T.StructField("_cell", T.IntegerType()), T.StructField("_away", T.DoubleType()), T.StructField("_limit", T.DoubleType())]
+    output = T.StructType([*asked.schema.fields, *added])
+    schema = to_arrow_schema(output)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            away = _distances(_matrix(batch.column("_vector")), cells.pivots)
+            # Rows outside a question's dates don't count, so they give no limit.
+            limit = np.full(len(away), np.inf) if filtered else cells.within(away, k)
+            question, cell = cells.reached(away, limit)
+            found = pa.Table.from_batches([batch]).take(pa.array(question)).append_column("_cell", pa.array(cell.astype(np.int32)))
+            found = found.append_column("_away", pa.array(away[question, cell])).append_column("_limit", pa.array(limit[question]))
+            yield from found.cast(schema).to_batches()
+
+    return asked.mapInArrow(task, output)
+
+
+def meeting(
+    asked: DataFrame, index: DataFrame, k: int, filtered: bool, block_bytes: int, pivots: int = PIVOTS, split_bytes: int = SPLIT_BYTES
+) -> tuple[DataFrame, DataFrame] | None:
+    """(questions, index rows) dealt to `_cell`, `_split` and `_block` so that each question meets all its candidates.
+
+    Hot cells are split: a split holds about split_bytes of rows, a block block_bytes of questions. Pivots are vectors
+    of the smallest key hashes; they decide the work, not the result. None where there is no question or no row.
+    """
+    first = asked.select(F.size("_vector").alias("width")).first()
+    if first is None:
+        return None
+    finite = F.forall("embedding", lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
+    usable = index.where((F.size("embedding") == first.width) & finite)
+    chosen = usable.orderBy(F.xxhash64("chat_id", "seq"), "chat_id", "seq").limit(pivots).select("embedding").toArrow()
+    if not len(chosen):
+        return None
+    around = _matrix(chosen.column("embedding"))
+    placed = _placed(index, around)
+    log = F.when(F.col("_radius") > 0, F.floor(F.log2("_radius") * 4)).otherwise(-RADIUS_BINS)
+    place = F.greatest(F.lit(-RADIUS_BINS // 2), F.least(F.lit(RADIUS_BINS // 2 - 1), log)).alias("_bin")
+    sums = [F.count("*").alias("n"), F.min("_radius").alias("least"), F.max("_radius").alias("most")]
+    cells = Cells(around, placed.groupBy("_cell", place).agg(*sums).collect())
+
+    # One row for each cell that is reached: the radii in reach, and into how many parts its rows and questions go.
+    going = _reaching(asked, cells, k, filtered)
+    width = first.width * 8 + 64
+    reach = [F.min(F.col("_away") - F.col("_limit")).alias("low"), F.max(F.col("_away") + F.col("_limit")).alias("high")]
+    parts = []
+    for r in going.groupBy("_cell").agg(F.count("*").alias("n"), *reach, F.max("_away").alias("far")).collect():
+        rounding = float(_slack(np.float64(r.far + cells.most[r._cell])))
+        splits = -(-int(cells.count[r._cell]) * width // split_bytes)
+        parts.append((r._cell, r.low - rounding, r.high + rounding, max(1, splits), max(1, -(-r.n * width // block_bytes))))
+    known = F.broadcast(index.sparkSession.createDataFrame(parts, "_cell int, _low double, _high double, _splits int, _blocks int"))
+
+    rows = placed.join(known, "_cell").where(F.col("_radius").between(F.col("_low"), F.col("_high")))
+    rows = rows.withColumn("_split", F.pmod(F.xxhash64("chat_id", "seq"), F.col("_splits")).cast("int"))
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+    dealt = going.join(known, "_cell").withColumn("_block", F.pmod(F.xxhash64("question_id"), F.col("_blocks")).cast("int"))
+    dealt = dealt.withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
+    return dealt.drop("_low", "_high", "_splits", "_blocks", "_away"), rows.drop("_low", "_high", "_splits", "_blocks", "_radius")
+
+
+def _by_pivots(asked: DataFrame, index: DataFrame, k: int, filtered: bool, output: T.StructType, block_bytes: int) -> DataFrame:
+    """The k best rows of each question in each cell and split that it reaches."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    schema = to_arrow_schema(output)
+    names = index.columns
+    met = meeting(asked, index, k, filtered, block_bytes)
+    if met is None:
+        return index.sparkSession.createDataFrame([], output)
+
+    def task(questions: pa.Table, rows: pa.Table) -> pa.Table:
+        if not len(questions) or not len(rows):
+            return schema.empty_table()
+        limit = questions.column("_limit").to_numpy()
+        best = _Best(questions, k, filtered, limit**2 * (1 + 1e-9))
+        best.add(rows.select(names))
+        return pa.Table.from_batches(best.batches(schema), schema)
+
+    keys = ("_cell", "_split", "_block")
+    return met[0].groupBy(*keys).cogroup(met[1].groupBy(*keys)).applyInArrow(task, output)
+
+
 def nearest(
     questions: DataFrame,
     index: DataFrame,
@@ -164,9 +330,10 @@ def nearest(
     k is capped by what there is. Vectors with non-finite elements are never neighbours, and a question with one finds
     none; vectors of different lengths raise.
 
-    The questions' size is read first. Up to broadcast_bytes they are sent to every task; more are sent in blocks of that
-    size, one map-only scan for each, so the index is never shuffled. Only keys, dates and vectors pass through Python;
-    the other columns are joined to the hits, at most k for a question.
+    The questions' size is read first. Up to broadcast_bytes they are sent to every task; up to MAP_BLOCKS times as many
+    are sent in blocks of that size, one map-only scan for each, so the index is not shuffled. More questions stay off the
+    driver: they meet the index rows in reach by cells around pivots (see `meeting`), with the same hits. Only keys, dates
+    and vectors pass through Python; the other columns are joined to the hits, at most k for a question.
     """
     columns = [F.col("question_id").alias("question_id"), F.col("embedding").alias("_vector")]
     if within:
@@ -183,8 +350,11 @@ def nearest(
     )
     size, asking = asked.agg(F.sum(F.size("_vector").cast("long") * 8 + 64), F.count("*")).first()
     blocks = max(1, -(-(size or 0) // broadcast_bytes))
-    scans = [_scan(block, scanned, k, bool(within), output) for block in _question_blocks(asked, blocks)]
-    found = reduce(DataFrame.unionByName, scans)
+    if blocks > MAP_BLOCKS:
+        found = _by_pivots(asked, scanned, k, bool(within), output, broadcast_bytes)
+    else:
+        scans = [_scan(block, scanned, k, bool(within), output) for block in _question_blocks(asked, blocks)]
+        found = reduce(DataFrame.unionByName, scans)
 
     order = [F.col("distance"), F.col("chat_id"), F.col("seq")]
     salt = F.pmod(F.xxhash64("chat_id", "seq"), F.lit(MERGE_SALTS))

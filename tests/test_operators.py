@@ -396,6 +396,53 @@ def test_word_count_matches_python(make_messages):
     assert got == dict(want)
 
 
+@pytest.mark.parametrize("k", [1, 7, 500])
+def test_nearest_by_pivots(spark, monkeypatch, k):
+    """Questions in many blocks meet the rows by cells, with the hits of brute force; far rows don't travel."""
+    import parlance.operators.nearest as module
+
+    monkeypatch.setattr(module, "SPLIT_BYTES", 2000)
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(6, 5)) * 50
+    matrix = (centres[rng.integers(0, 6, 400)] + rng.normal(size=(400, 5))).astype(np.float32)
+    matrix[:130] = matrix[0]
+    rows = [(f"c{i % 3}", i, f"v{i}", [float(x) for x in matrix[i]]) for i in range(400)]
+    rows += [("c0", 900, "nan", [float("nan")] * 5), ("c0", 901, "none", None)]
+    index = spark.createDataFrame(rows, "chat_id string, seq long, message_id string, embedding array<float>").repartition(4)
+    asked = index.where("seq % 5 = 0 or seq = 900").select(F.col("seq").alias("question_id"), "embedding")
+    got = {}
+    for r in nearest(asked, index, k, broadcast_bytes=500).orderBy("question_id", "rank").collect():
+        got.setdefault(r.question_id, []).append(r.message_id)
+    assert set(got) == set(range(0, 400, 5))
+    for q, ids in got.items():
+        d = ((matrix.astype(np.float64) - matrix[q].astype(np.float64)) ** 2).sum(axis=1)
+        assert ids == [f"v{i}" for i in sorted(range(400), key=lambda i: (d[i], f"c{i % 3}", i))[:k]]
+    assert nearest(asked, index.where("false"), k, broadcast_bytes=500).count() == 0
+
+
+def test_pivots_skip_rows_and_keep_questions_off_the_driver(spark, monkeypatch):
+    import parlance.operators.nearest as module
+
+    rng = np.random.default_rng(6)
+    matrix = (np.arange(600) % 6)[:, None] * 100.0 + rng.normal(size=(600, 4))
+    index = spark.createDataFrame([("c", i, [float(x) for x in matrix[i]]) for i in range(600)], "chat_id string, seq long, embedding array<double>")
+    asked = index.where("seq % 6 = 2").select(F.col("seq").alias("question_id"), F.col("embedding").alias("_vector"))
+    questions, rows = module.meeting(asked, index, 3, False, 1 << 20)
+    # All questions lie in one of six clusters: the rows of the others are in nobody's reach.
+    assert rows.select("seq").distinct().where("seq % 6 <> 2").count() == 0 and rows.count() <= 100
+    assert questions.count() < 100 * module.PIVOTS / 3
+    monkeypatch.setattr(module, "_question_blocks", None)
+    assert nearest(asked.withColumnRenamed("_vector", "embedding"), index, 3, broadcast_bytes=1000).count() == 300
+
+
+def test_nearest_by_pivots_within_dates(spark):
+    _, index = vectors(spark, 200)
+    index = index.withColumn("date", F.expr("timestamp_ntz '2024-01-01 12:00:00' + make_dt_interval(cast(seq % 20 as int))"))
+    asked = index.where("seq % 7 = 0").select(F.col("seq").alias("question_id"), "embedding", F.to_date("date").alias("a"), F.date_add(F.to_date("date"), 5).alias("b"))
+    few, many = (nearest(asked, index, 4, within=("a", "b"), broadcast_bytes=n).select("question_id", "rank", "seq") for n in (1 << 20, 300))
+    assert sorted(few.collect()) == sorted(many.collect()) and few.count() > 100
+
+
 def test_nearest_leaves_out_bad_vectors(spark):
     """A vector that is no number hides no other one; one of another length is named."""
     matrix, index = vectors(spark, 50)
