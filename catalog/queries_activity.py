@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from catalog import duck as D
 from catalog import views as V
 from catalog.registry import query
-from parlance.operators import activity, response, words
+from parlance.operators import activity, dashboard, response, words
 from parlance.schema import PERIODS
 
 _DAY = "strftime(only_date, '%Y-%m-%d') AS only_date"
@@ -311,3 +313,34 @@ def response_stats(spark, sf):
 @query("response_stats_by_chat", _STATS.format(cols="chat_id, ", pairs=_PAIRS))
 def response_stats_by_chat(spark, sf):
     return response.response_stats(V.messages(spark, sf), CHAT)
+
+
+_PART = """CASE WHEN grouping("user") = 0 AND grouping(only_date) = 0 THEN 'user_days' WHEN grouping("user") = 0 THEN 'users'
+      WHEN grouping(only_date) = 0 THEN 'days' WHEN grouping(year) = 0 THEN 'months' WHEN grouping(period) = 0 THEN 'cells'
+      WHEN grouping(day_name) = 0 THEN 'weekdays' WHEN grouping(month) = 0 THEN 'month_names' ELSE 'all' END AS part"""
+
+
+@query(
+    "dashboard_totals",
+    f"""SELECT chat_id, {_PART}, "user", {_DAY}, year, month_num, month, day_name, period, count(*) AS messages,
+      CAST(coalesce(sum(len({D.words('message')})), 0) AS BIGINT) AS words, count(*) FILTER ({_COUNTED}) AS counted_messages,
+      CAST(coalesce(sum(len({D.words('message')})) FILTER ({_COUNTED}), 0) AS BIGINT) AS counted_words,
+      count(*) FILTER (message = '<Media omitted>') AS media, CAST(coalesce(sum(len({D.urls('message')})), 0) AS BIGINT) AS links,
+      strftime(min(sent_on), '%Y-%m-%d') AS first_day, strftime(max(sent_on), '%Y-%m-%d') AS last_day
+    FROM (SELECT *, only_date AS sent_on FROM messages) GROUP BY GROUPING SETS ((chat_id), (chat_id, "user"), (chat_id, only_date),
+      (chat_id, year, month_num, month), (chat_id, day_name), (chat_id, month), (chat_id, day_name, period), (chat_id, "user", only_date))""",
+)
+def dashboard_totals(spark, sf):
+    found = dashboard.totals(V.messages(spark, sf), by=CHAT)
+    return found.withColumns({day: F.date_format(day, "yyyy-MM-dd") for day in ("only_date", "first_day", "last_day")})
+
+
+@query(
+    "dashboard_user_share",
+    """SELECT chat_id, "user" AS name, count(*) AS messages,
+      round(count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY chat_id), 6) AS percent,
+      round_even(CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY chat_id) * 100, 2) AS percent_shown
+    FROM messages GROUP BY chat_id, "user" """,
+)
+def dashboard_user_share(spark, sf):
+    return dashboard.tables(dashboard.totals(V.messages(spark, sf), by=CHAT), by=CHAT)["user_share"]

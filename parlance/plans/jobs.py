@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parlance import schema as S
 from parlance.operators import activity, answers, prompts, response, responses, retrieval, topics, words
+from parlance.operators import dashboard as page
 from parlance.operators import sentiment as mood
 from parlance.operators.filters import for_user
 from parlance.sources import store, transcripts
@@ -48,6 +49,13 @@ def dashboard(messages: DataFrame, user: str = S.OVERALL, stopwords: DataFrame |
     return tables
 
 
+def stored_dashboard(messages: DataFrame, path: str, user: str = S.OVERALL, by: Sequence[str] = ()) -> dict[str, DataFrame]:
+    """The counts of the analytics page, from one scan of the messages: its long table is stored, and every table reads that."""
+    totals = page.totals(messages, user, by)
+    totals.write.mode("overwrite").partitionBy("part").parquet(path)
+    return page.tables(messages.sparkSession.read.schema(totals.schema).parquet(path), user, by)
+
+
 def build_index(messages: DataFrame, path: str, embed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Embed the indexable messages, replace their chats in the stored index, and return the stored index.
 

@@ -508,3 +508,28 @@ def test_salted_lexicon_join_gives_the_same_hits(spark):
     lexicon = spark.createDataFrame([("good", 1, "joy"), ("bad", -1, "anger")], "token string, polarity int, emotion string")
     small, large = token_hits(tokens, lexicon), token_hits(tokens, lexicon, limit=0)
     assert small.exceptAll(large.select(small.columns)).count() == 0 and large.count() == small.count() == 133
+
+
+@pytest.mark.parametrize("user", ["Overall", "b"])
+def test_dashboard_tables_equal_the_operators(spark, make_messages, tmp_path, user):
+    """Every table of the stored page is that of its own operator, also with notifications, media, links and blank rows."""
+    from parlance import schema as S
+    from parlance.operators import activity
+    from parlance.plans import jobs
+
+    texts = ["hello there", "see https://a.org/x and b.com", S.MEDIA_MARKER, "  ", "one two three", "d"]
+    people = ["a", "b", "b", "c", S.NOTIFICATION, "d", "e"]
+    rows = make_messages([(f"c{i % 2}", i * 997, people[i * i % 7], texts[i % 6]) for i in range(200)])
+    user = S.OVERALL if user == "Overall" else user
+    names = ["key_metrics", "basic_stats", "monthly_timeline", "daily_timeline", "weekday_activity", "month_activity", "activity_heatmap"]
+    plain = ["overview", "users", "busiest_users", "user_share", "top_user_share", "talkativeness", "top_user_trend"]
+    for by in ([], ["chat_id"]):
+        page = jobs.stored_dashboard(rows, str(tmp_path / f"page{len(by)}"), user, by)
+        for name in names + (plain if user == S.OVERALL else ["user_daily_stats"]):
+            made = getattr(activity, name)
+            want = made(rows, by=by) if name in plain else made(rows, user, by=by)
+            got = page[name].select(*want.columns)
+            assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())), (name, by)
+        assert page["daily_timeline"].count() > 2
+    empty = jobs.stored_dashboard(rows.where("false"), str(tmp_path / "none"), user)
+    assert empty["daily_timeline"].count() == 0 and empty["activity_heatmap"].count() == 0

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog import views as V
-from parlance.operators import activity, filters, response, retrieval, sentiment, words
+from parlance.operators import activity, dashboard, filters, response, retrieval, sentiment, words
 
 SF = "/root/testdata/sf0.001"
 
@@ -74,3 +74,10 @@ def test_no_window_over_a_whole_chat(stored):
     text = plan(response.with_previous(stored))
     assert re.search(r"hashpartitioning\(chat_id#\d+, date#\d+, \w+#\d+L?, ", text)
     assert len([line for line in text.splitlines() if "Window [" in line and "stripe" in line]) == 1
+
+
+def test_dashboard_totals_are_one_scan(stored):
+    """The messages are read and combined once; the grouping sets expand the combined rows."""
+    text = plan(dashboard.totals(stored, by=["chat_id"]))
+    assert text.count("Scan parquet") == 1 and text.count("Exchange") == 2 and text.count("Expand") == 1
+    assert text.index("Expand") < text.index("Scan parquet") and "Python" not in text and "SortAggregate" not in text
