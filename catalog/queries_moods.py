@@ -206,6 +206,20 @@ def topics_found(spark, sf):
     )
 
 
+@query(
+    "planted_topics",
+    """SELECT c_mktsegment AS chat_id, n_regionkey AS region, count(*) AS message_count, 1 AS topics_of_region,
+      (SELECT count(DISTINCT n_regionkey) FROM customer c JOIN nation m ON c.c_nationkey = m.n_nationkey WHERE c.c_mktsegment = o.c_mktsegment) AS topics_of_chat
+    FROM customer o JOIN nation n ON c_nationkey = n_nationkey GROUP BY ALL""",
+)
+def planted_topics(spark, sf):
+    """Customers as messages of their segment's chat, each naming its nation and one more of the same region, which is not told:
+    a chat's topics have to be its regions."""
+    rows = topics.assign_topics(V.nation_messages(spark, sf))
+    of_region = rows.groupBy("chat_id", "region").agg(F.count("*").alias("message_count"), F.countDistinct("topic").alias("topics_of_region"))
+    return of_region.join(rows.groupBy("chat_id").agg(F.countDistinct("topic").alias("topics_of_chat")), "chat_id")
+
+
 @query(
     "topics_json",
     f"""SELECT t.* EXCLUDE (topic), {D.q(RANGE)} AS date_range, total_messages, 'Topics: ' || names AS analysis_summary

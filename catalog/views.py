@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from parlance import schema as S
 from parlance.functions import text
 from parlance.operators.enrich import enrich
+from parlance.sources.shared import scratch  # noqa: F401
 from parlance.sources.stopwords import stopwords_from_text
 
 TABLES = (
@@ -34,12 +34,6 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the cluster's shared checkpoint folder; below the warehouse where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{shared.rstrip('/')}/parlance-{uuid.uuid4().hex}"
-
-
 def chat(spark: SparkSession, sf: str) -> DataFrame:
     """Events as messages with conversation texts, and planted special cases (see FIXTURES.md).
 
@@ -100,6 +94,18 @@ def order_messages(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def nation_messages(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers as messages of two nations of one region (see `planted_topics`)."""
+    nations = table(spark, sf, "nation").select("n_nationkey", "n_name", F.col("n_regionkey").alias("region"))
+    listed = nations.groupBy("region").agg(F.sort_array(F.collect_list("n_name")).alias("names"))
+    known = F.broadcast(nations.join(F.broadcast(listed), "region"))  # 25 rows, as many as there are nations
+    customers = spread(table(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), "c_custkey")
+    other = F.get("names", (F.expr("c_custkey div 25") % F.size("names")).cast("int"))
+    return customers.join(known, F.col("c_nationkey") == F.col("n_nationkey")).select(
+        F.col("c_mktsegment").alias("chat_id"), F.col("c_custkey").alias("seq"), "region", F.concat_ws(" ", "n_name", F.lit("and"), other).alias("message")
+    )
+
+
 def document_messages(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as messages: long texts for word counts."""
     return spread(table(spark, sf, "documents"), "doc_id").select(

@@ -1,20 +1,29 @@
-"""Topics of a date range: assignment by LDA, then one summary row per topic."""
+"""Topics of a date range: assignment by a model of each chat, then one summary row per topic."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from parlance.functions import text
 from parlance.operators import filters
 from parlance.operators.ordering import first_n
-from parlance.operators.sentiment import LABELS, score_groups, sized_broadcast
+from parlance.operators.sentiment import LABELS, SALTS, score_groups, sized_broadcast
+from parlance.sources.shared import keep
 
 MINIMUM_MESSAGES = 10
 KEYWORDS = 3
+#: Shares and logarithms are whole numbers of 1 / ONE.
+ONE = 1 << 20
+#: Added to the count of each word in each topic.
+SMOOTHING = 0.1
+#: The shares of all chats' words go with the tasks up to this size.
+FACTOR_BYTES = 64 << 20
 # Fixed value: the summary of a chat with too few messages.
 TOO_FEW = "Not enough messages."
 CHAT = ("chat_id",)
@@ -30,51 +39,135 @@ def with_enough_messages(messages: DataFrame, by: Sequence[str] = CHAT) -> DataF
     return messages.join(counts.where(F.col("n") >= MINIMUM_MESSAGES).select(*by), list(by), "left_semi")
 
 
+def _meet(rows: DataFrame, table: DataFrame, keys: Sequence[str], small: bool, how: str = "inner") -> DataFrame:
+    """An equality join with a written table, broadcast if its size, counted before, is small.
+
+    Else both sides are shuffled by keys and salt: a hot key goes to `SALTS` tasks, each with a copy of its row.
+    """
+    if small:
+        return rows.join(F.broadcast(table), list(keys), how)
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("chat_id", "seq", *keys), F.lit(SALTS)).cast("int"))
+    copies = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
+
+
+def counted_words(messages: DataFrame, stopwords: DataFrame | None, by: Sequence[str], partitions: int) -> DataFrame:
+    """(chat_id, seq, word, n) of messages with a counted word, dealt and sorted by message; the word '' stands for the message itself."""
+    keys = list(dict.fromkeys([*by, "chat_id", "seq"]))
+    tokens = F.filter(text.sentiment_tokens(F.col("message")), lambda t: F.length(t) > 2)
+    dealt = messages.select(*keys, tokens.alias("_tokens")).where(F.size("_tokens") > 0).repartition(partitions, "chat_id", "seq")
+    words = dealt.select(*keys, F.explode("_tokens").alias("word"))
+    if stopwords is not None:
+        words = words.join(sized_broadcast(stopwords.select("word").distinct(), "word"), "word", "left_anti")
+    counts = words.groupBy(*keys, "word").agg(F.count("*").alias("n"))
+    whole = words.groupBy(*keys).agg(F.lit("").alias("word"), F.lit(1).cast("long").alias("n"))
+    # With the repartition by number the plan knows, and keeps, that a message's rows lie side by side.
+    return counts.unionByName(whole.select(*keys, "word", "n")).repartition(partitions, "chat_id", "seq").sortWithinPartitions("chat_id", "seq")
+
+
+def _seeds(words: DataFrame, by: Sequence[str], topics: int, sizes: DataFrame, few: bool) -> DataFrame:
+    """(by, word, seed): for each group the words that start its topics, seed 0 to topics - 1; fewer if there are no more.
+
+    Each is the word that is in most messages without an earlier seed, weighed down by how common it is in the group.
+    """
+    spark = words.sparkSession
+    found = None
+    for seed in range(topics):
+        open_ = F.lit(True)
+        rows = words
+        if found is not None:
+            rows = _meet(words, found, [*by, "word"], few, "left")
+            open_ = F.max("seed").over(W.partitionBy("chat_id", "seq")).isNull()
+        counts = rows.withColumn("_open", open_).where("word <> ''").groupBy(*by, "word").agg(F.count("*").alias("_in"), F.count_if("_open").alias("_new"))
+        sized = counts.where("_new > 0").join(F.broadcast(sizes) if few else sizes, list(by))
+        score = F.col("_new") * F.log(F.col("_all") / F.col("_in"))
+        best = first_n(sized.withColumn("_score", score), 1, [F.desc("_score"), F.col("word")], by)
+        one = best.select(*by, "word", F.lit(seed).alias("seed"))
+        found = keep(one if found is None else found.unionByName(one), "topics-seeds")
+    return found if found is not None else spark.createDataFrame([], words.select(*by, "word").schema.add("seed", "int"))
+
+
+def _weights(factors: DataFrame, by: Sequence[str], topics: int, few: bool) -> DataFrame:
+    """From counts (by, word, c0, c1, ...): whole-number logarithms of each word's share of each topic (l0, l1, ...); '': the topic's share."""
+    each = range(topics)
+    totals = factors.groupBy(*by).agg(
+        F.count_if(F.col("word") != "").alias("_words"),
+        *[F.sum(F.when(F.col("word") != "", F.col(f"c{t}")).otherwise(0)).alias(f"_t{t}") for t in each],
+        F.sum(F.when(F.col("word") == "", sum(F.col(f"c{t}") for t in each))).alias("_messages"),
+    )
+    met = factors.join(F.broadcast(totals) if few else totals, list(by))
+
+    def weight(t: int) -> Column:
+        own = F.log((F.col(f"c{t}") / ONE + SMOOTHING) / (F.col(f"_t{t}") / ONE + SMOOTHING * F.col("_words")))
+        prior = F.log((F.col(f"c{t}") / ONE + 1) / (F.col("_messages") / ONE + topics))
+        return F.round(F.when(F.col("word") == "", prior).otherwise(own) * ONE).cast("long").alias(f"l{t}")
+
+    return met.select(*by, "word", *[weight(t) for t in each])
+
+
+def _scored(words: DataFrame, weights: DataFrame, by: Sequence[str], topics: int, small: bool) -> DataFrame:
+    """words with the score of their message under each topic (s0, s1, ...), sums of whole numbers."""
+    message = W.partitionBy("chat_id", "seq")
+    met = _meet(words, weights, [*by, "word"], small)
+    return met.select(*words.columns, *[F.sum(F.col(f"l{t}") * F.col("n")).over(message).alias(f"s{t}") for t in range(topics)])
+
+
+def _shared(scored: DataFrame, by: Sequence[str], topics: int) -> DataFrame:
+    """Counts (by, word, c0, c1, ...) of words, dealt to topics as the messages' scores say, in parts of 1 / ONE."""
+    most = F.greatest(*[F.col(f"s{t}") for t in range(topics)]) if topics > 1 else F.col("s0")
+    raised = scored.select("*", *[F.exp((F.col(f"s{t}") - most) / ONE).alias(f"e{t}") for t in range(topics)])
+    total = sum((F.col(f"e{t}") for t in range(1, topics)), F.col("e0"))
+    parts = raised.select(*by, "word", "n", *[F.round(F.col(f"e{t}") / total * ONE).cast("long").alias(f"r{t}") for t in range(topics)])
+    return parts.groupBy(*by, "word").agg(*[F.sum(F.col(f"r{t}") * F.col("n")).alias(f"c{t}") for t in range(topics)])
+
+
 def assign_topics(
     messages: DataFrame,
     stopwords: DataFrame | None = None,
     topics: int = 5,
-    features: int = 1 << 16,
-    iterations: int = 20,
-    seed: int = 17,
-    partitions: int = 32,
+    iterations: int = 6,
+    partitions: int | None = None,
+    by: Sequence[str] = CHAT,
+    broadcast_bytes: int = FACTOR_BYTES,
 ) -> DataFrame:
     """The messages with the number of their most likely topic; a message without a counted word has none (null).
 
-    Every word counts: words are hashed to `features` numbers, so no vocabulary is cut or gathered. Stop words are
-    removed by a join on the distinct words, whatever the length of their list. One model is fitted over all the messages
-    given. It depends on their order and partitioning, so both are fixed: rows are dealt by chat and sequence number into
-    `partitions` parts and sorted there.
-    """
-    from pyspark.ml.clustering import LDA
-    from pyspark.ml.feature import HashingTF
-    from pyspark.ml.functions import vector_to_array
+    One model for each chat (or group of `by`), fitted on that chat's messages alone, all chats in the same jobs: a message
+    is of one topic, a topic draws words with its own shares, and expectation and maximisation take turns. Each chat's
+    topics start from seed words, each the one that is in most messages without an earlier seed. Every word counts.
+    All sums are over whole numbers, so a result depends neither on partitions nor on the order of rows, and a chat's
+    topics not on what other chats are there. Ties go to the smaller topic number.
 
-    tokens = F.filter(text.sentiment_tokens(F.col("message")), lambda t: F.length(t) > 2)
-    placed = messages.repartition(partitions, "chat_id", "seq").sortWithinPartitions("chat_id", "seq")
-    prepared = placed.withColumn("_tokens", tokens)
-    if stopwords is not None:
-        words = prepared.select("chat_id", "seq", F.posexplode("_tokens").alias("_at", "word"))
-        stop = sized_broadcast(stopwords.select("word").distinct(), "word")
-        kept = words.join(stop, "word", "left_anti").groupBy("chat_id", "seq")
-        listed = kept.agg(F.sort_array(F.collect_list(F.struct("_at", "word"))).alias("_list"))
-        again = prepared.drop("_tokens").join(listed, ["chat_id", "seq"], "left")
-        found = F.coalesce(F.transform("_list", lambda x: x["word"]), F.array().cast("array<string>"))
-        prepared = again.select(*messages.columns, found.alias("_tokens"))
-        prepared = prepared.repartition(partitions, "chat_id", "seq").sortWithinPartitions("chat_id", "seq")
-    counted = HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features).transform(prepared)
-    # Every iteration reads the counts; what is lost with an executor is computed again.
-    training = counted.where(F.size("_tokens") > 0).select("_counts").persist()
+    An iteration is one pass over the persisted words with one exchange, of (chat, word) sums combined before it, while
+    the shares of all chats fit `broadcast_bytes` (counted); beyond that words and shares meet by chat, word and salt.
+    The counts of an iteration are written to the shared folder. A lost executor's words are computed again.
+    """
+    by = list(by)
+    partitions = partitions or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lazy = counted_words(messages, stopwords, by, partitions)
+    words = lazy.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        if training.limit(1).count() == 0:
-            return messages.withColumn("topic", F.lit(None).cast("int"))
-        model = LDA(featuresCol="_counts", topicDistributionCol="_topics", k=topics, maxIter=iterations, seed=seed).fit(training)
+        sizes = keep(words.where("word = ''").groupBy(*by).agg(F.count("*").alias("_all")), "topics-sizes")
+        # Rows of the tables by group and of the seeds: a proven bound of their sizes.
+        few = sizes.count() * topics * (64 + 16 * topics) <= broadcast_bytes
+        seeds = _seeds(words, by, topics, sizes, few)
+        start = F.min("seed").over(W.partitionBy("chat_id", "seq"))
+        seeded = _meet(words, seeds, [*by, "word"], few, "left").withColumn("_start", start)
+        # A message of a seed's topic starts there, others in all topics alike.
+        first = [F.when(F.col("_start") == t, 0).when(F.col("_start").isNull(), 0).otherwise(-64 * ONE).cast("long") for t in range(topics)]
+        factors = keep(_shared(seeded.select(*words.columns, *[c.alias(f"s{t}") for t, c in enumerate(first)]), by, topics), "topics")
+        # Every iteration has the same words, so their table's size is measured once.
+        length = factors.agg(F.sum(F.octet_length("word") + 64 + 8 * topics)).first()[0] or 0
+        small = length <= broadcast_bytes
+        for _ in range(iterations):
+            factors = keep(_shared(_scored(words, _weights(factors, by, topics, few), by, topics, small), by, topics), "topics")
+        final = _scored(words, _weights(factors, by, topics, few), by, topics, small).where("word = ''")
+        scores = F.array(*[F.col(f"s{t}") for t in range(topics)])
+        best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+        told = keep(final.select("chat_id", "seq", best.alias("topic")), "topics-of-messages")
     finally:
-        training.unpersist()
-    scored = model.transform(counted)
-    weights = vector_to_array("_topics")
-    best = F.array_position(weights, F.array_max(weights)).cast("int") - 1
-    return scored.withColumn("topic", F.when(F.size("_tokens") > 0, best)).drop("_tokens", "_counts", "_topics")
+        words.unpersist()
+    return messages.drop("topic").join(told, ["chat_id", "seq"], "left").select(*[c for c in messages.columns if c != "topic"], "topic")
 
 
 def topic_keywords(assigned: DataFrame, stopwords: DataFrame | None = None, n: int = KEYWORDS, by: Sequence[str] = CHAT) -> DataFrame:
