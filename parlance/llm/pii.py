@@ -1,11 +1,15 @@
 """Operator 4: format-preserving pseudonyms of personal data by a keyed Feistel permutation.
 
 Card numbers (Luhn), IBANs (mod 97), phone numbers (North American ones of
-any area code where +1, brackets or separators show the form; others in international form), social security numbers, IPv4 addresses, calendar
-dates, e-mail addresses and credentials are found, validated, and permuted within their own format: separators, lengths,
+any area code where +1, brackets or separators show the form; others in international form), social security numbers, IPv4 addresses, IPv6 addresses, calendar
+dates, e-mail addresses and credentials (named ones, bearer and service tokens, passwords in URLs, private keys) are found, validated, and permuted within their own format: separators, lengths,
 letter cases, leading digits that carry the format, and check digits stay valid. A value's permutation depends on the key,
 its kind and its canonical form only, so equal values get equal pseudonyms in all documents (also where they are written
-with other separators), different values of a format get different ones, and who has the key can turn them back.
+with other separators, or a date with other separators, order or width), different values of a format get different ones, and who has the key can turn them back.
+
+A date keeps whether its month and day are below 10 and its day above 12, so that every way to write it fits its pseudonym.
+An IPv6 address is written in its shortest form. A word of one case without digits after "secret:" is prose and stays; so
+does a number of four parts after "version".
 
 Nulls stay null, empty texts empty. A value that doesn't validate is left alone. Texts are processed whole; no shuffle.
 """
@@ -14,9 +18,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
 from functools import lru_cache
+from ipaddress import AddressValueError, IPv6Address
 from math import isqrt
 
 import pyarrow as pa
@@ -32,24 +38,28 @@ FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 #: One alternative for each kind, tried from left to right at each place.
 FOUND = re.compile(
     r"""
-    (?P<email>(?<![\w.+-])[A-Za-z0-9][A-Za-z0-9._+-]*(?=@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}))
+    (?P<login>(?<=://)[^\s:/@]+:[^\s/@]+(?=@))
+  | (?P<key>(?<=KEY-----)[A-Za-z0-9+/=\s]+(?=-----END))
+  | (?P<email>(?<![\w.+-])(?<![\w.+-]')[\w.+-]++(?:'[\w.+-]++)*+(?=@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,}))
+  | (?P<ip6>(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]|\.\d))
   | (?P<phone>(?<![\w+])(?:
         (?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)
       | \+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}(?!\w)
-      | \+[2-9](?:[ .-]?\(?\d\)?){6,14}(?!\w|\.\d)
+      | \+\(?[2-9](?:[ .-]?\(?\d\)?){6,14}(?!\w|\.\d)
     ))
   | (?P<iban>(?<!\w)[A-Z]{2}\d\d(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?!\w))
   | (?P<date>(?<![\w.])(?:\d{4}-\d\d-\d\d|\d\d?/\d\d?/\d{4}|\d\d?\.\d\d?\.\d{4})(?![\w]|\.\d))
   | (?P<ssn>(?<![\w-])\d{3}-\d\d-\d{4}(?![\w-]))
-  | (?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
+  | (?P<ip>(?<![\w.])(?<!version[ ])(?<!Version[ ])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))
   | (?P<card>(?<!\w)(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w))
   | (?P<access>(?<!\w)AKIA[0-9A-Z]{16}(?!\w))
+  | (?P<token>(?<!\w)(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-)[A-Za-z0-9_-]{16,}|(?i:(?<!\w)bearer)[ ]+[A-Za-z0-9_.~+/=-]{16,})
   | (?P<secret>(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}["']?[A-Za-z0-9_\-]{8,})
     """,
     re.X,
 )
 #: Texts without any of these hold none of the kinds.
-HINT = re.compile(r"\d{4}|\+\d|@|\d\.\d|[=:]|\d-\d")
+HINT = re.compile(r"\d{4}|\+\(?\d|@|\d\.\d|[=:]|\d-\d|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|KEY-----|(?i:bearer)")
 
 
 class Feistel:
@@ -62,7 +72,11 @@ class Feistel:
 
     def _mix(self, tweak: str, n: int, round_: int, half: int, modulus: int) -> int:
         data = f"{tweak}|{n}|{round_}|{half}".encode()
-        return int.from_bytes(hashlib.blake2b(data, key=self.key, digest_size=32).digest(), "big") % modulus
+        digest = hashlib.blake2b(data, key=self.key, digest_size=32).digest()
+        # Long values need more than one digest, or their first characters would stay.
+        for i in range(1, -(-(modulus.bit_length() + 64) // 256)):
+            digest += hashlib.blake2b(data + b"|%d" % i, key=self.key, digest_size=32).digest()
+        return int.from_bytes(digest, "big") % modulus
 
     def _walk(self, tweak: str, value: int, n: int, back: bool) -> int:
         a = isqrt(n - 1) + 1
@@ -104,9 +118,16 @@ def luhn_digit(body: str) -> str:
     return str(-total % 10)
 
 
+@lru_cache(10_000)
+def alike(letter: str) -> str:
+    """The letters of the same general category in the letter's stretch of 128 code points."""
+    first, kind = ord(letter) & ~127, unicodedata.category(letter)
+    return "".join(c for c in map(chr, range(first, first + 128)) if unicodedata.category(c) == kind)
+
+
 def classes(text: str) -> list[str]:
-    """For each character its class: lower or upper case letter, digit, or only itself."""
-    return [DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else c for c in text]
+    """For each character its class: lower or upper case letter, digit, other letters by their script, or only itself."""
+    return [DIGITS if c in DIGITS else LOWER if c in LOWER else UPPER if c in UPPER else alike(c) if ord(c) > 127 and c.isalpha() else c for c in text]
 
 
 def refill(shape: str, digits: str) -> str:
@@ -184,6 +205,10 @@ def _ip(value: str, f: Feistel, back: bool) -> str | None:
     return ".".join(map(str, number.to_bytes(4, "big")))
 
 
+def _looks(day: date) -> tuple[bool, bool, bool]:
+    return day.month < 10, day.day < 10, day.day > 12
+
+
 def _date(value: str, f: Feistel, back: bool) -> str | None:
     sign = "-" if "-" in value else "/" if "/" in value else "."
     parts = [int(x) for x in value.split(sign)]
@@ -197,14 +222,12 @@ def _date(value: str, f: Feistel, back: bool) -> str | None:
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
         number, n = (day - FIRST_DAY).days, (LAST_DAY - FIRST_DAY).days + 1
-        while True:
+        new = None
+        # The same walk however the date is written: on until a single digit may stay one, and a day over 12 is one again.
+        while new is None or _looks(new) != _looks(day):
             number = f.permute("date", number, n, back)
             new = FIRST_DAY + timedelta(days=number)
-            # Where the order was told by a day over 12, it has to be so again; a single digit stays one.
-            widths = [len(x) for x in value.split(sign)]
-            fits = (widths[m] > 1 or new.month < 10) and (widths[d] > 1 or new.day < 10)
-            if fits and ((y, m, d) == orders[0] or new.day > 12):
-                break
+        widths = [len(x) for x in value.split(sign)]
         out = [""] * 3
         out[y], out[m], out[d] = f"{new.year:04d}", f"{new.month:0{widths[m]}d}", f"{new.day:0{widths[d]}d}"
         return sign.join(out)
@@ -222,12 +245,42 @@ def _access(value: str, f: Feistel, back: bool) -> str | None:
 def _secret(value: str, f: Feistel, back: bool) -> str | None:
     split = re.match(r"(?s)(.*[=: \"'])(.*)", value).end(1)
     head, own = value[:split], value[split:]
+    if "=" not in head and own.isalpha() and (own.islower() or own[1:].islower()):
+        return None  # "secret: happiness"
     alphabets = [HEX] * len(own) if set(own) <= set(HEX) else classes(own)
     return head + f.string("secret", own, alphabets, back)
 
 
+def _token(value: str, f: Feistel, back: bool) -> str | None:
+    """Prefixes that tell the service stay."""
+    split = re.match(r"(?i:bearer) +|github_pat_|gh._|glpat-|xox.-|sk-", value).end()
+    return value[:split] + f.string("token", value[split:], classes(value[split:]), back)
+
+
+def _login(value: str, f: Feistel, back: bool) -> str | None:
+    return ":".join(f.string("login", part, classes(part), back) for part in value.split(":"))
+
+
+def _key(value: str, f: Feistel, back: bool) -> str | None:
+    return f.string("key", value, classes(value), back)
+
+
+def _ip6(value: str, f: Feistel, back: bool) -> str | None:
+    try:
+        address = IPv6Address(value)
+    except AddressValueError:
+        return None
+    if sum(map(bool, value.split(":"))) < 3:
+        return None  # "a::b" is as likely a name in a program
+    while True:
+        address = IPv6Address(f.permute("ip6", int(address), 1 << 128, back))
+        if sum(map(bool, str(address).split(":"))) >= 3:
+            return str(address)
+
+
 KINDS: dict[str, Callable[[str, Feistel, bool], str | None]] = {
     "email": _email, "phone": _phone, "iban": _iban, "date": _date, "ssn": _ssn, "ip": _ip, "card": _card, "access": _access, "secret": _secret,
+    "token": _token, "login": _login, "key": _key, "ip6": _ip6,
 }
 
 
