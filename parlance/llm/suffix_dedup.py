@@ -40,6 +40,8 @@ BLOCK, LOT_BYTES = 200_000, 3 << 20
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _PLACE_BITS = 24
+#: Windows of one stretch: at most length - gram + 1.
+_WINDOW_BITS = 23
 _NO_ID = -(1 << 63)
 
 
@@ -111,7 +113,7 @@ def long_stretches(text: bytes, length: int, gram: int) -> list[tuple[np.ndarray
 
 
 def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(gram, stretch, id, tie, place): place holds start << 8 | windows << 1 | repeat (an equal stretch lies before it)."""
+    """(gram, stretch, id, tie, place): place holds start, windows in _WINDOW_BITS, and repeat (an equal stretch lies before it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (part for whole in batches for part in slices(whole, LOT_BYTES)):
@@ -146,7 +148,7 @@ def _places(docs: DataFrame, length: int, gram: int) -> DataFrame:
             # Repeats are decided: they are dealt evenly, under a key of their own.
             away = _mixed((own_id[same].astype(np.uint64) << np.uint64(20)) ^ start[same].astype(np.uint64) ^ own_tie[same].astype(np.uint64)).view(np.int64)
             grams[same], hashes[same] = away, away
-            place = start << 8 | windows << 1 | same
+            place = start << (_WINDOW_BITS + 1) | windows << 1 | same
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (grams, hashes, own_id, own_tie, place)], names=["gram", "stretch", "id", "tie", "place"])
 
     return docs.select("id", "tie", "text").mapInArrow(run, "gram long, stretch long, id long, tie long, place long")
@@ -235,6 +237,8 @@ def _repeats(candidates: DataFrame, length: int) -> DataFrame:
 def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans long, spans array<struct<start, end>>, kept binary), one row per document."""
     gram = min(GRAM, max(1, length // 3))
+    if not 1 <= length < 1 << _WINDOW_BITS:
+        raise ValueError(f"length must be at least 1 and below {1 << _WINDOW_BITS}")
     ident = F.coalesce(F.col(doc_id).cast("long"), F.lit(_NO_ID))
     twice = df.select(ident.alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
     # Ties are needed only where ids repeat; else they are a constant.
@@ -242,12 +246,12 @@ def remove_repeats(df: DataFrame, doc_id: str = "doc_id", text: str = "text", le
     docs = df.select(ident.alias("id"), tie.alias("tie"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(doc_id).cast("long").alias("doc_id"))
 
     dealt = _places(docs, length, gram).repartition("gram")
-    again = (F.col("place").bitwiseAND(1) == 1) | (F.rank().over(Window.partitionBy("gram", "stretch").orderBy("id", "tie", F.shiftright("place", 8))) > 1)
+    again = (F.col("place").bitwiseAND(1) == 1) | (F.rank().over(Window.partitionBy("gram", "stretch").orderBy("id", "tie", F.shiftright("place", _WINDOW_BITS + 1))) > 1)
     judged = dealt.withColumn("again", again)
     order = Window.partitionBy("gram").orderBy("stretch")
     firsts = judged.where("not again")
     shared = firsts.withColumn("beside", F.lag("gram").over(order).isNotNull() | F.lead("gram").over(order).isNotNull()).where("beside").drop("beside")
-    found = keep(judged.where("again").unionByName(shared).select("gram", "id", "tie", F.shiftright("place", 8).alias("start"), F.shiftright("place", 1).bitwiseAND(127).alias("windows"), "again"), "stretches")
+    found = keep(judged.where("again").unionByName(shared).select("gram", "id", "tie", F.shiftright("place", _WINDOW_BITS + 1).alias("start"), F.shiftright("place", 1).bitwiseAND((1 << _WINDOW_BITS) - 1).alias("windows"), "again"), "stretches")
 
     candidates = found.where("not again")
     hot = keep(candidates.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select(F.col("gram").alias("hot_gram")), "hot")
