@@ -7,12 +7,14 @@ alphabetical order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from datetime import date
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,10 +22,13 @@ from pyspark.sql import types as T
 from parlance import schema as S
 from parlance.functions import text
 from parlance.operators import filters
+from parlance.sources import shared
 
 LEXICON_BYTES = 64 << 20
 #: Lexicons of up to so many tokens go with the tasks.
 LOOKUP_TOKENS = 500_000
+#: Tokens of messages that meet a larger lexicon together.
+BLOCK_TOKENS = 1_000_000
 SALTS = 32
 LABELS = ["positive", "neutral", "negative"]
 # Fixed value: the note of an empty range.
@@ -56,71 +61,135 @@ def _by_token(lexicon: DataFrame) -> DataFrame:
     return lexicon.where(F.col("token").isNotNull()).groupBy("token").agg(F.coalesce(F.sum("polarity"), F.lit(0)).cast("long").alias("polarity"), F.array(*emotions).alias("hits"))
 
 
-def rated_messages(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str]) -> DataFrame | None:
-    """The columns to keep, `found` (how many tokens of a message the lexicon has), `score` and the emotions' hits, without
-    a shuffle: the lexicon goes with the tasks, which look up all tokens of a batch at once. None where it is too large."""
+def rated_messages(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """The columns to keep, `found` (how many tokens of a message the lexicon has), `score` and the emotions' hits of every message.
+
+    A lexicon of up to LOOKUP_TOKENS tokens goes with the tasks, which look up all tokens of a batch at once, without a
+    shuffle; a larger one meets the tokens of whole blocks of messages (see `_rated_by_blocks`).
+    """
+    rows = _by_token(lexicon.select("token", "polarity", "emotion"))
+    given = messages.select(*keep, F.coalesce(text.sentiment_tokens(F.col("message")), F.array().cast("array<string>")).alias("_tokens"))
     # One row more than the limit tells a larger lexicon.
-    table = _by_token(lexicon.select("token", "polarity", "emotion")).limit(LOOKUP_TOKENS + 1).toArrow().combine_chunks()
+    table = rows.limit(LOOKUP_TOKENS + 1).toArrow().combine_chunks()
     if len(table) > LOOKUP_TOKENS:
-        return None
+        return _rated_by_blocks(given, rows, keep)
     numbers = np.column_stack([np.ones(len(table)), table["polarity"].to_numpy(), _matrix(table["hits"], len(S.EMOTIONS))]).astype(np.int64)
-    shared = messages.sparkSession.sparkContext.broadcast((table["token"].combine_chunks() if len(table) else pa.array([], pa.string()), numbers))
-    given = messages.select(*keep, F.coalesce(text.sentiment_tokens(F.col("message")), F.array().cast("array<string>")).alias("_tokens"))
-    names = ["found", "score", *S.EMOTIONS]
+    sent = messages.sparkSession.sparkContext.broadcast((table["token"].combine_chunks() if len(table) else pa.array([], pa.string()), numbers))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens, numbers = shared.value
+        tokens, numbers = sent.value
         for batch in batches:
             lists = batch.column(len(keep))
             places = pc.index_in(lists.flatten(), value_set=tokens)
             hit = places.is_valid().to_numpy(zero_copy_only=False)
             row = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())[hit]
-            sums = np.zeros((len(lists), len(names)), dtype=np.int64)
-            starts = np.flatnonzero(np.diff(row, prepend=-1))
-            if len(starts):
-                sums[row[starts]] = np.add.reduceat(numbers[places.drop_null().to_numpy()], starts, axis=0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, sums.T.copy())], names=[*keep, *names])
+            sums = _sums(row, numbers[places.drop_null().to_numpy()].T, len(lists))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *sums], names=[*keep, *_RATED])
 
-    fields = [given.schema[c] for c in keep] + [T.StructField(name, T.LongType()) for name in names]
-    return given.mapInArrow(task, T.StructType(fields))
+    return given.mapInArrow(task, _rated_type(given, keep))
 
 
-def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
-    return lists.combine_chunks().flatten().to_numpy().reshape(-1, width) if len(lists) else np.zeros((0, width))
+#: Columns of a rated message.
+_RATED = ["found", "score", *S.EMOTIONS]
 
 
-def message_scores(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """chat_id, seq, score and emotion hits of the messages that contain any lexicon token.
+def _rated_type(given: DataFrame, keep: Sequence[str]) -> T.StructType:
+    return T.StructType([given.schema[c] for c in keep] + [T.StructField(name, T.LongType()) for name in _RATED])
 
-    Unless the lexicon is too large to go with the tasks, nothing is shuffled.
-    """
-    keys = list(dict.fromkeys([*keep, "chat_id", "seq"]))
-    rated = rated_messages(messages, lexicon, keys)
-    return _scores_by_join(messages, lexicon, keys) if rated is None else rated.where("found > 0").drop("found")
 
+def _sums(row: np.ndarray, columns: Iterable[np.ndarray], rows: int) -> list[pa.Array]:
+    """Each column summed by row; row is ascending, and rows without a number get 0."""
+    starts = np.flatnonzero(np.diff(row, prepend=-1))
+    sums = []
+    for column in columns:
+        total = np.zeros(rows, dtype=np.int64)
+        if len(starts):
+            total[row[starts]] = np.add.reduceat(column, starts)
+        sums.append(pa.array(total))
+    return sums
 
-def _scores_by_join(messages: DataFrame, lexicon: DataFrame, keys: Sequence[str]) -> DataFrame:
-    tokens = messages.select(*keys, F.explode(text.sentiment_tokens(F.col("message"))).alias("token"))
-    hits = token_hits(tokens, _by_token(lexicon.select("token", "polarity", "emotion")))
-    emotions = [F.sum(F.col("hits")[i]).alias(name) for i, name in enumerate(S.EMOTIONS)]
-    return hits.groupBy(*keys).agg(F.sum("polarity").alias("score"), *emotions)
 
+def _blocks_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
+    """The rows in tables that end when they hold so many rows and tokens."""
+    some, n = [], 0
+    for batch in batches:
+        some.append(batch)
+        n += batch.num_rows + len(batch.column(batch.num_columns - 1).flatten())
+        if n >= tokens:
+            yield pa.Table.from_batches(some).combine_chunks()
+            some, n = [], 0
+    if some:
+        yield pa.Table.from_batches(some).combine_chunks()
 
-def group_counts(messages: DataFrame, lexicon: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Messages, those above and below zero, and emotion hits of each group.
 
-    All are summed in one pass over the messages before the shuffle; only a lexicon too large to go with the tasks makes
-    the tokens' hits meet by message, and the messages be read twice.
+def _rated_by_blocks(given: DataFrame, lexicon: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """As rated_messages, for a lexicon of any size.
+
+    Messages are taken in blocks of about BLOCK_TOKENS tokens. A block sends one row for each of its distinct tokens, with
+    the places of the messages that have it, four bytes each, and one row with the columns to keep. The rows are written
+    to the shared folder, so that a task that runs again can't deal messages to blocks another way. Tokens meet the
+    lexicon, and what the lexicon has meets its block again; a frequent word is one row a block.
     """
+    columns = len(keep)
+    block_type = "block long, token string, places binary"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for nth, table in enumerate(_blocks_of(batches, BLOCK_TOKENS)):
+            lists = table.column(columns).combine_chunks()
+            words = lists.flatten().dictionary_encode()
+            code = words.indices.to_numpy()
+            row = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+            ends = np.cumsum(np.bincount(code, minlength=len(words.dictionary)))
+            offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+            places = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(row[np.argsort(code, kind="stable")])])
+            # The column without a value holds the number of rows where nothing else is kept.
+            own = table.select(keep).append_column("", pa.nulls(len(lists)))
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, own.schema) as stream:
+                stream.write_table(own)
+            kept = pa.array([out.getvalue().to_pybytes()], pa.binary())
+            # A token has no white space: this one is the block itself.
+            for names, values in (([f" {first + nth}"], kept), (words.dictionary, places)):
+                names = pa.array(names, pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(names), first + nth)), names, values], names=["block", "token", "places"])
+
+    packed = shared.keep(given.mapInArrow(pack, block_type), "sentiment-blocks")
+    own = F.col("token").startswith(" ")
+    known = lexicon.where(~own)
+    met = packed.join(known, "token", "left").where(own | F.col("polarity").isNotNull())
+    sent = met.select("block", own.alias("own"), "places", "polarity", *[F.col("hits")[i].alias(name) for i, name in enumerate(S.EMOTIONS)])
+
+    def unpack(block: pa.Table) -> pa.Table:
+        is_own = block["own"].combine_chunks()
+        with pa.ipc.open_stream(block.filter(is_own)["places"][0].as_py()) as stream:
+            kept = stream.read_all()
+        hits = block.filter(pc.invert(is_own))
+        times = pc.binary_length(hits["places"]).to_numpy() // 4
+        row = np.frombuffer(b"".join(hits["places"].to_pylist()), dtype=np.int32)
+        order = np.argsort(row, kind="stable")
+        numbers = (np.repeat(hits[c].to_numpy(), times)[order] for c in ("polarity", *S.EMOTIONS))
+        sums = _sums(row[order], chain([np.ones(len(row), dtype=np.int64)], numbers), len(kept))
+        return pa.Table.from_arrays([*kept.columns[:columns], *sums], names=[*keep, *_RATED])
+
+    return sent.groupBy("block").applyInArrow(unpack, _rated_type(given, keep))
+
+
+def _matrix(lists: pa.ChunkedArray, width: int) -> np.ndarray:
+    return lists.combine_chunks().flatten().to_numpy().reshape(-1, width) if len(lists) else np.zeros((0, width))
+
+
+def message_scores(messages: DataFrame, lexicon: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """chat_id, seq, score and emotion hits of the messages that contain any lexicon token."""
+    keys = list(dict.fromkeys([*keep, "chat_id", "seq"]))
+    return rated_messages(messages, lexicon, keys).where("found > 0").drop("found")
+
+
+def group_counts(messages: DataFrame, lexicon: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Messages, those above and below zero, and emotion hits of each group, all summed before the shuffle."""
     sums = [F.count_if(F.col("score") > 0).alias("_positive"), F.count_if(F.col("score") < 0).alias("_negative")]
     sums += [F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in S.EMOTIONS]
-    rated = rated_messages(messages, lexicon, by)
-    if rated is not None:
-        return rated.groupBy(*by).agg(F.count("*").alias("total_messages"), *sums)
-    totals = messages.groupBy(*by).agg(F.count("*").alias("total_messages"))
-    scores = _scores_by_join(messages, lexicon, list(dict.fromkeys([*by, "chat_id", "seq"]))).groupBy(*by).agg(*sums)
-    names = ["total_messages", "_positive", "_negative", *S.EMOTIONS]
-    return totals.unionByName(scores, allowMissingColumns=True).groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names])
+    return rated_messages(messages, lexicon, by).groupBy(*by).agg(F.count("*").alias("total_messages"), *sums)
 
 
 def _emotion_columns(all_hits: Column) -> list[Column]:

@@ -355,6 +355,23 @@ def test_scores_do_not_shuffle_messages(make_messages, spark, monkeypatch):
     assert nothing.first().total_messages == 6
 
 
+def test_large_lexicons_meet_blocks_of_messages(make_messages, spark, monkeypatch):
+    lexicon = spark.createDataFrame([("good", 1, "joy"), ("good", 1, "anger"), ("bad", -1, "anger"), (" 0", 9, "joy"), (None, 1, "joy")], "token string, polarity int, emotion string")
+    rows = make_messages([(f"c{i % 3}", i, f"u{i % 2}", ["good Good! bad", "bad", "", None, "plain words", "bad good bad bad"][i % 6]) for i in range(120)])
+    rows = rows.unionByName(rows.where("seq < 30"))  # some come twice
+    groups = ([], ["user"], ["chat_id", "user"])
+    want = [{tuple(r) for r in sentiment.group_counts(rows, lexicon, by).collect()} for by in groups]
+    monkeypatch.setattr(sentiment, "LOOKUP_TOKENS", 1)
+    stored, keep = [], sentiment.shared.keep
+    monkeypatch.setattr(sentiment.shared, "keep", lambda df, name: stored.append(keep(df, name)) or stored[-1])
+    for size in (1_000_000, 5):
+        monkeypatch.setattr(sentiment, "BLOCK_TOKENS", size)
+        assert [{tuple(r) for r in sentiment.group_counts(rows.coalesce(1), lexicon, by).collect()} for by in groups] == want
+    # One row for each word of a block and one for itself, however often the words occur.
+    assert stored[0].count() == 5
+    assert sentiment.group_counts(rows.where("false"), lexicon, []).first().total_messages == 0
+
+
 def test_bare_domains_by_their_last_label(spark):
     values = ["see example.icu and foo.sbs/x", "bar.website nice.photography", "A.COM:80 b.co.uk?x=1", "file.doc x.toolong a@b.com", "http://any.thing www.else"]
     assert column(spark, values, text.url_count) == [2, 2, 2, 0, 2]
