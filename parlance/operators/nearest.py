@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from parlance.operators.ordering import first_n
+from parlance.sources.shared import keep
+
 BROADCAST_BYTES = 64 << 20
 HIT_BYTES = 128
 MERGE_SALTS = 32
@@ -315,6 +319,45 @@ def _by_pivots(asked: DataFrame, index: DataFrame, k: int, filtered: bool, outpu
     return met[0].groupBy(*keys).cogroup(met[1].groupBy(*keys)).applyInArrow(task, output)
 
 
+def _with_digest(rows: DataFrame, column: str, names: list[str], width: int) -> DataFrame:
+    """The named columns and `_digest` of the rows' vectors, equal where the vectors are; rows with a finite vector only."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    output = T.StructType([*[rows.schema[n] for n in names], T.StructField("_digest", T.BinaryType())])
+    schema = to_arrow_schema(output)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if column == "embedding":
+                table = _of_length(table, width)
+            if not len(table):
+                continue
+            vectors = _matrix(table.column(column)) + 0.0  # a zero has one sign
+            finite = np.isfinite(vectors).all(axis=1)
+            digests = [blake2b(v.tobytes(), digest_size=16).digest() for v in vectors[finite]]
+            table = table.filter(pa.array(finite)).select(names).append_column("_digest", pa.array(digests, pa.binary()))
+            yield from table.cast(schema).to_batches()
+
+    return rows.mapInArrow(task, output)
+
+
+def _equal_rows(asked: DataFrame, index: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
+    """The hits of questions that have k rows of their own vector, and the other questions.
+
+    Nothing is nearer than an equal vector, so those questions need no search. Vectors meet by a digest.
+    """
+    width = asked.select(F.size("_vector").alias("width")).first().width
+    named = keep(_with_digest(asked, "_vector", asked.columns, width), "nearest-questions")
+    wanted = named.select("_digest").distinct()
+    equal = _with_digest(index, "embedding", ["chat_id", "seq"], width).join(wanted, "_digest", "left_semi")
+    first = keep(first_n(equal, k, [F.col("chat_id"), F.col("seq")], ["_digest"]), "nearest-equal")
+    enough = first.where(F.col("rank") == k).select("_digest")
+    of_enough = first.join(enough, "_digest", "left_semi")
+    hits = named.select("question_id", "_digest").join(of_enough, "_digest").select("question_id", "chat_id", "seq", F.lit(0.0).alias("distance"))
+    return hits, named.join(enough, "_digest", "left_anti").select(*asked.columns)
+
+
 def nearest(
     questions: DataFrame,
     index: DataFrame,
@@ -332,7 +375,8 @@ def nearest(
 
     The questions' size is read first. Up to broadcast_bytes they are sent to every task; up to MAP_BLOCKS times as many
     are sent in blocks of that size, one map-only scan for each, so the index is not shuffled. More questions stay off the
-    driver: they meet the index rows in reach by cells around pivots (see `meeting`), with the same hits. Only keys, dates
+    driver: those with k rows of their own vector (single precision, no dates) are answered by equality, which nothing beats,
+    the others meet the index rows in reach by cells around pivots (see `meeting`), with the same hits. Only keys, dates
     and vectors pass through Python; the other columns are joined to the hits, at most k for a question.
     """
     columns = [F.col("question_id").alias("question_id"), F.col("embedding").alias("_vector")]
@@ -351,7 +395,13 @@ def nearest(
     size, asking = asked.agg(F.sum(F.size("_vector").cast("long") * 8 + 64), F.count("*")).first()
     blocks = max(1, -(-(size or 0) // broadcast_bytes))
     if blocks > MAP_BLOCKS:
-        found = _by_pivots(asked, scanned, k, bool(within), output, broadcast_bytes)
+        # Differences of doubles can be too small for their squares.
+        single = T.ArrayType(T.FloatType())
+        if not within and asked.schema["_vector"].dataType == scanned.schema["embedding"].dataType == single:
+            equal, rest = _equal_rows(asked, scanned, k)
+            found = equal.unionByName(_by_pivots(rest, scanned, k, False, output, broadcast_bytes))
+        else:
+            found = _by_pivots(asked, scanned, k, bool(within), output, broadcast_bytes)
     else:
         scans = [_scan(block, scanned, k, bool(within), output) for block in _question_blocks(asked, blocks)]
         found = reduce(DataFrame.unionByName, scans)

@@ -355,6 +355,24 @@ def test_scores_do_not_shuffle_messages(make_messages, spark, monkeypatch):
     assert nothing.first().total_messages == 6
 
 
+def test_questions_with_enough_equal_rows_need_no_search(spark, monkeypatch):
+    draw = np.random.default_rng(5).integers(-3, 4, (40, 4)).astype(float)
+    rows = [(f"c{i % 3}", i, [float(x) for x in draw[i % 40]]) for i in range(100)]
+    rows += [("c", 900 + i, v) for i, v in enumerate([[0.0] * 4, [-0.0] * 4, [0.0, -0.0, 0.0, 0.0], None, [float("nan")] * 4])]
+    rows += [("d", 950 + i, [9.0, 9.0, 9.0, 9.0]) for i in range(2)]
+    index = spark.createDataFrame(rows, "chat_id string, seq long, embedding array<float>")
+    asked = spark.createDataFrame([(i, [float(x) for x in draw[i]]) for i in range(20)] + [(50, [-0.0] * 4), (51, [9.0] * 4)], "question_id long, embedding array<float>")
+    from parlance.operators import nearest as module
+
+    met, meeting = [], module.meeting
+    monkeypatch.setattr(module, "meeting", lambda rest, *others: met.append(rest.count()) or meeting(rest, *others))
+    hits = [{tuple(r) for r in nearest(asked, index, 3, broadcast_bytes=b).collect()} for b in (1 << 20, 200)]
+    assert hits[0] == hits[1] and len(hits[0]) == 66
+    # 51 has two equal rows only.
+    copies = Counter(tuple(x + 0.0 for x in v) for _, _, v in rows if v)
+    assert met == [sum(copies[tuple(x + 0.0 for x in r.embedding)] < 3 for r in asked.collect())] and 0 < met[0] < 22
+
+
 def test_large_lexicons_meet_blocks_of_messages(make_messages, spark, monkeypatch):
     lexicon = spark.createDataFrame([("good", 1, "joy"), ("good", 1, "anger"), ("bad", -1, "anger"), (" 0", 9, "joy"), (None, 1, "joy")], "token string, polarity int, emotion string")
     rows = make_messages([(f"c{i % 3}", i, f"u{i % 2}", ["good Good! bad", "bad", "", None, "plain words", "bad good bad bad"][i % 6]) for i in range(120)])
