@@ -396,8 +396,8 @@ def nearest(
     blocks = max(1, -(-(size or 0) // broadcast_bytes))
     if blocks > MAP_BLOCKS:
         # Differences of doubles can be too small for their squares.
-        single = T.ArrayType(T.FloatType())
-        if not within and asked.schema["_vector"].dataType == scanned.schema["embedding"].dataType == single:
+        kinds = [t.elementType for t in (asked.schema["_vector"].dataType, scanned.schema["embedding"].dataType)]
+        if not within and kinds == [T.FloatType(), T.FloatType()]:
             equal, rest = _equal_rows(asked, scanned, k)
             found = equal.unionByName(_by_pivots(rest, scanned, k, False, output, broadcast_bytes))
         else:

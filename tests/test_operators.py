@@ -364,6 +364,8 @@ def test_questions_with_enough_equal_rows_need_no_search(spark, monkeypatch):
     asked = spark.createDataFrame([(i, [float(x) for x in draw[i]]) for i in range(20)] + [(50, [-0.0] * 4), (51, [9.0] * 4)], "question_id long, embedding array<float>")
     from parlance.operators import nearest as module
 
+    # As an embedding's vectors: without null elements by their type.
+    asked = asked.withColumn("embedding", F.transform("embedding", lambda x: F.coalesce(x, F.lit(0).cast("float"))))
     met, meeting = [], module.meeting
     monkeypatch.setattr(module, "meeting", lambda rest, *others: met.append(rest.count()) or meeting(rest, *others))
     hits = [{tuple(r) for r in nearest(asked, index, 3, broadcast_bytes=b).collect()} for b in (1 << 20, 200)]
