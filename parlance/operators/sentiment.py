@@ -109,7 +109,7 @@ def _sums(row: np.ndarray, columns: Iterable[np.ndarray], rows: int) -> list[pa.
     return sums
 
 
-def _blocks_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
+def blocks_of(batches: Iterator[pa.RecordBatch], tokens: int) -> Iterator[pa.Table]:
     """The rows in tables that end when they hold so many rows and tokens."""
     some, n = [], 0
     for batch in batches:
@@ -135,7 +135,7 @@ def _rated_by_blocks(given: DataFrame, lexicon: DataFrame, keep: Sequence[str])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
-        for nth, table in enumerate(_blocks_of(batches, BLOCK_TOKENS)):
+        for nth, table in enumerate(blocks_of(batches, BLOCK_TOKENS)):
             lists = table.column(columns).combine_chunks()
             words = lists.flatten().dictionary_encode()
             code = words.indices.to_numpy()

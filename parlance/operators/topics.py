@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from datetime import date
 
-from pyspark import StorageLevel
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parlance.functions import text
 from parlance.operators import filters
 from parlance.operators.ordering import first_n
-from parlance.operators.sentiment import LABELS, SALTS, score_groups, sized_broadcast
+from parlance.operators.sentiment import LABELS, SALTS, blocks_of, score_groups, sized_broadcast
 from parlance.sources.shared import keep
 
 MINIMUM_MESSAGES = 10
@@ -24,6 +28,10 @@ ONE = 1 << 20
 SMOOTHING = 0.1
 #: The shares of all chats' words go with the tasks up to this size.
 FACTOR_BYTES = 64 << 20
+#: Messages with more words, each counted once a message, are fitted by blocks.
+ROWS = 200_000
+#: Tokens of a block.
+BLOCK_TOKENS = 1_000_000
 # Fixed value: the summary of a chat with too few messages.
 TOO_FEW = "Not enough messages."
 CHAT = ("chat_id",)
@@ -97,12 +105,18 @@ def _weights(factors: DataFrame, by: Sequence[str], topics: int, few: bool) -> D
     )
     met = factors.join(F.broadcast(totals) if few else totals, list(by))
 
+    return met.select(*by, "word", *_logarithms(F.col("word") == "", topics))
+
+
+def _logarithms(whole: Column, topics: int) -> list[Column]:
+    """l0, l1, ... of rows with c0, c1, ... and their group's totals; whole: the row is the message itself."""
+
     def weight(t: int) -> Column:
         own = F.log((F.col(f"c{t}") / ONE + SMOOTHING) / (F.col(f"_t{t}") / ONE + SMOOTHING * F.col("_words")))
         prior = F.log((F.col(f"c{t}") / ONE + 1) / (F.col("_messages") / ONE + topics))
-        return F.round(F.when(F.col("word") == "", prior).otherwise(own) * ONE).cast("long").alias(f"l{t}")
+        return F.round(F.when(whole, prior).otherwise(own) * ONE).cast("long").alias(f"l{t}")
 
-    return met.select(*by, "word", *[weight(t) for t in each])
+    return [weight(t) for t in range(topics)]
 
 
 def _scored(words: DataFrame, weights: DataFrame, by: Sequence[str], topics: int, small: bool) -> DataFrame:
@@ -121,6 +135,184 @@ def _shared(scored: DataFrame, by: Sequence[str], topics: int) -> DataFrame:
     return parts.groupBy(*by, "word").agg(*[F.sum(F.col(f"r{t}") * F.col("n")).alias(f"c{t}") for t in range(topics)])
 
 
+def packed_words(messages: DataFrame, by: Sequence[str], partitions: int) -> DataFrame:
+    """Blocks of messages, as a table in the shared folder with two kinds of rows.
+
+    One for each distinct word of a group in a block, with the messages that have it and how often (`places`, pairs of
+    four-byte numbers); the word '' stands for the messages themselves. And one for each message, without a word: its
+    keys, and as `block` its number, which is the block's plus the message's place. Messages are dealt by ranges of group
+    and sequence number, so a block has few groups. Messages whose group is null are left out, they can't be told a topic.
+    """
+    keys = list(dict.fromkeys([*by, "chat_id", "seq"]))
+    dealt = messages.select(*keys, "message").dropna(subset=by).repartitionByRange(partitions, *keys)
+    # The rows of equal keys are one message, and lie in one range.
+    joined = dealt.groupBy(*keys).agg(F.concat_ws(" ", F.collect_list("message")).alias("_message"))
+    tokens = F.filter(text.sentiment_tokens(F.col("_message")), lambda t: F.length(t) > 2)
+    whole = joined.sortWithinPartitions(*keys).select(*keys, tokens.alias("_tokens"))
+    names = ["block", *keys, "word", "places"]
+    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(k, whole.schema[k].dataType) for k in keys]])
+    schema = schema.add("word", "string").add("places", "binary")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for table in blocks_of(batches, BLOCK_TOKENS):
+            # Not in a `where`, for which Spark would make the tokens twice.
+            table = table.filter(pc.greater(pc.list_value_length(table.column(len(keys))), 0)).combine_chunks()
+            if not len(table):
+                continue
+            lists = table.column(len(keys)).combine_chunks()
+            words = lists.flatten().dictionary_encode()
+            width, n = len(words.dictionary), len(table)
+            codes = [table[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in by]
+            _, own, group = np.unique(np.column_stack(codes), axis=0, return_index=True, return_inverse=True)
+            group = group.reshape(-1)
+            at = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
+            pairs, times = np.unique(at * width + words.indices.to_numpy(), return_counts=True)
+            # A code beyond those of the words stands for the message itself.
+            message = np.concatenate([pairs // width, np.arange(n)])
+            code = group[message] * (width + 1) + np.concatenate([pairs % width, np.full(n, width)])
+            order = np.argsort(code, kind="stable")
+            found, sizes = np.unique(code[order], return_counts=True)
+            numbers = np.column_stack([message, np.concatenate([times, np.ones(n, dtype=np.int64)])])[order].astype(np.int32)
+            offsets = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
+            places = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
+            word = pa.concat_arrays([words.dictionary, pa.array([""], words.dictionary.type)]).take(pa.array(found % (width + 1)))
+            chosen = table.take(pa.array(own[found // (width + 1)]))
+            columns = [chosen[k] if k in by else pa.nulls(len(found), table[k].type) for k in keys]
+            yield from pa.Table.from_arrays([pa.array(np.full(len(found), first)), *columns, word.cast(pa.string()), places], names=names).to_batches()
+            own_rows = [pa.array(first + np.arange(n)), *[table[k] for k in keys], pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())]
+            yield from pa.Table.from_arrays(own_rows, names=names).to_batches()
+            first += n
+
+    return keep(whole.mapInArrow(pack, schema), "topics-blocks")
+
+
+class _Block:
+    """The words of a block of messages: rows (id, whole, places), sorted by id."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table.sort_by("id").combine_chunks()
+        self.ids = self.table["id"].to_numpy()
+        places = self.table["places"]
+        sizes = pc.binary_length(places).to_numpy() // 8
+        numbers = np.frombuffer(b"".join(places.to_pylist()), dtype=np.int32).reshape(-1, 2)
+        whole = np.repeat(self.ids == self.table["whole"].to_numpy(), sizes)
+        row = np.repeat(np.arange(len(sizes)), sizes)
+        self.n = int(numbers[:, 0].max()) + 1
+        self.counted = np.zeros(self.n, dtype=bool)
+        self.counted[numbers[~whole, 0]] = True
+        # A message whose words are all stop words is none.
+        known = self.counted[numbers[:, 0]]
+        self.message, self.times, self.row = numbers[known, 0], numbers[known, 1], row[known]
+
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        """Whole numbers of the occurrences, summed by row; exact below 2^53."""
+        return np.bincount(self.row, values, len(self.ids)).astype(np.int64)
+
+    def scores(self, weights: pa.Table, topics: int) -> list[np.ndarray]:
+        """Of every message under each topic; weights has one row for each id."""
+        order = np.argsort(weights["id"].to_numpy())
+        return [np.bincount(self.message, weights[f"l{t}"].to_numpy()[order][self.row] * self.times, self.n) for t in range(topics)]
+
+    def shared(self, scores: list[np.ndarray]) -> pa.Table:
+        """As `_shared`, of this block alone."""
+        raised = [np.exp((s - np.max(scores, axis=0)) / ONE) for s in scores]
+        total = sum(raised[1:], raised[0])
+        parts = [np.floor(e / total * ONE + 0.5) for e in raised]
+        counts = [self.sums(part[self.message] * self.times) for part in parts]
+        return pa.Table.from_arrays([*self.table.select(["block", "id", "whole"]).columns, *map(pa.array, counts)], names=["block", "id", "whole", *[f"c{t}" for t in range(len(scores))]])
+
+    def seeds(self, found: pa.Table) -> np.ndarray:
+        """The smallest seed of each message; one more than any int where it has none."""
+        seed = np.full(len(self.ids), 1 << 31)
+        for one, nth in zip(found["id"].to_numpy(), found["seed"].to_numpy()):
+            seed[np.searchsorted(self.ids, one)] = nth
+        least = np.full(self.n, 1 << 31)
+        np.minimum.at(least, self.message, seed[self.row])
+        return least
+
+
+def _told_by_blocks(packed: DataFrame, stopwords: DataFrame | None, by: Sequence[str], topics: int, iterations: int, partitions: int, limit: int) -> DataFrame:
+    """Keys and topic of the messages of `packed_words` that have a counted word, by the model of `assign_topics`.
+
+    A block keeps its words in one place. In an iteration it gets the shares of its distinct words and sends their sums,
+    so what is shuffled are two numbers a topic for each distinct word of a block, and nothing is held whole.
+    """
+    listed = packed.where("word is not null")
+    counts = listed.groupBy(*by, "word").agg(F.sum(F.octet_length("places") / 8).cast("long").alias("in"))
+    if stopwords is not None:
+        counts = counts.join(stopwords.select("word"), "word", "left_anti")
+    # Numbers in the order of the words, by which equal seeds are told apart.
+    words = keep(counts.orderBy(*by, "word").withColumn("id", F.monotonically_increasing_id()), "topics-words")
+    groups = keep(words.groupBy(*by).agg(F.max(F.when(F.col("word") == "", F.col("id"))).alias("whole"), F.count_if(F.col("word") != "").alias("_words")), "topics-groups")
+    few = groups.count() * topics * (64 + 16 * topics) <= limit
+
+    def small(table: DataFrame) -> DataFrame:
+        return F.broadcast(table) if few else table
+
+    ids = words.join(small(groups.drop("_words")), list(by)).drop("_words")
+    state = listed.select("block", *by, "word", "places").join(ids, [*by, "word"]).select("block", "id", "whole", "in", "places")
+    state = state.repartition(partitions, "block").persist(StorageLevel.MEMORY_AND_DISK)
+
+    def step(given: DataFrame, work: Callable[[_Block, pa.Table], pa.Table], schema: str) -> DataFrame:
+        def task(left: pa.Table, right: pa.Table) -> pa.Table:
+            return work(_Block(left), right)
+
+        # Columns of their own, as rows that were made of the blocks would be taken for them.
+        other = given.toDF(*given.columns)
+        return keep(state.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(task, schema), "topics-step")
+
+    def fresh(block: _Block, found: pa.Table) -> pa.Table:
+        new = block.sums((block.seeds(found) == 1 << 31)[block.message])
+        return block.table.select(["id", "whole", "in"]).append_column("new", pa.array(new)).filter(pa.array(new > 0))
+
+    def begun(block: _Block, found: pa.Table) -> pa.Table:
+        start = block.seeds(found)
+        return block.shared([np.where((start == t) | (start == 1 << 31), 0.0, -64.0 * ONE) for t in range(topics)])
+
+    def again(block: _Block, weights: pa.Table) -> pa.Table:
+        return block.shared(block.scores(weights, topics))
+
+    def best(block: _Block, weights: pa.Table) -> pa.Table:
+        told = np.flatnonzero(block.counted)
+        topic = np.argmax(block.scores(weights, topics), axis=0)[told].astype(np.int32)
+        return pa.table({"block": block.table["block"][0].as_py() + told, "topic": topic})
+
+    def weights(sums: DataFrame) -> DataFrame:
+        each = range(topics)
+        whole = F.col("id") == F.col("whole")
+        totals = sums.groupBy("whole").agg(
+            *[F.sum(F.when(~whole, F.col(f"c{t}")).otherwise(0)).alias(f"_t{t}") for t in each],
+            F.sum(F.when(whole, sum(F.col(f"c{t}") for t in each))).alias("_messages"),
+        )
+        all_blocks = sums.select("block", "id", "whole", *[F.sum(f"c{t}").over(W.partitionBy("id")).alias(f"c{t}") for t in each])
+        met = all_blocks.join(small(totals.join(groups.select("whole", "_words"), "whole")), "whole")
+        return met.select("block", "id", *_logarithms(whole, topics))
+
+    try:
+        found = state.sparkSession.createDataFrame([], "whole long, id long, seed int")
+        sizes = None
+        for seed in range(topics):
+            routed = state.select("block", "id").join(small(found.select("id", "seed")), "id")
+            new = step(routed, fresh, "id long, whole long, in long, new long").groupBy("whole", "id").agg(F.sum("new").alias("_new"), F.max("in").alias("_in"))
+            if sizes is None:
+                sizes = keep(new.where("id = whole").select("whole", F.col("_new").alias("_all")), "topics-sizes")
+            score = F.col("_new") * F.log(F.col("_all") / F.col("_in"))
+            scored = new.where("id <> whole").join(small(sizes), "whole").withColumn("_score", score)
+            one = first_n(scored, 1, [F.desc("_score"), F.col("id")], ["whole"]).select("whole", "id", F.lit(seed).alias("seed"))
+            found = keep(found.unionByName(one), "topics-seeds")
+        routed = state.select("block", "id").join(small(found.select("id", "seed")), "id")
+        schema = "block long, id long, whole long, " + ", ".join(f"c{t} long" for t in range(topics))
+        sums = step(routed, begun, schema)
+        for _ in range(iterations):
+            sums = step(weights(sums), again, schema)
+        told = step(weights(sums), best, "block long, topic int")
+    finally:
+        state.unpersist()
+    keys = [c for c in packed.columns if c not in ("block", "word", "places")]
+    return packed.where("word is null").join(told, "block").select(*keys, "topic")
+
+
 def assign_topics(
     messages: DataFrame,
     stopwords: DataFrame | None = None,
@@ -138,12 +330,17 @@ def assign_topics(
     All sums are over whole numbers, so a result depends neither on partitions nor on the order of rows, and a chat's
     topics not on what other chats are there. Ties go to the smaller topic number.
 
-    An iteration is one pass over the persisted words with one exchange, of (chat, word) sums combined before it, while
-    the shares of all chats fit `broadcast_bytes` (counted); beyond that words and shares meet by chat, word and salt.
-    The counts of an iteration are written to the shared folder. A lost executor's words are computed again.
+    Messages of up to ROWS words (counted once a message) whose chats' shares fit `broadcast_bytes` are rows of words: an
+    iteration is one pass over them with one exchange, of (chat, word) sums combined before it. More are packed into
+    blocks (see `_told_by_blocks`). The counts of an iteration are written to the shared folder. A lost executor's words
+    are computed again.
     """
     by = list(by)
     partitions = partitions or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    packed = packed_words(messages, by, partitions)
+    met, size = packed.where("word <> ''").agg(F.sum(F.octet_length("places") / 8), F.sum(F.octet_length("word") + 64 + 8 * topics)).first()
+    if (met or 0) > ROWS or (size or 0) > broadcast_bytes:
+        return _with_topic(messages, _told_by_blocks(packed, stopwords, by, topics, iterations, partitions, broadcast_bytes))
     lazy = counted_words(messages, stopwords, by, partitions)
     words = lazy.persist(StorageLevel.MEMORY_AND_DISK)
     try:
@@ -156,18 +353,20 @@ def assign_topics(
         # A message of a seed's topic starts there, others in all topics alike.
         first = [F.when(F.col("_start") == t, 0).when(F.col("_start").isNull(), 0).otherwise(-64 * ONE).cast("long") for t in range(topics)]
         factors = keep(_shared(seeded.select(*words.columns, *[c.alias(f"s{t}") for t, c in enumerate(first)]), by, topics), "topics")
-        # Every iteration has the same words, so their table's size is measured once.
-        length = factors.agg(F.sum(F.octet_length("word") + 64 + 8 * topics)).first()[0] or 0
-        small = length <= broadcast_bytes
         for _ in range(iterations):
-            factors = keep(_shared(_scored(words, _weights(factors, by, topics, few), by, topics, small), by, topics), "topics")
-        final = _scored(words, _weights(factors, by, topics, few), by, topics, small).where("word = ''")
+            factors = keep(_shared(_scored(words, _weights(factors, by, topics, few), by, topics, True), by, topics), "topics")
+        final = _scored(words, _weights(factors, by, topics, few), by, topics, True).where("word = ''")
         scores = F.array(*[F.col(f"s{t}") for t in range(topics)])
         best = (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
         told = keep(final.select("chat_id", "seq", best.alias("topic")), "topics-of-messages")
     finally:
         words.unpersist()
-    return messages.drop("topic").join(told, ["chat_id", "seq"], "left").select(*[c for c in messages.columns if c != "topic"], "topic")
+    return _with_topic(messages, told)
+
+
+def _with_topic(messages: DataFrame, told: DataFrame) -> DataFrame:
+    keys = [c for c in told.columns if c != "topic"]
+    return messages.drop("topic").join(told, keys, "left").select(*[c for c in messages.columns if c != "topic"], "topic")
 
 
 def topic_keywords(assigned: DataFrame, stopwords: DataFrame | None = None, n: int = KEYWORDS, by: Sequence[str] = CHAT) -> DataFrame:

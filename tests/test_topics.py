@@ -67,3 +67,29 @@ def test_fewer_words_than_topics_and_no_words(make_messages, spark):
     assert topics.assign_topics(few.where("false")).count() == 0
     stop = spark.createDataFrame([("hello",)], "word string")
     assert told(topics.assign_topics(few, stop)) == {("one", 0): None, ("none", 1): None}
+
+
+def test_blocks_tell_what_rows_of_words_tell(rows, spark, monkeypatch):
+    """Small blocks, a stop word, a message in two rows, one of stop words alone and ones without a key."""
+    by = ["chat_id", "user"]
+    stop = spark.createDataFrame([("today",), ("hotel",)], "word string")
+    odd = rows.where("seq < 3").unionByName(rows.where("seq in (4, 5)").selectExpr("* except (message)", "'Today hotel' as message").withColumn("seq", topics.F.col("seq") + 500))
+    odd = odd.unionByName(rows.where("seq = 6").withColumn("seq", topics.F.lit(None).cast("long"))).unionByName(rows.where("seq = 7").withColumn("chat_id", topics.F.lit(None).cast("string")))
+    given = rows.unionByName(odd)
+
+    def counted(**options):
+        found = topics.assign_topics(given, stop, 3, 2, by=by, **options)
+        return sorted(map(str, found.select("chat_id", "seq", "user", "message", "topic").collect()))
+
+    whole = counted()
+    monkeypatch.setattr(topics, "ROWS", 0)
+    monkeypatch.setattr(topics, "BLOCK_TOKENS", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    packed = topics.packed_words(given, by, 3)
+    assert packed.where("word is not null").select("block").distinct().count() > 6
+    # Neither a row for each word of each message nor a message's text is left.
+    assert packed.where("word is not null").count() < given.count() * 3
+    try:
+        assert counted(partitions=3) == whole and len(whole) == given.count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
