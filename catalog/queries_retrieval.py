@@ -199,7 +199,7 @@ def stored_index_stats(spark, sf):
 )
 def hashed_embeddings(spark, sf):
     rows = retrieval.index_rows(V.messages(spark, sf))
-    vectors = retrieval.embed(rows, retrieval.fit_embedding(rows))
+    vectors, _ = retrieval.fit_and_embed(rows, ["chat_id", "seq"])
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
     return vectors.select("chat_id", "seq", F.size("embedding").alias("dimension"), F.round(norm, 3).alias("norm"))
 

@@ -93,6 +93,13 @@ def sentiment_tokens(text: Column) -> Column:
     return words(F.regexp_replace(F.lower(text), P.NOT_TOKEN, ""))
 
 
+def normalized_tokens(text: Column) -> Column:
+    """sentiment_tokens(normalize(text)), without the folding where lower case gives the same: all letters of the folded
+    words but i and k (dotted and dotless i, the Kelvin sign) have one upper case only."""
+    special = text.contains("İ") | text.contains("ı") | text.contains("\u212a")
+    return sentiment_tokens(F.when(special, normalize(text)).otherwise(text))
+
+
 def chat_name(file_name: Column, trim_edges: bool = False) -> Column:
     """Chat id from an export's file name; with trim_edges, also without edge _ and -, and never empty."""
     name = F.replace(F.replace(file_name, F.lit(".txt"), F.lit("")), F.lit(" "), F.lit("_"))

@@ -17,6 +17,7 @@ from parlance.functions import calendar, text
 from parlance.operators import filters
 from parlance.operators.nearest import nearest
 from parlance.operators.ordering import STRIPE_ROWS, first_n, number_rows
+from parlance.sources.shared import keep
 
 if TYPE_CHECKING:
     from pyspark.ml import PipelineModel
@@ -50,14 +51,33 @@ def fit_embedding(rows: DataFrame, features: int = 384) -> PipelineModel:
     messages of later batches and questions have to be embedded by the same weights to be comparable.
     """
     from pyspark.ml import Pipeline
+
+    return Pipeline(stages=_embedding_stages(features)).fit(_with_tokens(rows.select("message"), "message"))
+
+
+def _embedding_stages(features: int) -> list:
     from pyspark.ml.feature import IDF, HashingTF, Normalizer
 
-    stages = [
+    return [
         HashingTF(inputCol="_tokens", outputCol="_counts", numFeatures=features),
         IDF(inputCol="_counts", outputCol="_weights"),
         Normalizer(inputCol="_weights", outputCol="_unit"),
     ]
-    return Pipeline(stages=stages).fit(_with_tokens(rows.select("message"), "message"))
+
+
+def fit_and_embed(rows: DataFrame, columns: Sequence[str], features: int = 384) -> tuple[DataFrame, PipelineModel]:
+    """The columns of the rows with the embedding of their messages, and the model, fitted on them.
+
+    As fit_embedding and embed, but the messages are read and cut into words once: the columns and the counts of the
+    hashed words are written to the shared folder.
+    """
+    from pyspark.ml import Pipeline, PipelineModel
+
+    first, *later = _embedding_stages(features)
+    tokens = _with_tokens(rows.withColumn("message", F.coalesce("message", F.lit(""))), "message")
+    counts = keep(first.transform(tokens).select(*columns, "_counts"), "embedding-counts")
+    fitted = Pipeline(stages=later).fit(counts)
+    return _embedding_of(fitted.transform(counts)), PipelineModel([first, *fitted.stages])
 
 
 def load_embedding(path: str) -> PipelineModel:
@@ -67,14 +87,17 @@ def load_embedding(path: str) -> PipelineModel:
 
 
 def _with_tokens(rows: DataFrame, column: str) -> DataFrame:
-    return rows.withColumn("_tokens", text.sentiment_tokens(text.normalize(F.col(column))))
+    return rows.withColumn("_tokens", text.normalized_tokens(F.col(column)))
 
 
 def embed(rows: DataFrame, model: PipelineModel, column: str = "message") -> DataFrame:
     """rows with the embedding of a text column. An empty text, or one of unknown words, gets the zero vector."""
+    return _embedding_of(model.transform(_with_tokens(rows.withColumn(column, F.coalesce(F.col(column), F.lit(""))), column)))
+
+
+def _embedding_of(unit: DataFrame) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
-    unit = model.transform(_with_tokens(rows.withColumn(column, F.coalesce(F.col(column), F.lit(""))), column))
     vectors = unit.withColumn("embedding", vector_to_array("_unit", "float32"))
     return vectors.drop("_tokens", "_counts", "_weights", "_unit")
 

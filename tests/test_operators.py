@@ -570,3 +570,32 @@ def test_dashboard_tables_equal_the_operators(spark, make_messages, tmp_path, us
         assert page["daily_timeline"].count() > 2
     empty = jobs.stored_dashboard(rows.where("false"), str(tmp_path / "none"), user)
     assert empty["daily_timeline"].count() == 0 and empty["activity_heatmap"].count() == 0
+
+
+def test_tokens_of_normalized_text_need_no_folding(spark):
+    """Every letter in place of each letter of a folded word that it could be taken for, in upper case too."""
+    from parlance import schema as S
+
+    letters = sorted({c for c in map(chr, range(0x80, 0x10000)) if c.isalpha() and c.casefold()[0] in "abcdefghijklmnopqrstuvwxyz"} | {"İ", "ı", "K", "ſ"})
+    words = [w for w in S.TRANSLITERATED_WORDS for w in (w, w.upper(), w.title(), f"x{w}", f"{w}'s Σ")]
+    texts = [w[:i] + c + w[i + 1 :] for w in words for i in range(len(w)) for c in letters] + words + ["", None]
+    rows = spark.createDataFrame([(t,) for t in texts], "message string")
+    col = F.col("message")
+    assert rows.where(~text.normalized_tokens(col).eqNullSafe(text.sentiment_tokens(text.normalize(col)))).count() == 0
+    assert rows.where(~text.normalized_tokens(col).eqNullSafe(text.sentiment_tokens(col))).count() > 0
+
+
+def test_fitting_and_embedding_read_messages_once(make_messages, spark):
+    rows = retrieval.index_rows(make_messages([("a", i, "u", f"one word{i % 3} KYA nahı {'x' * (i % 2)}") for i in range(30)]))
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(message: str) -> str:
+        reads.add(1)
+        return message
+
+    again = rows.withColumn("message", F.udf(counted)("message"))
+    vectors, model = retrieval.fit_and_embed(again, ["chat_id", "seq"])
+    got = {r.seq: r.embedding for r in vectors.collect()}
+    assert vectors.columns == ["chat_id", "seq", "embedding"] and reads.value == 30
+    for other in (model, retrieval.fit_embedding(rows)):
+        assert {r.seq: r.embedding for r in retrieval.embed(rows, other).collect()} == got
