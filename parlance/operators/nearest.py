@@ -16,9 +16,10 @@ from functools import reduce
 from hashlib import blake2b
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +40,10 @@ RADIUS_BINS = 128
 _CELLS = 1 << 22
 
 
+def _question_bytes() -> Column:
+    return F.sum(F.size("_vector").cast("long") * 8 + 64)
+
+
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -165,6 +170,32 @@ def _question_blocks(asked: DataFrame, blocks: int) -> Iterator[pa.Table]:
         yield asked.where(place == block).toArrow()
 
 
+def _by_scans(asked: DataFrame, blocks: int, index: DataFrame, k: int, filtered: bool, output: T.StructType) -> DataFrame:
+    """The k best rows of each question in each task, by one scan of the index for each block of questions."""
+    scans = [_scan(block, index, k, filtered, output) for block in _question_blocks(asked, max(1, blocks))]
+    return reduce(DataFrame.unionByName, scans)
+
+
+def _known_rows(rows: DataFrame, wanted: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The rows whose keys may be among the wanted ones, told by their hashes, so that others need not be shuffled for a join.
+
+    The distinct hashes, eight bytes each, go with the tasks; over the limit, all rows are returned.
+    """
+    hashes = wanted.select(F.xxhash64(*keys).alias("hash")).distinct()
+    if hashes.count() * 8 > limit:
+        return rows
+    sent = rows.sparkSession.sparkContext.broadcast(np.sort(hashes.toArrow().column(0).to_numpy()))
+
+    @F.pandas_udf("boolean")
+    def known(hash_: pd.Series) -> pd.Series:
+        found, given = sent.value, hash_.to_numpy()
+        if not len(found):
+            return pd.Series(np.zeros(len(given), dtype=bool))
+        return pd.Series(found[np.minimum(np.searchsorted(found, given), len(found) - 1)] == given)
+
+    return rows.where(known(F.xxhash64(*keys)))
+
+
 def _distances(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of all vectors to all pivots, by direct subtraction."""
     out = np.empty((len(vectors), len(pivots)))
@@ -376,8 +407,9 @@ def nearest(
     The questions' size is read first. Up to broadcast_bytes they are sent to every task; up to MAP_BLOCKS times as many
     are sent in blocks of that size, one map-only scan for each, so the index is not shuffled. More questions stay off the
     driver: those with k rows of their own vector (single precision, no dates) are answered by equality, which nothing beats,
-    the others meet the index rows in reach by cells around pivots (see `meeting`), with the same hits. Only keys, dates
-    and vectors pass through Python; the other columns are joined to the hits, at most k for a question.
+    the others, if still too many for those scans, meet the index rows in reach by cells around pivots (see `meeting`), with
+    the same hits. Only keys, dates and vectors pass through Python; the other columns are joined to the hits, at most k for
+    a question, after rows that are no hit were left out by the hashes of their keys.
     """
     columns = [F.col("question_id").alias("question_id"), F.col("embedding").alias("_vector")]
     if within:
@@ -392,19 +424,24 @@ def nearest(
     output = T.StructType(
         [asked.schema["question_id"], fields["chat_id"], fields["seq"], T.StructField("distance", T.DoubleType())]
     )
-    size, asking = asked.agg(F.sum(F.size("_vector").cast("long") * 8 + 64), F.count("*")).first()
+    size, asking = asked.agg(_question_bytes(), F.count("*")).first()
     blocks = max(1, -(-(size or 0) // broadcast_bytes))
     if blocks > MAP_BLOCKS:
         # Differences of doubles can be too small for their squares.
         kinds = [t.elementType for t in (asked.schema["_vector"].dataType, scanned.schema["embedding"].dataType)]
         if not within and kinds == [T.FloatType(), T.FloatType()]:
             equal, rest = _equal_rows(asked, scanned, k)
-            found = equal.unionByName(_by_pivots(rest, scanned, k, False, output, broadcast_bytes))
+            left = -(-(rest.agg(_question_bytes()).first()[0] or 0) // broadcast_bytes)
+            # Few of them go to the index's tasks, unless the index is so small that moving it costs nothing.
+            if left <= MAP_BLOCKS and scanned.count() * size > SPLIT_BYTES * asking:
+                others = _by_scans(rest, left, scanned, k, False, output)
+            else:
+                others = _by_pivots(rest, scanned, k, False, output, broadcast_bytes)
+            found = equal.unionByName(others)
         else:
             found = _by_pivots(asked, scanned, k, bool(within), output, broadcast_bytes)
     else:
-        scans = [_scan(block, scanned, k, bool(within), output) for block in _question_blocks(asked, blocks)]
-        found = reduce(DataFrame.unionByName, scans)
+        found = _by_scans(asked, blocks, scanned, k, bool(within), output)
 
     order = [F.col("distance"), F.col("chat_id"), F.col("seq")]
     salt = F.pmod(F.xxhash64("chat_id", "seq"), F.lit(MERGE_SALTS))
@@ -419,7 +456,11 @@ def nearest(
     others = [c for c in index.columns if c not in ("embedding", "chat_id", "seq")]
     if not others:
         return hits
+    named = index.select("chat_id", "seq", *others)
     # At most k rows for a question, whose number was counted above.
     bounded = F.broadcast(hits) if asking * k * HIT_BYTES <= broadcast_bytes else hits
-    named = index.select("chat_id", "seq", *others).join(bounded, ["chat_id", "seq"])
+    if blocks > MAP_BLOCKS:
+        bounded = keep(hits, "nearest-hits")
+        named = _known_rows(named, bounded, ["chat_id", "seq"], broadcast_bytes)
+    named = named.join(bounded, ["chat_id", "seq"])
     return named.select("question_id", *[c for c in index.columns if c != "embedding"], "distance", "rank")

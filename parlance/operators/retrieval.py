@@ -221,7 +221,8 @@ def context_union(
     offered = rows.select("question_id", "rank", "pos", *kept).unionByName(
         alone.select("question_id", "rank", F.lit(0).cast("long").alias("pos"), *kept)
     )
-    first = offered.groupBy("question_id", "message_id").agg(
+    # Dealt by question once, for this and what is made of a question's rows.
+    first = offered.repartition("question_id").groupBy("question_id", "message_id").agg(
         F.min(F.struct("rank", "pos")).alias("place"),
         *[F.any_value(c).alias(c) for c in kept if c != "message_id"],
     )

@@ -63,7 +63,11 @@ def build_index(messages: DataFrame, path: str, embed: Callable[[DataFrame], Dat
     """
     spark = messages.sparkSession
     rows = retrieval.index_rows(messages)
-    store.write_index(embed(rows) if embed else retrieval.embed(rows, index_embedding(rows, path)), path)
+    if embed:
+        store.write_index(embed(rows), path)
+    else:
+        model = index_embedding(rows, path)
+        store.write_index(rows, path, embed=lambda moved: retrieval.embed(moved, model))
     return store.read_index(spark, path)
 
 

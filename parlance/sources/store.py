@@ -14,6 +14,7 @@ One writer at a time; readers see finished batches only.
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.errors import AnalysisException
@@ -24,6 +25,7 @@ from pyspark.sql import types as T
 
 from parlance.operators.ordering import number_rows
 from parlance.operators.retrieval import positioned
+from parlance.sources.shared import own_shuffles
 
 #: Chats, or files, that are named one by one in a read; more of them are found by a join, or by reading all batches.
 NAMED = 1000
@@ -126,9 +128,18 @@ def _batch_rows(spark: SparkSession, path: str, known: list[Batch], columns: T.S
     return spark.read.schema(with_batch).option("basePath", f"{path}/rows").parquet(*folders).withColumnRenamed("batch", "_batch")
 
 
-def _add_batch(table: DataFrame, path: str, kinds: DataFrame | str, dimension: int | None = None, clears: bool = False) -> None:
+def _add_batch(
+    table: DataFrame,
+    path: str,
+    kinds: DataFrame | str,
+    dimension: int | None = None,
+    clears: bool = False,
+    finish: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """Write rows as a new batch and add it to the manifest. `kinds`: append or replace, for all chats or by chat_id.
 
+    `finish` adds columns to the rows of a file row by row, after they were moved and sorted.
+
     The rebalance hint splits large chats and gathers small ones, so file sizes stay even; files are sorted by chat and
     have a Bloom filter of the chats, so a read of one chat skips other row groups.
     """
@@ -136,8 +147,10 @@ def _add_batch(table: DataFrame, path: str, kinds: DataFrame | str, dimension: i
     known = batches(spark, path)
     number = known[-1].number + 1 if known else 1
     folder = f"{path}/rows/batch={number}"
-    writer = table.hint("rebalance", "chat_id").sortWithinPartitions("chat_id", "seq").write.mode("overwrite")
-    writer.option("parquet.bloom.filter.enabled#chat_id", "true").parquet(folder)
+    table = table.hint("rebalance", "chat_id").sortWithinPartitions("chat_id", "seq")
+    table = finish(table) if finish else table
+    with own_shuffles(spark):
+        table.write.mode("overwrite").option("parquet.bloom.filter.enabled#chat_id", "true").parquet(folder)
     written = spark.read.schema(table.schema).parquet(folder)
     found = written.groupBy("chat_id", F.col("_metadata.file_name").alias("file")).agg(
         F.count("*").alias("n"), F.min("seq").cast("long").alias("min_seq"), F.max("seq").cast("long").alias("max_seq")
@@ -186,10 +199,22 @@ def _dimension(index: DataFrame) -> int:
     return first[0] if first else 0
 
 
-def write_index(index: DataFrame, path: str, dimension: int | None = None) -> None:
-    """Replace the stored rows of the chats in the index; positions are stored with them."""
-    dimension = _dimension(index) if dimension is None else dimension
-    _add_batch(positioned(checked_vectors(index, dimension)), path, "replace", dimension)
+def write_index(index: DataFrame, path: str, dimension: int | None = None, embed: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Replace the stored rows of the chats in the index; positions are stored with them.
+
+    With `embed`, which adds the `embedding` row by row, vectors are made where they are written and never shuffled.
+    """
+    if embed is None:
+        dimension = _dimension(index) if dimension is None else dimension
+        _add_batch(positioned(checked_vectors(index, dimension)), path, "replace", dimension)
+        return
+    dimension = _dimension(embed(index)) if dimension is None else dimension
+
+    def with_vectors(rows: DataFrame) -> DataFrame:
+        found = checked_vectors(embed(rows), dimension)
+        return found.select(*[c for c in found.columns if c != "pos"], "pos")
+
+    _add_batch(positioned(index), path, "replace", dimension, finish=with_vectors)
 
 
 def append_index(index: DataFrame, path: str, dimension: int | None = None) -> None:

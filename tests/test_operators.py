@@ -375,6 +375,45 @@ def test_questions_with_enough_equal_rows_need_no_search(spark, monkeypatch):
     assert met == [sum(copies[tuple(x + 0.0 for x in r.embedding)] < 3 for r in asked.collect())] and 0 < met[0] < 22
 
 
+def test_few_questions_without_equal_rows_do_not_move_the_index(spark, monkeypatch):
+    from parlance.operators import nearest as module
+
+    rows = [("c", i, [float(i % 30), 0.0], f"t{i}") for i in range(120)]
+    index = spark.createDataFrame(rows, "chat_id string, seq long, embedding array<float>, message string")
+    index = index.withColumn("embedding", F.transform("embedding", lambda x: F.coalesce(x, F.lit(0).cast("float"))))
+    asked = index.where("seq < 30").select(F.col("seq").alias("question_id"), "embedding")
+    asked = asked.unionByName(asked.where("question_id < 2").select(F.col("question_id") + 100, F.transform("embedding", lambda x: x + F.lit(0.25).cast("float")).alias("embedding")).toDF("question_id", "embedding"))
+    want = {tuple(r) for r in nearest(asked, index, 3).collect()}
+    monkeypatch.setattr(module, "SPLIT_BYTES", 100)
+    monkeypatch.setattr(module, "meeting", lambda *_: pytest.fail("the index was dealt to cells"))
+    read, known = [], module._known_rows
+    monkeypatch.setattr(module, "_known_rows", lambda *given: read.append(known(*given)) or read[-1])
+    assert {tuple(r) for r in nearest(asked, index, 3, broadcast_bytes=400).collect()} == want and len(want) == 96
+    # Over the limit, all rows are joined.
+    assert read[0].count() == 120
+    keys = index.where("seq in (3, 5)").select("chat_id", "seq")
+    assert {r.seq for r in known(index, keys, ["chat_id", "seq"], 16).collect()} == {3, 5}
+    assert known(index, keys.where("false"), ["chat_id", "seq"], 16).count() == 0
+
+
+def test_vectors_are_made_after_rows_were_moved(spark, make_messages, tmp_path):
+    rows = retrieval.index_rows(make_messages([(f"c{i % 2}", i, "u", f"word{i % 5} and more") for i in range(40)]))
+    given = []
+
+    def embed(moved):
+        given.append(moved)
+        return retrieval.embed(moved, model)
+
+    model = retrieval.fit_embedding(rows, 8)
+    store.write_index(retrieval.embed(rows, model), str(tmp_path / "before"))
+    store.write_index(rows, str(tmp_path / "after"), embed=embed)
+    before, after = (store.read_index(spark, str(tmp_path / name)) for name in ("before", "after"))
+    assert before.schema == after.schema and sorted(map(str, before.collect())) == sorted(map(str, after.collect()))
+    assert "pos" in given[-1].columns and store.stored_stats(spark, str(tmp_path / "after")).first().dimension == 8
+    plan = store.checked_vectors(embed(given[-1]), 8)._jdf.queryExecution().sparkPlan().toString()
+    assert "embedding" not in plan.partition("RebalancePartitions")[2]
+
+
 def test_large_lexicons_meet_blocks_of_messages(make_messages, spark, monkeypatch):
     lexicon = spark.createDataFrame([("good", 1, "joy"), ("good", 1, "anger"), ("bad", -1, "anger"), (" 0", 9, "joy"), (None, 1, "joy")], "token string, polarity int, emotion string")
     rows = make_messages([(f"c{i % 3}", i, f"u{i % 2}", ["good Good! bad", "bad", "", None, "plain words", "bad good bad bad"][i % 6]) for i in range(120)])
