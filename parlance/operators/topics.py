@@ -32,6 +32,8 @@ FACTOR_BYTES = 64 << 20
 ROWS = 200_000
 #: Tokens of a block.
 BLOCK_TOKENS = 1_000_000
+#: Words of blocks, each counted once a block, whose sums are made together.
+SHARD_ENTRIES = 500_000
 # Fixed value: the summary of a chat with too few messages.
 TOO_FEW = "Not enough messages."
 CHAT = ("chat_id",)
@@ -136,12 +138,13 @@ def _shared(scored: DataFrame, by: Sequence[str], topics: int) -> DataFrame:
 
 
 def packed_words(messages: DataFrame, by: Sequence[str], partitions: int) -> DataFrame:
-    """Blocks of messages, as a table in the shared folder with two kinds of rows.
+    """Blocks of messages, as a table in the shared folder with three kinds of rows.
 
-    One for each distinct word of a group in a block, with the messages that have it and how often (`places`, pairs of
-    four-byte numbers); the word '' stands for the messages themselves. And one for each message, without a word: its
-    keys, and as `block` its number, which is the block's plus the message's place. Messages are dealt by ranges of group
-    and sequence number, so a block has few groups. Messages whose group is null are left out, they can't be told a topic.
+    One for each distinct word of a group in a block, its entry: its place in the block and the number `n` of messages that
+    have it; the word '' stands for the messages themselves. One for each block, with all of its words in `places` (see
+    `_Block`). And one for each message: its keys, and as `block` its number, which is the block's plus the message's place.
+    Messages are dealt by ranges of group and sequence number, so a block has few groups. Messages whose group is null are
+    left out, they can't be told a topic.
     """
     keys = list(dict.fromkeys([*by, "chat_id", "seq"]))
     dealt = messages.select(*keys, "message").dropna(subset=by).repartitionByRange(partitions, *keys)
@@ -149,9 +152,9 @@ def packed_words(messages: DataFrame, by: Sequence[str], partitions: int) -> Dat
     joined = dealt.groupBy(*keys).agg(F.concat_ws(" ", F.collect_list("message")).alias("_message"))
     tokens = F.filter(text.sentiment_tokens(F.col("_message")), lambda t: F.length(t) > 2)
     whole = joined.sortWithinPartitions(*keys).select(*keys, tokens.alias("_tokens"))
-    names = ["block", *keys, "word", "places"]
-    schema = T.StructType([T.StructField("block", T.LongType()), *[T.StructField(k, whole.schema[k].dataType) for k in keys]])
-    schema = schema.add("word", "string").add("places", "binary")
+    names = ["block", "entry", *keys, "word", "n", "places"]
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("entry", T.IntegerType()), *[T.StructField(k, whole.schema[k].dataType) for k in keys]])
+    schema = schema.add("word", "string").add("n", "long").add("places", "binary")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
@@ -163,96 +166,220 @@ def packed_words(messages: DataFrame, by: Sequence[str], partitions: int) -> Dat
             lists = table.column(len(keys)).combine_chunks()
             words = lists.flatten().dictionary_encode()
             width, n = len(words.dictionary), len(table)
+            # Codes in the order of the words, by which equal seeds are told apart.
+            order = pc.sort_indices(words.dictionary).to_numpy()
+            ranks = np.empty(width, dtype=np.int64)
+            ranks[order] = np.arange(width)
             codes = [table[c].combine_chunks().dictionary_encode().indices.to_numpy() for c in by]
             _, own, group = np.unique(np.column_stack(codes), axis=0, return_index=True, return_inverse=True)
             group = group.reshape(-1)
             at = np.repeat(np.arange(n), pc.list_value_length(lists).to_numpy())
-            pairs, times = np.unique(at * width + words.indices.to_numpy(), return_counts=True)
+            pairs, times = np.unique(at * width + ranks[words.indices.to_numpy()], return_counts=True)
             # A code beyond those of the words stands for the message itself.
             message = np.concatenate([pairs // width, np.arange(n)])
             code = group[message] * (width + 1) + np.concatenate([pairs % width, np.full(n, width)])
-            order = np.argsort(code, kind="stable")
-            found, sizes = np.unique(code[order], return_counts=True)
-            numbers = np.column_stack([message, np.concatenate([times, np.ones(n, dtype=np.int64)])])[order].astype(np.int32)
-            offsets = np.concatenate([[0], np.cumsum(sizes) * 8]).astype(np.int32)
-            places = pa.Array.from_buffers(pa.binary(), len(found), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(numbers))])
-            word = pa.concat_arrays([words.dictionary, pa.array([""], words.dictionary.type)]).take(pa.array(found % (width + 1)))
+            by_code = np.argsort(code, kind="stable")
+            found, sizes = np.unique(code[by_code], return_counts=True)
+            times = np.concatenate([times, np.ones(n, dtype=np.int64)])[by_code]
+            numbers = [[len(found), len(code)], found // (width + 1), sizes, message[by_code], times]
+            places = b"".join(np.asarray(x, dtype=np.int32).tobytes() for x in numbers)
+            word = pa.concat_arrays([words.dictionary.take(pa.array(order)), pa.array([""], words.dictionary.type)]).take(pa.array(found % (width + 1)))
             chosen = table.take(pa.array(own[found // (width + 1)]))
             columns = [chosen[k] if k in by else pa.nulls(len(found), table[k].type) for k in keys]
-            yield from pa.Table.from_arrays([pa.array(np.full(len(found), first)), *columns, word.cast(pa.string()), places], names=names).to_batches()
-            own_rows = [pa.array(first + np.arange(n)), *[table[k] for k in keys], pa.nulls(n, pa.string()), pa.nulls(n, pa.binary())]
+            entry = pa.array(np.arange(len(found)), pa.int32())
+            blocks = [pa.array(np.full(len(found), first)), entry, *columns, word.cast(pa.string()), pa.array(sizes), pa.nulls(len(found), pa.binary())]
+            yield from pa.Table.from_arrays(blocks, names=names).to_batches()
+            itself = [pa.array([first]), pa.nulls(1, pa.int32()), *[pa.nulls(1, table[k].type) for k in keys]]
+            yield from pa.Table.from_arrays([*itself, pa.nulls(1, pa.string()), pa.array([n]), pa.array([places], pa.binary())], names=names).to_batches()
+            none = [pa.nulls(n, kind) for kind in (pa.string(), pa.int64(), pa.binary())]
+            own_rows = [pa.array(first + np.arange(n)), pa.nulls(n, pa.int32()), *[table[k] for k in keys], *none]
             yield from pa.Table.from_arrays(own_rows, names=names).to_batches()
             first += n
 
     return keep(whole.mapInArrow(pack, schema), "topics-blocks")
 
 
+def _dealt_entries(dealt: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Of entries (shard, block, entry, by, word, total) the ones of each block in each shard: their places in the block, which
+    of them are the first of their word (`data`, five bytes each), and their words' numbers in the shard (`ids`)."""
+
+    def deal(table: pa.Table) -> pa.Table:
+        number = np.zeros(len(table), dtype=np.int64)
+        for name in [*by, "word", "total"]:
+            code = table[name].combine_chunks().dictionary_encode()
+            _, first, number = np.unique(number * len(code.dictionary) + code.indices.to_numpy(), return_index=True, return_inverse=True)
+            number = number.reshape(-1)
+        own = np.zeros(len(table), dtype=np.uint8)
+        own[first] = 1
+        block, entry = table["block"].to_numpy(), table["entry"].to_numpy().astype(np.int32)
+        order = np.argsort(block, kind="stable")
+        blocks, starts = np.unique(block[order], return_index=True)
+        parts = np.split(order, starts[1:])
+        return pa.table(
+            {
+                "shard": pa.array(np.full(len(blocks), table["shard"][0].as_py()), pa.int32()),
+                "block": blocks,
+                "data": pa.array([entry[p].tobytes() + own[p].tobytes() for p in parts], pa.binary()),
+                "ids": pa.array([number[p].astype(np.int32).tobytes() for p in parts], pa.binary()),
+                "size": pa.array(np.full(len(blocks), len(first)), pa.int32()),
+            }
+        )
+
+    return keep(dealt.groupBy("shard").applyInArrow(deal, "shard int, block long, data binary, ids binary, size int"), "topics-entries")
+
+
+def _added(members: pa.Table, values: pa.Table) -> pa.Table:
+    """Numbers of a shard's entries, summed over the blocks for each word and told to all blocks that have it."""
+    ids = {b: np.frombuffer(i, dtype=np.int32) for b, i in zip(members["block"].to_pylist(), members["ids"].to_pylist())}
+    given = {b: np.frombuffer(d, dtype=np.int64).reshape(-1, len(ids[b])) for b, d in zip(values["block"].to_pylist(), values["data"].to_pylist())}
+    shard = pa.array(np.full(len(given), members["shard"][0].as_py()), pa.int32())
+    sums = np.zeros((max([len(g) for g in given.values()], default=0), members["size"][0].as_py()), dtype=np.int64)
+    for block, numbers in given.items():
+        # A word is one entry of a block.
+        sums[:, ids[block]] += numbers
+    return pa.table({"block": pa.array(given, pa.int64()), "shard": shard, "data": pa.array([sums[:, ids[b]].tobytes() for b in given], pa.binary())})
+
+
 class _Block:
-    """The words of a block of messages: rows (id, whole, places), sorted by id."""
+    """The words of a block of messages, from its rows (block, kind, shard, data).
+
+    Entries are sorted by group and word, a group's last is that of the messages themselves. Behind the m entries there is one
+    for all words of each group. Kind 0 has the words: numbers of entries and of pairs, groups and sizes of the entries, then
+    of all pairs of entry and message the message and how often it has the word. Kind 1 has the entries that go to a shard
+    (others are stop words), kind 2 what came back from it for `sizes`.
+    """
 
     def __init__(self, table: pa.Table):
-        self.table = table.sort_by("id").combine_chunks()
-        self.ids = self.table["id"].to_numpy()
-        places = self.table["places"]
-        sizes = pc.binary_length(places).to_numpy() // 8
-        numbers = np.frombuffer(b"".join(places.to_pylist()), dtype=np.int32).reshape(-1, 2)
-        whole = np.repeat(self.ids == self.table["whole"].to_numpy(), sizes)
-        row = np.repeat(np.arange(len(sizes)), sizes)
-        self.n = int(numbers[:, 0].max()) + 1
+        self.number = table["block"][0].as_py()
+        rows = sorted(zip(table["kind"].to_pylist(), table["shard"].to_pylist(), table["data"].to_pylist()), key=lambda r: r[:2])
+        numbers = np.frombuffer(rows[0][2], dtype=np.int32)
+        self.m, pairs = int(numbers[0]), int(numbers[1])
+        self.group, sizes, message, times = np.split(numbers[2:], [self.m, 2 * self.m, 2 * self.m + pairs])
+        self.last = np.flatnonzero(np.diff(self.group, append=-1))
+        self.whole = np.zeros(self.m, dtype=bool)
+        self.whole[self.last] = True
+        self.shards, owned = {}, np.zeros(self.m + len(self.last), dtype=bool)
+        for _, shard, data in (r for r in rows if r[0] == 1):
+            n = len(data) // 5
+            entry = np.frombuffer(data, dtype=np.int32, count=n).astype(np.int64)
+            place = np.where(entry >= 0, entry, self.m + self.group[np.where(entry >= 0, 0, -1 - entry)])
+            self.shards[shard] = place
+            owned[place] = np.frombuffer(data, dtype=np.uint8, offset=4 * n) == 1
+        live = np.zeros(self.m + len(self.last), dtype=bool)
+        live[np.concatenate(list(self.shards.values()))] = True
+        self.word = live[: self.m] & ~self.whole
+        self.owned = owned[: self.m] & self.word
+        row = np.repeat(np.arange(self.m), sizes)
+        self.n = int(message.max()) + 1
         self.counted = np.zeros(self.n, dtype=bool)
-        self.counted[numbers[~whole, 0]] = True
+        self.counted[message[self.word[row]]] = True
         # A message whose words are all stop words is none.
-        known = self.counted[numbers[:, 0]]
-        self.message, self.times, self.row = numbers[known, 0], numbers[known, 1], row[known]
+        known = self.counted[message] & live[row]
+        self.message, self.times, self.row = message[known], times[known], row[known]
+        told = {shard: data for kind, shard, data in rows if kind == 2}
+        self.told = self.returned(told)[0] if told else None
 
     def sums(self, values: np.ndarray) -> np.ndarray:
-        """Whole numbers of the occurrences, summed by row; exact below 2^53."""
-        return np.bincount(self.row, values, len(self.ids)).astype(np.int64)
-
-    def scores(self, weights: pa.Table, topics: int) -> list[np.ndarray]:
-        """Of every message under each topic; weights has one row for each id."""
-        order = np.argsort(weights["id"].to_numpy())
-        return [np.bincount(self.message, weights[f"l{t}"].to_numpy()[order][self.row] * self.times, self.n) for t in range(topics)]
+        """Whole numbers of the pairs, summed by entry; exact below 2^53."""
+        return np.bincount(self.row, values, self.m).astype(np.int64)
+
+    def with_totals(self, numbers: np.ndarray) -> np.ndarray:
+        """Numbers of entries, and behind them the sums over the words of each group."""
+        totals = np.bincount(self.group[self.word], numbers[self.word], len(self.last)).astype(np.int64)
+        return np.concatenate([numbers, totals])
+
+    def sent(self, numbers: list[np.ndarray]) -> pa.Table:
+        """Numbers of the entries and groups, to their shards."""
+        whole = np.stack(numbers)
+        data = [np.ascontiguousarray(whole[:, place]).tobytes() for place in self.shards.values()]
+        return pa.table({"shard": pa.array(self.shards, pa.int32()), "block": pa.array(np.full(len(data), self.number)), "data": pa.array(data, pa.binary())})
+
+    def returned(self, data: dict[int, bytes]) -> np.ndarray:
+        found = None
+        for shard, numbers in data.items():
+            place = self.shards[shard]
+            rows = np.frombuffer(numbers, dtype=np.int64).reshape(-1, len(place))
+            found = np.zeros((len(rows), self.m + len(self.last)), dtype=np.int64) if found is None else found
+            found[:, place] = rows
+        return found
+
+    def sizes(self) -> pa.Table:
+        """How many messages have a word, how many a group has, and in how many words."""
+        words = np.bincount(self.group[self.owned], minlength=len(self.last))
+        return self.sent([np.concatenate([self.sums(np.ones(len(self.row))), words])])
+
+    def scores(self, counts: np.ndarray) -> list[np.ndarray]:
+        """Of every message under each topic, by logarithms as in `_logarithms`."""
+        topics, own = len(counts), counts[:, : self.m]
+        words = self.told[self.m :][self.group]
+        messages = own[:, self.last].sum(axis=0)[self.group]
+        found = []
+        for t in range(topics):
+            total = counts[t, self.m :][self.group]
+            share = np.where(
+                self.whole,
+                (own[t] / ONE + 1) / (messages / ONE + topics),
+                (own[t] / ONE + SMOOTHING) / np.maximum(total / ONE + SMOOTHING * words, SMOOTHING),
+            )
+            weight = np.floor(np.log(share) * ONE + 0.5)
+            found.append(np.bincount(self.message, weight[self.row] * self.times, self.n))
+        return found
 
     def shared(self, scores: list[np.ndarray]) -> pa.Table:
         """As `_shared`, of this block alone."""
         raised = [np.exp((s - np.max(scores, axis=0)) / ONE) for s in scores]
         total = sum(raised[1:], raised[0])
         parts = [np.floor(e / total * ONE + 0.5) for e in raised]
-        counts = [self.sums(part[self.message] * self.times) for part in parts]
-        return pa.Table.from_arrays([*self.table.select(["block", "id", "whole"]).columns, *map(pa.array, counts)], names=["block", "id", "whole", *[f"c{t}" for t in range(len(scores))]])
+        return self.sent([self.with_totals(self.sums(part[self.message] * self.times)) for part in parts])
 
     def seeds(self, found: pa.Table) -> np.ndarray:
         """The smallest seed of each message; one more than any int where it has none."""
-        seed = np.full(len(self.ids), 1 << 31)
-        for one, nth in zip(found["id"].to_numpy(), found["seed"].to_numpy()):
-            seed[np.searchsorted(self.ids, one)] = nth
+        seed = np.full(self.m, 1 << 31)
+        seed[found["entry"].to_numpy()] = found["seed"].to_numpy()
         least = np.full(self.n, 1 << 31)
         np.minimum.at(least, self.message, seed[self.row])
         return least
 
+    def candidates(self, new: np.ndarray) -> pa.Table:
+        """Of each group the best next seed among the words that are first in this block."""
+        own = np.flatnonzero(self.owned & (new[: self.m] > 0))
+        score = new[own] * np.log(self.told[self.last][self.group[own]] / self.told[own])
+        order = np.lexsort((own, -score, self.group[own]))
+        _, first = np.unique(self.group[own][order], return_index=True)
+        best = order[first]
+        return pa.table({"block": pa.array(np.full(len(best), self.number)), "entry": pa.array(own[best], pa.int32()), "score": pa.array(score[best])})
+
 
 def _told_by_blocks(packed: DataFrame, stopwords: DataFrame | None, by: Sequence[str], topics: int, iterations: int, partitions: int, limit: int) -> DataFrame:
     """Keys and topic of the messages of `packed_words` that have a counted word, by the model of `assign_topics`.
 
-    A block keeps its words in one place. In an iteration it gets the shares of its distinct words and sends their sums,
-    so what is shuffled are two numbers a topic for each distinct word of a block, and nothing is held whole.
+    A block keeps its words in one place, and distinct words are dealt to shards. In an iteration a block sends the sums of
+    its entries, as one row for each shard, and the shard sends back the sums over all blocks: eight bytes a topic for each
+    entry, both ways, in rows of thousands. Nothing is held whole.
     """
     listed = packed.where("word is not null")
-    counts = listed.groupBy(*by, "word").agg(F.sum(F.octet_length("places") / 8).cast("long").alias("in"))
+    entries = listed.select("block", "entry", *by, "word")
     if stopwords is not None:
-        counts = counts.join(stopwords.select("word"), "word", "left_anti")
-    # Numbers in the order of the words, by which equal seeds are told apart.
-    words = keep(counts.orderBy(*by, "word").withColumn("id", F.monotonically_increasing_id()), "topics-words")
-    groups = keep(words.groupBy(*by).agg(F.max(F.when(F.col("word") == "", F.col("id"))).alias("whole"), F.count_if(F.col("word") != "").alias("_words")), "topics-groups")
-    few = groups.count() * topics * (64 + 16 * topics) <= limit
+        entries = entries.join(stopwords.select("word").where("word <> ''"), "word", "left_anti")
+    few = listed.where("word = ''").select(*by).distinct().count() * topics * (64 + 16 * topics) <= limit
 
     def small(table: DataFrame) -> DataFrame:
         return F.broadcast(table) if few else table
 
-    ids = words.join(small(groups.drop("_words")), list(by)).drop("_words")
-    state = listed.select("block", *by, "word", "places").join(ids, [*by, "word"]).select("block", "id", "whole", "in", "places")
-    state = state.repartition(partitions, "block").persist(StorageLevel.MEMORY_AND_DISK)
+    # A group's entry has a double for all its words.
+    both = F.explode(F.when(F.col("word") == "", F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    doubled = entries.select("block", "entry", *by, "word", both.alias("total"))
+    shard = F.pmod(F.xxhash64(*by, "word", "total"), F.lit(max(1, -(-listed.count() // SHARD_ENTRIES)))).cast("int")
+    place = F.when(F.col("total"), -1 - F.col("entry")).otherwise(F.col("entry"))
+    dealt = _dealt_entries(doubled.select(shard.alias("shard"), "block", place.alias("entry"), *by, "word", "total"), by)
+    members = dealt.select("shard", "block", "ids", "size").repartition(partitions, "shard").persist(StorageLevel.MEMORY_AND_DISK)
+    words = packed.where("places is not null").select("block", F.lit(0).alias("kind"), F.lit(0).alias("shard"), F.col("places").alias("data"))
+    base = words.unionByName(dealt.select("block", F.lit(1).alias("kind"), "shard", "data"))
+    schema = "shard int, block long, data binary"
+
+    def summed(values: DataFrame) -> DataFrame:
+        other = values.toDF(*values.columns)
+        return members.groupBy("shard").cogroup(other.groupBy("shard")).applyInArrow(_added, "block long, shard int, data binary")
 
     def step(given: DataFrame, work: Callable[[_Block, pa.Table], pa.Table], schema: str) -> DataFrame:
         def task(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -262,55 +389,52 @@ def _told_by_blocks(packed: DataFrame, stopwords: DataFrame | None, by: Sequence
         other = given.toDF(*given.columns)
         return keep(state.groupBy("block").cogroup(other.groupBy("block")).applyInArrow(task, schema), "topics-step")
 
+    def numbers(block: _Block, rows: pa.Table) -> np.ndarray:
+        return block.returned(dict(zip(rows["shard"].to_pylist(), rows["data"].to_pylist())))
+
     def fresh(block: _Block, found: pa.Table) -> pa.Table:
         new = block.sums((block.seeds(found) == 1 << 31)[block.message])
-        return block.table.select(["id", "whole", "in"]).append_column("new", pa.array(new)).filter(pa.array(new > 0))
+        return block.sent([np.concatenate([new, np.zeros(len(block.last), dtype=np.int64)])])
+
+    def offered(block: _Block, new: pa.Table) -> pa.Table:
+        return block.candidates(numbers(block, new)[0])
 
     def begun(block: _Block, found: pa.Table) -> pa.Table:
         start = block.seeds(found)
         return block.shared([np.where((start == t) | (start == 1 << 31), 0.0, -64.0 * ONE) for t in range(topics)])
 
-    def again(block: _Block, weights: pa.Table) -> pa.Table:
-        return block.shared(block.scores(weights, topics))
+    def again(block: _Block, counts: pa.Table) -> pa.Table:
+        return block.shared(block.scores(numbers(block, counts)))
 
-    def best(block: _Block, weights: pa.Table) -> pa.Table:
+    def best(block: _Block, counts: pa.Table) -> pa.Table:
         told = np.flatnonzero(block.counted)
-        topic = np.argmax(block.scores(weights, topics), axis=0)[told].astype(np.int32)
-        return pa.table({"block": block.table["block"][0].as_py() + told, "topic": topic})
-
-    def weights(sums: DataFrame) -> DataFrame:
-        each = range(topics)
-        whole = F.col("id") == F.col("whole")
-        totals = sums.groupBy("whole").agg(
-            *[F.sum(F.when(~whole, F.col(f"c{t}")).otherwise(0)).alias(f"_t{t}") for t in each],
-            F.sum(F.when(whole, sum(F.col(f"c{t}") for t in each))).alias("_messages"),
-        )
-        all_blocks = sums.select("block", "id", "whole", *[F.sum(f"c{t}").over(W.partitionBy("id")).alias(f"c{t}") for t in each])
-        met = all_blocks.join(small(totals.join(groups.select("whole", "_words"), "whole")), "whole")
-        return met.select("block", "id", *_logarithms(whole, topics))
+        topic = np.argmax(block.scores(numbers(block, counts)), axis=0)[told].astype(np.int32)
+        return pa.table({"block": block.number + told, "topic": topic})
 
+    state = None
     try:
-        found = state.sparkSession.createDataFrame([], "whole long, id long, seed int")
-        sizes = None
+        sizes = keep(base.groupBy("block").applyInArrow(lambda table: _Block(table).sizes(), schema), "topics-sizes")
+        told = keep(summed(sizes), "topics-sizes")
+        state = base.unionByName(told.select("block", F.lit(2).alias("kind"), "shard", "data"))
+        state = state.repartition(partitions, "block").persist(StorageLevel.MEMORY_AND_DISK)
+        found = packed.sparkSession.createDataFrame([], "block long, entry int, seed int")
         for seed in range(topics):
-            routed = state.select("block", "id").join(small(found.select("id", "seed")), "id")
-            new = step(routed, fresh, "id long, whole long, in long, new long").groupBy("whole", "id").agg(F.sum("new").alias("_new"), F.max("in").alias("_in"))
-            if sizes is None:
-                sizes = keep(new.where("id = whole").select("whole", F.col("_new").alias("_all")), "topics-sizes")
-            score = F.col("_new") * F.log(F.col("_all") / F.col("_in"))
-            scored = new.where("id <> whole").join(small(sizes), "whole").withColumn("_score", score)
-            one = first_n(scored, 1, [F.desc("_score"), F.col("id")], ["whole"]).select("whole", "id", F.lit(seed).alias("seed"))
-            found = keep(found.unionByName(one), "topics-seeds")
-        routed = state.select("block", "id").join(small(found.select("id", "seed")), "id")
-        schema = "block long, id long, whole long, " + ", ".join(f"c{t} long" for t in range(topics))
-        sums = step(routed, begun, schema)
+            new = step(found, fresh, schema)
+            best_of_blocks = step(summed(new), offered, "block long, entry int, score double")
+            named = listed.select("block", "entry", *by, "word").join(small(best_of_blocks), ["block", "entry"])
+            one = first_n(named, 1, [F.desc("score"), F.col("word")], by).select(*by, "word", F.lit(seed).alias("seed"))
+            everywhere = listed.select("block", "entry", *by, "word").join(small(keep(one, "topics-seeds")), [*by, "word"])
+            found = keep(found.unionByName(everywhere.select("block", "entry", "seed")), "topics-seeds")
+        counts = step(found, begun, schema)
         for _ in range(iterations):
-            sums = step(weights(sums), again, schema)
-        told = step(weights(sums), best, "block long, topic int")
+            counts = step(summed(counts), again, schema)
+        topic = step(summed(counts), best, "block long, topic int")
     finally:
-        state.unpersist()
-    keys = [c for c in packed.columns if c not in ("block", "word", "places")]
-    return packed.where("word is null").join(told, "block").select(*keys, "topic")
+        members.unpersist()
+        if state is not None:
+            state.unpersist()
+    keys = [c for c in packed.columns if c not in ("block", "entry", "word", "n", "places")]
+    return packed.where("word is null and places is null").join(topic, "block").select(*keys, "topic")
 
 
 def assign_topics(
@@ -338,7 +462,7 @@ def assign_topics(
     by = list(by)
     partitions = partitions or int(messages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     packed = packed_words(messages, by, partitions)
-    met, size = packed.where("word <> ''").agg(F.sum(F.octet_length("places") / 8), F.sum(F.octet_length("word") + 64 + 8 * topics)).first()
+    met, size = packed.where("word <> ''").agg(F.sum("n"), F.sum(F.octet_length("word") + 64 + 8 * topics)).first()
     if (met or 0) > ROWS or (size or 0) > broadcast_bytes:
         return _with_topic(messages, _told_by_blocks(packed, stopwords, by, topics, iterations, partitions, broadcast_bytes))
     lazy = counted_words(messages, stopwords, by, partitions)

@@ -93,3 +93,22 @@ def test_blocks_tell_what_rows_of_words_tell(rows, spark, monkeypatch):
         assert counted(partitions=3) == whole and len(whole) == given.count()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_blocks_and_shards_exchange_rows_of_many_words(rows, spark, monkeypatch):
+    """Words of several shards, of which a step sends one row for each block and shard, not one for each word."""
+    want = told(topics.assign_topics(rows, None, 3, 2))
+    monkeypatch.setattr(topics, "ROWS", 0)
+    monkeypatch.setattr(topics, "BLOCK_TOKENS", 60)
+    monkeypatch.setattr(topics, "SHARD_ENTRIES", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10")
+    steps, keep = [], topics.keep
+    monkeypatch.setattr(topics, "keep", lambda df, name: steps.append((name, keep(df, name))) or steps[-1][1])
+    try:
+        assert told(topics.assign_topics(rows, None, 3, 2, partitions=3)) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    words = steps[0][1].where("word is not null").count()
+    sent = [df.count() for name, df in steps if name == "topics-step" and "data" in df.columns]
+    pairs = next(df for name, df in steps if name == "topics-entries").select("block", "shard").distinct().count()
+    assert len(sent) == 3 + 1 + 2 and set(sent) == {pairs} and pairs < words / 2
